@@ -131,3 +131,35 @@ def average_rank(value: Column, partition: list[Column | str]) -> Column:
     ordered = Window.partitionBy(*partition, has).orderBy(value)
     ties = Window.partitionBy(*partition, value)
     return F.when(has, F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+
+
+def day_percentiles(
+    df: DataFrame, keys: list[str | Column], wanted: dict[str, tuple[str, float]]
+) -> DataFrame:
+    """Exact percentiles of day counts per key, ``{name: (column, p)}``.
+
+    Day counts have few distinct values, so equal ones are counted before the
+    shuffle and the percentile state of a group stays small however many lines
+    it has.
+    """
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    names = [f"_k{i}" for i in range(len(keys))]
+    labels = [k if isinstance(k, str) else f"k{i}" for i, k in enumerate(keys)]
+    source = df.select(
+        *[(F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(keys, names)],
+        *[F.col(c).cast("double").alias(c) for c in columns],
+    )
+    counted = (
+        source.unpivot(names, columns, "_var", "_v").where("_v is not null")
+        .groupBy(*names, "_var", "_v").agg(F.count("*").alias("_c"))
+    )
+    return (
+        counted.groupBy(*names)
+        .agg(
+            *[
+                F.percentile(F.when(F.col("_var") == c, F.col("_v")), F.lit(p), F.col("_c")).alias(n)
+                for n, (c, p) in wanted.items()
+            ]
+        )
+        .select(*[F.col(n).alias(k) for n, k in zip(names, labels)], *wanted)
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from salestide.functions.numeric import mean, pct, total
+from salestide.functions.numeric import pct, total
 from salestide.functions.ordering import exact_percentiles
 
 
@@ -95,11 +95,11 @@ def date_range(df: DataFrame, date: str = "invoice_date") -> DataFrame:
 
 def source_summary(df: DataFrame, variable: str, source: str = "source_file") -> DataFrame:
     """Numeric description of one variable per source file."""
-    d = df.select(source, F.col(variable).cast("double").alias("value"))
+    d = df.select(source, F.col(variable).cast("double").alias("value"), F.col(variable).alias("_raw"))
     base = d.groupBy(source).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        total("value").alias("total"),
+        total("_raw").alias("total"),
     )
     return base.join(exact_percentiles(d, [source], "value", {"median": 0.5}), source, "left")
 
@@ -129,9 +129,3 @@ def points(df: DataFrame, variable: str, date: str = "invoice_date") -> DataFram
         .orderBy("date", "value")
     )
 
-
-__all__ = [
-    "categorical_columns", "categorical_summary", "dataset_info", "date_range", "head_rows",
-    "histogram_by", "long_numeric", "mean", "missing_values", "numeric_summary", "points",
-    "source_summary", "value_share",
-]

@@ -7,9 +7,17 @@ from salestide.sources.views import raw_view, read_table, sales_view
 NUMERIC = ["amount", "qty", "unit_price", "lead_time_days"]
 
 
-@query("pro_01_dataset_info", floats="")
+INFO = ["order_id", "invoice_date", "amount", "qty"]
+
+
+@query(
+    "pro_01_dataset_info",
+    """, c(position, "column", "type") as (values (0,'order_id','string'),(1,'invoice_date','date'),(2,'amount','decimal(18,2)'),(3,'qty','double'))
+    select (select count(*) from s) n_rows, 4 n_columns, position, "column", "type" from c""",
+)
 def _(spark, d):
-    return pro.dataset_info(sales_view(spark, d))
+    info = pro.dataset_info(sales_view(spark, d, *INFO))
+    return info.withColumnsRenamed({"rows": "n_rows", "columns": "n_columns"})
 
 
 @query(

@@ -44,8 +44,14 @@ s as (select *, year(invoice_date) "year", strftime(invoice_date,'%Y-%m') "month
 
 
 def query(name: str, sql: str | None = None, floats: str = "", digits: int = 6, base: str = SALES):
-    """Register a query; ``sql`` continues the base expression (start it with ``select`` or ``, x as``)."""
-    columns = floats.split()
+    """Register a query; ``sql`` continues the base expression (start it with ``select`` or ``, x as``).
+
+    ``floats`` lists the columns to round, ``name`` or ``name:places``.
+    """
+    columns = {}
+    for token in floats.split():
+        column, _, places = token.partition(":")
+        columns[column] = int(places or digits)
 
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
@@ -53,14 +59,14 @@ def query(name: str, sql: str | None = None, floats: str = "", digits: int = 6,
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
             df = fn(spark, folder)
-            return df.withColumns({c: F.round(F.col(c), digits) for c in columns}) if columns else df
+            return df.withColumns({c: F.round(F.col(c), n) for c, n in columns.items()}) if columns else df
 
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
             text = f"{base} {sql.strip()}"
             if columns:
-                swaps = ", ".join(f"round({c},{digits}) as {c}" for c in columns)
+                swaps = ", ".join(f"round({c},{n})+0 as {c}" for c, n in columns.items())
                 text = f"select * replace ({swaps}) from ({text}) t"
             ORACLES[name] = text
         return fn
