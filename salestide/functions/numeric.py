@@ -52,6 +52,16 @@ def revenue_per_unit(revenue: str | Column = "revenue", qty: str | Column = "qty
     return F.when(col(qty) > 0, ratio(revenue, qty))
 
 
+def safe_corr(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation over pairwise complete rows, null for a constant side."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    # the minimum and maximum tell a constant side exactly; its spread may not be exactly 0
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varied, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def banded(value: Column, bands: list[tuple[float, str]], otherwise: str, op: str = "ge") -> Column:
     """First label whose bound the value reaches (``ge``), exceeds (``gt``) or stays under (``le``)."""
     tests = {"ge": lambda b: value >= b, "gt": lambda b: value > b, "le": lambda b: value <= b}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salestide.functions.calendar import with_period
-from salestide.functions.numeric import banded
+from salestide.functions.numeric import banded, safe_corr
 from salestide.functions.ordering import average_rank
 from salestide.operators.products import item_series, item_stats
 
@@ -22,7 +22,7 @@ def _pairs(variables: list[str]) -> list[tuple[str, str]]:
 
 
 def _pearson(a: str, b: str) -> Column:
-    return F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
+    return safe_corr(a, b)
 
 
 def pearson_matrix(df: DataFrame, variables: list[str], keys: list[str] = ()) -> DataFrame:
@@ -54,7 +54,7 @@ def strength(df: DataFrame, variables: list[str]) -> DataFrame:
 def pearson_by_period(df: DataFrame, variables: list[str], grain: str) -> DataFrame:
     """Pairs per period with at least 3 lines; a period with any undefined pair is left out."""
     m = pearson_matrix(with_period(df, grain), variables, ["period", "period_index"]).where("_rows >= 3")
-    undefined = F.count_if(F.col("r").isNull() | F.isnan("r")).over(Window.partitionBy("period"))
+    undefined = F.count_if(F.col("r").isNull()).over(Window.partitionBy("period"))
     return m.withColumn("_u", undefined).where("_u = 0").select("period", "period_index", "a", "b", "r")
 
 
@@ -78,9 +78,7 @@ def spearman(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> Da
         .groupBy(*part)
         .agg(
             F.count("*").alias("n"),
-            F.when(
-                (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry")), F.corr("rx", "ry")
-            ).alias("rho"),
+            safe_corr("rx", "ry").alias("rho"),
         )
     )
 
@@ -114,9 +112,7 @@ def lead_time_effects(summary: DataFrame, key: str = "client_id") -> DataFrame:
     def guarded(y: str, given: str) -> Column:
         ok = F.col("median_lead_time").isNotNull() & F.col(given).isNotNull()
         a, b = F.when(ok, F.col("median_lead_time")), F.when(ok, F.col(y).cast("double"))
-        return F.when(
-            (F.count(a) >= 3) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b)
-        )
+        return F.when(F.count(a) >= 3, safe_corr(a, b))
 
     return d.groupBy(key).agg(
         guarded("orders", "orders").alias("orders_same"), guarded("revenue", "orders").alias("revenue_same"),
