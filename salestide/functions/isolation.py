@@ -73,3 +73,42 @@ def anomaly_score(points: np.ndarray, forest: list[dict], size: int) -> np.ndarr
         depth += tree["value"][node]
     scale = float(expected_depth(size)) or 1.0
     return 2.0 ** (-depth / (len(forest) * scale))
+
+
+def own_scores(points: np.ndarray, trees: int = 100, seed: int = 42) -> np.ndarray:
+    """Scores of a few points (at most 256) in a forest over those same points.
+
+    All trees grow together, one level per step: a row of the state is one
+    (tree, point), and the points of one node of one tree share a group number.
+    """
+    n, dims = points.shape
+    if n > 256:
+        forest, size = grow_forest(points, trees, 256, seed)
+        return anomaly_score(points, forest, size)
+    rng = np.random.default_rng(seed)
+    x = np.tile(points, (trees, 1))
+    group = np.repeat(np.arange(trees), n)
+    depth = np.zeros(trees * n)
+    for _ in range(int(np.ceil(np.log2(max(n, 2))))):
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+        sizes = np.diff(np.r_[starts, len(order)])
+        low = np.minimum.reduceat(x[order], starts)
+        high = np.maximum.reduceat(x[order], starts)
+        usable = high > low
+        splits = usable.any(axis=1)
+        if not splits.any():
+            break
+        feature = np.argmax(np.where(usable, rng.random(usable.shape), -1.0), axis=1)
+        at = np.arange(len(starts))
+        cut = low[at, feature] + rng.random(len(starts)) * (high[at, feature] - low[at, feature])
+        node = np.empty(len(order), dtype=int)
+        node[order] = np.repeat(at, sizes)
+        moves = splits[node]
+        right = x[np.arange(len(x)), feature[node]] > cut[node]
+        depth += moves
+        group = 2 * node + (moves & right)
+    _, where, count = np.unique(group, return_inverse=True, return_counts=True)
+    depth += expected_depth(count)[where]
+    mean_depth = depth.reshape(trees, n).mean(axis=0)
+    return 2.0 ** (-mean_depth / (float(expected_depth(n)) or 1.0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from salestide.functions.calendar import with_period
-from salestide.functions.isolation import anomaly_score, grow_forest
+from salestide.functions.isolation import anomaly_score, grow_forest, own_scores
 from salestide.functions.loess import decompose
 from salestide.functions.numeric import revenue_per_unit, total
 from salestide.functions.ordering import exact_percentiles, framed_median
@@ -20,6 +20,7 @@ HISTORY = {"month": (12, 6), "quarter": (8, 5), "year": (5, 3)}
 # Metric names as shown, in order of preference on ties.
 METRICS = [("CA", "revenue"), ("Qty", "qty"), ("Freq", "orders"), ("Price", "price")]
 UP, DOWN = "hausse", "baisse"
+from salestide.session import spread
 
 
 def client_periods(df: DataFrame, grain: str) -> DataFrame:
@@ -154,12 +155,11 @@ def client_forest(df: DataFrame, grain: str = "month", trees: int = 100, seed: i
             return pdf.assign(score_ml=0.0, is_anomaly_ml=False)
         x = pdf[["revenue", "qty", "orders"]].astype(float)
         x = x.fillna(x.median()).to_numpy()
-        forest, size = grow_forest(x, trees, 256, seed)
-        s = anomaly_score(x, forest, size)
+        s = own_scores(x, trees, seed)
         share = min(0.15, max(0.05, 1.0 / n))
         return pdf.assign(score_ml=s, is_anomaly_ml=s > np.quantile(s, 1 - share))
 
-    return rows.groupBy("client_id").applyInPandas(kernel, f"{fields}, score_ml double, is_anomaly_ml boolean")
+    return spread(rows, "client_id").groupBy("client_id").applyInPandas(kernel, f"{fields}, score_ml double, is_anomaly_ml boolean")
 
 
 def client_metric_anomalies(scored: DataFrame, threshold: float = 3.5, n: int | None = None) -> DataFrame:
@@ -245,7 +245,7 @@ def stl_anomalies(days: DataFrame, value: str, keys: list[str], period: int | No
         direction = np.where(hit & (resid > 0), "spike", np.where(hit & (resid < 0), "drop", ""))
         return pdf.assign(expected=expected, resid=resid, z=z, is_anomaly=hit, direction=direction)
 
-    return d.groupBy(*keys).applyInPandas(
+    return spread(d, *keys).groupBy(*keys).applyInPandas(
         kernel, f"{fields}, expected double, resid double, z double, is_anomaly boolean, direction string"
     )
 

@@ -11,6 +11,7 @@ from salestide.functions.calendar import MONTH_WORDS, period_index, period_label
 from salestide.functions.loess import adf_statistic, decompose, kpss_statistic
 from salestide.functions.numeric import mean, pct, ratio, total
 from salestide.functions.ordering import exact_percentiles
+from salestide.session import spread
 
 
 def daily(df: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -237,7 +238,7 @@ def stl(series: DataFrame, value: str, keys: list[str], period: int) -> DataFram
         trend = pd.Series(y).rolling(width, min_periods=1).mean()
         return pdf.assign(trend=trend, seasonal=np.nan, resid=np.nan, is_stl=False)
 
-    return d.groupBy(*keys).applyInPandas(
+    return spread(d, *keys).groupBy(*keys).applyInPandas(
         kernel, f"{fields}, trend double, seasonal double, resid double, is_stl boolean"
     )
 
@@ -281,7 +282,7 @@ def stationarity(days: DataFrame, value: str, keys: list[str], least: int = 30)
             [[*head, n, adf, adf_lags, bound, adf < bound, kpss, kpss_lags, kpss < 0.463]], columns=columns
         )
 
-    return d.groupBy(*keys).applyInPandas(
+    return spread(d, *keys).groupBy(*keys).applyInPandas(
         kernel,
         f"{key_fields}, n long, adf_statistic double, adf_lags int, adf_critical double, "
         "adf_stationary boolean, kpss_statistic double, kpss_lags int, kpss_stationary boolean",

@@ -148,7 +148,7 @@ _HIST = ", ".join(
     + f""", hp as (select *, [{_HIST}] xs from ab window pw as (partition by client_id order by period_index rows between 6 preceding and 1 preceding)),
     hs as (select client_id, period, alert_score, cusum_pos, cusum_neg, unnest(xs) x from hp)
     select client_id, period, alert_score, cusum_pos, cusum_neg, x.signal signal, x.v "value", x.z z, x.bm base_mean, x.bm+2*x.bs base_upper, x.bm-2*x.bs base_lower from hs""",
-    floats="cusum_pos cusum_neg value z:9 base_mean base_upper base_lower",
+    floats="cusum_pos cusum_neg value:8 z:9 base_mean base_upper base_lower",
 )
 def _(spark, d):
     return beh.client_history(_features(spark, d))

@@ -43,3 +43,13 @@ def durable(df: DataFrame) -> DataFrame:
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key ahead of a grouped Python kernel.
+
+    A fixed partition count keeps the adaptive planner from merging small (in
+    bytes) but expensive (in Python time) partitions into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
