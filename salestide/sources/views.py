@@ -183,8 +183,8 @@ def recipe_view(spark: SparkSession, folder: str) -> DataFrame:
         allergen.alias("allergens"),
         protein.alias("protein_source"),
         F.concat(F.lit("sheet_"), key.cast("string"), F.lit(".txt")).alias("source_file"),
-        F.when(size > 5, dec(price / 4)).alias("kcal_100g"),
-        F.when(size > 5, dec(price * 1.046)).alias("kj_100g"),
+        F.when(size > 5, dec(price / 5)).alias("kcal_100g"),
+        F.when(size > 5, dec(price * 4 / 5)).alias("kj_100g"),
         fat.alias("matieres_grasses_100g"),
         fat.alias("lipides_100g"),
         dec(size / 6.0).alias("acides_gras_satures_100g"),
@@ -193,44 +193,45 @@ def recipe_view(spark: SparkSession, folder: str) -> DataFrame:
         dec(size * 0.3).alias("amidon_100g"),
         dec((50 - size) / 10.0).alias("fibres_100g"),
         F.when(size < 48, dec((50 - size) / 2.0)).alias("proteines_100g"),
-        dec(size / 40.0).alias("sel_100g"),
+        dec(size / 50.0).alias("sel_100g"),
         F.timestamp_add("HOUR", -size, F.lit("2024-01-31 00:00:00").cast("timestamp")).alias("updated_at"),
     )
 
 
 def sheet_view(spark: SparkSession, folder: str) -> DataFrame:
-    """Sheet text per product: the values of ``recipe_view`` written out as a document."""
+    """Sheet text per product: the values of ``recipe_view`` written out as a two-page document."""
     r = recipe_view(spark, folder)
-    comma = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.", ",")
-    line = lambda label, c, unit: F.concat(
-        F.lit(f"{label} "), comma(c), F.lit(f" {unit} "), comma(c), F.lit(f" {unit}")
-    )
-    nl = F.lit("\n")
-    text = F.concat_ws(
+
+    def line(label: str, c: str) -> Column:
+        number = F.replace(F.col(c).cast("string"), F.lit("."), F.lit(","))
+        return F.concat(F.lit(f"{label} "), number, F.lit(" "), number)  # null values leave no line
+
+    first = F.concat_ws(
         "\n",
-        F.lit("TECHNICAL DATA SHEET"),
+        F.lit("TECHNICAL DATA SHEET / FICHE TECHNIQUE"),
         F.col("product_name"),
+        F.lit("Préparation hyperprotéinée"),
         F.col("product_id"),
-        F.concat(F.lit("Serving size : 1 packet = 2 wafers : "),
-                 F.regexp_replace("portion_size", " g", ",5 g")),
+        F.concat(F.lit("Serving size : 1 packet = 2 wafers : "), F.regexp_replace("portion_size", " g", ",5 g.")),
+        F.lit("AVERAGE NUTRITIONAL VALUES / VALEURS NUTRITIONNELLES MOYENNES"),
+        line("Kcal", "kcal_100g"), line("KJ", "kj_100g"),
+        line("Matières grasses (g)", "matieres_grasses_100g"), line("Lipides (g)", "lipides_100g"),
+        line("dont acides gras saturés (g)", "acides_gras_satures_100g"),
+        line("Glucides (g)", "glucides_100g"), line("dont sucres (g)", "sucres_100g"),
+        line("dont amidon (g)", "amidon_100g"), line("Fibres alimentaires (g)", "fibres_100g"),
+        line("Protéines (g)", "proteines_100g"), line("Sel (g)", "sel_100g"),
+    )
+    second = F.concat_ws(
+        "\n",
         F.lit("INGREDIENTS / INGRÉDIENTS"),
-        F.concat(F.col("ingredients_raw"), F.lit(" (sugar, salt 2%), "),
-                 F.coalesce("protein_source", F.lit("water")), F.lit("; cocoa and vanilla 3%.")),
+        F.concat(F.col("ingredients_raw"), F.lit(" (sugar, salt 2%), "), F.coalesce("protein_source", F.lit("water")),
+                 F.lit("; cocoa and vanilla 3%.")),
         F.lit(""),
-        F.lit("Ingrédients : farine de blé, sucre."),
+        F.lit("Farine, sucre."),
         F.lit("ALLERGENS / ALLERGÈNES"),
-        F.concat(F.coalesce("allergens", F.lit("none")), F.lit(" (see in bold in the ingredients list)")),
-        F.lit("NUTRITION INFORMATION / VALEURS NUTRITIONNELLES"),
-        line("Energy kJ", "kj_100g", "kJ"),
-        line("Energy kcal", "kcal_100g", "kcal"),
-        line("Fat", "matieres_grasses_100g", "g"),
-        line("of which saturates", "acides_gras_satures_100g", "g"),
-        line("Carbohydrate", "glucides_100g", "g"),
-        line("of which sugars", "sucres_100g", "g"),
-        line("of which starch", "amidon_100g", "g"),
-        line("Fibre", "fibres_100g", "g"),
-        line("Protein", "proteines_100g", "g"),
-        line("Salt", "sel_100g", "g"),
-        F.lit("STORAGE CONDITIONS"),
+        F.concat(F.coalesce("allergens", F.lit("none")), F.lit(" (see in bold). Manufactured on shared equipment")),
+        F.lit("CLAIMS / ALLÉGATIONS"),
+        F.lit("High protein"),
     )
-    return r.select("source_file", F.lit(1).alias("page"), F.concat(text, nl).alias("text"))
+    pages = F.array(F.struct(F.lit(1).alias("page"), first.alias("text")), F.struct(F.lit(2).alias("page"), second.alias("text")))
+    return r.select("source_file", F.inline(pages))
