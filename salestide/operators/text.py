@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,11 @@ NUTRIENTS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, although ``body`` uses it several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -52,29 +59,33 @@ def _first_of(text: Column, variants: list[str]) -> Column:
 
 def section(text: Column, heading: str, following: str) -> Column:
     """Text from the line after the first heading to the next heading or the end; empty without heading."""
-    start = _first_of(text, HEADINGS[heading])
-    newline = F.position(F.lit("\n"), text, start)
-    length = F.array_max(
-        F.array(*[F.when(F.substr(F.lower(text), start, F.lit(len(v))) == v, F.lit(len(v))) for v in HEADINGS[heading]])
-    )
-    tail = F.substr(text, F.when(newline > 0, newline + 1).otherwise(start + length))
-    stop = _first_of(tail, HEADINGS[following])
-    body = F.when(stop.isNotNull(), F.substr(tail, F.lit(1), stop - 1)).otherwise(tail)
-    return F.when(start.isNull(), F.lit("")).otherwise(strip(body))
+    def body(tail: Column) -> Column:
+        stop = _first_of(tail, HEADINGS[following])
+        return strip(let(stop, lambda s: F.when(s.isNotNull(), F.substr(tail, F.lit(1), s - 1)).otherwise(tail)))
+
+    def after(start: Column) -> Column:
+        newline = F.position(F.lit("\n"), text, start)
+        low = F.lower(F.substr(text, start, F.lit(100)))
+        length = F.array_max(F.array(*[F.when(F.startswith(low, F.lit(v)), len(v)) for v in HEADINGS[heading]]))
+        tail = F.substr(text, F.when(newline > 0, newline + 1).otherwise(start + length))
+        return F.when(start.isNull(), F.lit("")).otherwise(let(tail, body))
+
+    return let(_first_of(text, HEADINGS[heading]), after)
 
 
 def english_paragraph(c: Column) -> Column:
     """The first paragraph; a single one is cut at the first French letter or word."""
-    text = F.replace(c, F.lit("\r"), F.lit(""))
-    parts = F.split(strip(text), r"\n\s*\n")
-    letter = F.regexp_instr(text, F.lit(f"[{FRENCH_LETTERS}]"))
-    word = F.regexp_instr(F.lower(text), F.lit(r"(?U)\b(?:" + "|".join(FRENCH_WORDS) + r")\b"))
-    cut = F.least(F.nullif(letter, F.lit(0)), F.nullif(word, F.lit(0)))
-    head = strip(F.substr(text, F.lit(1), cut - 1))
-    single = F.when(cut.isNotNull() & (head != ""), head).otherwise(text)
-    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(
-        inline_text(F.when(F.size(parts) >= 2, F.element_at(parts, 1)).otherwise(single))
-    )
+    def single(text: Column) -> Column:
+        letter = F.regexp_instr(text, F.lit(f"[{FRENCH_LETTERS}]"))
+        word = F.regexp_instr(F.lower(text), F.lit(r"(?U)\b(?:" + "|".join(FRENCH_WORDS) + r")\b"))
+        cut = F.least(F.nullif(letter, F.lit(0)), F.nullif(word, F.lit(0)))
+        return let(strip(F.substr(text, F.lit(1), cut - 1)), lambda head: F.when(head != "", head).otherwise(text))
+
+    def first(parts: Column) -> Column:
+        return F.when(F.size(parts) >= 2, F.element_at(parts, 1)).otherwise(single(F.element_at(parts, 1)))
+
+    paragraphs = F.split(strip(F.replace(c, F.lit("\r"), F.lit(""))), r"\n\s*\n")
+    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(inline_text(let(paragraphs, first)))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -83,6 +94,10 @@ def keyword_list(texts: pd.Series) -> pd.Series:
     return texts.map(_keywords)
 
 
+# keeps the optimizer from moving the call into a lambda of a list function, where Python cannot run
+keyword_list = keyword_list.asNondeterministic()
+
+
 def portion_size(text: Column) -> Column:
     """Last ``n g`` on the first portion line that has one, else the last in the text."""
     clean = F.regexp_replace(text, "[  ]", " ")
@@ -97,16 +112,25 @@ def _id_text(c: Column) -> Column:
     return F.regexp_replace(F.replace(c, F.lit(" "), F.lit(" ")), "[–—]", "-")
 
 
-def header_fields(first_page: Column, text: Column) -> tuple[Column, Column]:
-    """(product id, product name): the id of the first line that holds one, the nearest unaccented line above."""
-    lines = F.filter(F.transform(F.split(first_page, "\n"), strip), lambda s: s != "")
-    at = F.array_position(F.transform(lines, lambda s: _id_text(s).rlike(ID_PATTERN)), True)
-    line_id = F.regexp_extract(_id_text(F.try_element_at(lines, at.cast("int"))), f"({ID_PATTERN})", 1)
-    above = F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))
-    plain = F.filter(above, lambda s: ~s.rlike(f"[{FRENCH_LETTERS}]"))
-    name = F.coalesce(F.try_element_at(plain, F.lit(-1)), F.try_element_at(above, F.lit(-1)))
-    anywhere = F.regexp_extract(_id_text(text), f"({ID_PATTERN})", 1)
-    return F.when(at > 0, line_id).otherwise(anywhere), F.when(at > 0, name)
+def header_fields(first_page: Column, text: Column) -> Column:
+    """(id, name): the id of the first line that holds one, and the nearest unaccented line above it."""
+    def named(lines: Column, at: Column) -> Column:
+        def pick(above: Column) -> Column:
+            plain = F.filter(above, lambda s: ~s.rlike(f"[{FRENCH_LETTERS}]"))
+            return F.coalesce(F.try_element_at(plain, F.lit(-1)), F.try_element_at(above, F.lit(-1)))
+
+        found = F.regexp_extract(_id_text(F.try_element_at(lines, at)), f"({ID_PATTERN})", 1)
+        above = F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)))
+        anywhere = F.regexp_extract(_id_text(text), f"({ID_PATTERN})", 1)
+        return F.struct(
+            F.when(at > 0, found).otherwise(anywhere).alias("id"), F.when(at > 0, let(above, pick)).alias("name")
+        )
+
+    def search(lines: Column) -> Column:
+        at = F.array_position(F.transform(lines, lambda s: _id_text(s).rlike(ID_PATTERN)), True).cast("int")
+        return let(at, lambda i: named(lines, i))
+
+    return let(F.filter(F.transform(F.split(first_page, "\n"), strip), lambda s: s != ""), search)
 
 
 def allergen_sentence(c: Column) -> Column:
@@ -155,12 +179,11 @@ def parse_sheets(pages: DataFrame) -> DataFrame:
     allergens = F.when(
         _first_of(t, HEADINGS["claims"]).isNotNull(), section(t, "allergens", "claims")
     ).otherwise(section(t, "allergens", "food_category"))
-    product_id, name = header_fields(F.col("first_page"), t)
     table = inline_text(section(t, "nutrition", "ingredients"))
     d = documents(pages).withColumns(
         {"ingredients_raw": english_paragraph(section(t, "ingredients", "allergens")), "_allergens": allergen_sentence(english_paragraph(allergens)),
-         "_table": table, "portion_size": F.nullif(portion_size(t), F.lit("")), "product_id": product_id, "product_name": F.coalesce(name, F.lit(""))}
-    ).withColumns({"_items": keyword_list("ingredients_raw"), "allergens": F.array_join(keyword_list("_allergens"), "; ")})
+         "_table": table, "portion_size": F.nullif(portion_size(t), F.lit("")), "_head": header_fields(F.col("first_page"), t)}
+    ).withColumns({"product_id": F.col("_head.id"), "product_name": F.coalesce("_head.name", F.lit("")), "_items": keyword_list("ingredients_raw"), "allergens": F.array_join(keyword_list("_allergens"), "; ")})
     d = d.withColumns({c: nutrient(F.col("_table"), p) for c, p in NUTRIENTS.items()}).withColumns(
         {"protein_source": protein_source(F.col("_items")), "ingredients_list": without_protein(F.col("_items"))}
     )

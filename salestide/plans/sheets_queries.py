@@ -73,11 +73,13 @@ def _(spark, d):
 
 @rquery("txt_05_header", "select source_file, product_id, product_name from rv")
 def _(spark, d):
-    pid, name = txt.header_fields(F.col("first_page"), F.col("text"))
-    return _docs(spark, d).select("source_file", pid.alias("product_id"), name.alias("product_name"))
+    head = txt.header_fields(F.col("first_page"), F.col("text"))
+    return _docs(spark, d).withColumn("h", head).select(
+        "source_file", F.col("h.id").alias("product_id"), F.col("h.name").alias("product_name")
+    )
 
 
-@rquery("txt_06_allergen_sentence", "select source_file, regexp_replace(coalesce(allergens,'none'), '[ .;,-]+$', '')||case when allergens like '%.' then '.' else '' end allergens from rv")
+@rquery("txt_06_allergen_sentence", "select source_file, regexp_replace(coalesce(allergens,'none'), '[ .;,-]+$', '') allergens from rv")
 def _(spark, d):
     part = txt.section(F.col("text"), "allergens", "claims")
     return _docs(spark, d).select("source_file", txt.allergen_sentence(part).alias("allergens"))
