@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
-def _smooth(y: np.ndarray, span: int, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Local linear fit of evenly spaced ``y`` at the positions ``at``."""
-    n = len(y)
+@lru_cache(maxsize=256)
+def _plan(n: int, span: int, first: int, last: int) -> tuple[np.ndarray, ...]:
+    """Neighbour indexes and distance weights of the fits at positions first..last of n points."""
     width = min(span, n)
-    x = np.arange(n, dtype=float)
-    left = np.clip(np.round(at).astype(int) - (width - 1) // 2, 0, n - width)
+    at = np.arange(first, last + 1, dtype=float)
+    left = np.clip(at.astype(int) - (width - 1) // 2, 0, n - width)
     idx = left[:, None] + np.arange(width)
-    dist = np.abs(x[idx] - at[:, None])
-    reach = np.maximum(at - left, left + width - 1 - at)
-    if span > n:
-        reach = reach + (span - n) // 2
-    reach = np.maximum(reach, 1e-12)[:, None]
-    ratio = dist / reach
-    w = np.where(ratio <= 0.999, (1 - np.minimum(ratio, 1) ** 3) ** 3, 0.0)
-    w = np.where(ratio <= 0.001, 1.0, w) * weights[idx]
-    total = w.sum(axis=1, keepdims=True)
-    flat = total[:, 0] <= 0
-    w = np.where(total > 0, w / np.where(total > 0, total, 1), 1.0 / width)
-    mid = (w * x[idx]).sum(axis=1, keepdims=True)
-    spread = (w * (x[idx] - mid) ** 2).sum(axis=1, keepdims=True)
-    usable = np.sqrt(np.maximum(spread, 0)) > 0.001 * max(n - 1, 1)
-    slope = np.where(usable, (at[:, None] - mid) / np.where(usable, spread, 1), 0.0)
-    fit = (w * (1 + slope * (x[idx] - mid)) * y[idx]).sum(axis=1)
-    return np.where(flat, y[np.clip(np.round(at).astype(int), 0, n - 1)], fit)
+    x = idx.astype(float)
+    dist = np.abs(x - at[:, None])
+    reach = np.maximum(at - left, left + width - 1 - at) + ((span - n) // 2 if span > n else 0)
+    ratio = dist / np.maximum(reach, 1e-12)[:, None]
+    near = np.where(ratio <= 0.999, (1 - np.minimum(ratio, 1) ** 3) ** 3, 0.0)
+    return idx, x, np.where(ratio <= 0.001, 1.0, near), at[:, None]
+
+
+def _smooth(y: np.ndarray, span: int, weights: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Local linear fits at the positions first..last, for every row of ``y``."""
+    n = y.shape[1]
+    idx, x, near, at = _plan(n, span, first, last)
+    w = near * weights[:, idx]
+    total = w.sum(axis=2, keepdims=True)
+    w = np.where(total > 0, w / np.where(total > 0, total, 1.0), 1.0 / idx.shape[1])
+    mid = (w * x).sum(axis=2, keepdims=True)
+    off = x - mid
+    spread = (w * off * off).sum(axis=2, keepdims=True)
+    usable = spread > (0.001 * max(n - 1, 1)) ** 2
+    slope = np.where(usable, (at - mid) / np.where(usable, spread, 1.0), 0.0)
+    return (w * (1 + slope * off) * y[:, idx]).sum(axis=2)
 
 
 def _moving(y: np.ndarray, k: int) -> np.ndarray:
@@ -51,18 +57,24 @@ def decompose(
     weights = np.ones(n)
     trend = np.zeros(n)
     season = np.zeros(n)
-    everywhere = np.arange(n, dtype=float)
+    ones = np.ones((1, n))
+    # phases of equal length are smoothed together
+    lengths = [len(range(p, n, period)) for p in range(period)]
+    batches = [
+        (k, np.array([p for p in range(period) if lengths[p] == k])[:, None] + period * np.arange(k + 2))
+        for k in sorted(set(lengths))
+    ]
     for step in range(outer + 1):
         for _ in range(inner):
             cycle = np.empty(n + 2 * period)
-            for phase in range(period):
-                part = (y - trend)[phase::period]
-                spots = np.arange(-1, len(part) + 1, dtype=float)
-                cycle[phase::period] = _smooth(part, seasonal, weights[phase::period], spots)
+            rest = y - trend
+            for k, spots in batches:
+                rows = spots[:, :k]
+                cycle[spots] = _smooth(rest[rows], seasonal, weights[rows], -1, k)
             low = _moving(_moving(_moving(cycle, period), period), 3)
-            low = _smooth(low, low_span, np.ones(n), everywhere)
+            low = _smooth(low[None, :], low_span, ones, 0, n - 1)[0]
             season = cycle[period : period + n] - low
-            trend = _smooth(y - season, trend_span, weights, everywhere)
+            trend = _smooth((y - season)[None, :], trend_span, weights[None, :], 0, n - 1)[0]
         if step < outer:
             resid = np.abs(y - season - trend)
             scale = 6 * np.median(resid)

@@ -13,8 +13,8 @@ _R = lambda n: f"{_W} rows between {n - 1} preceding and current row)"  # noqa:
 _FE = f""", fn as (select *, nb_orders freq, row_number() {_W}) rn from ft),
  fe as (select client_id, period, period_index, rn, ca, ca ca_lag1, lag(ca,1) {_W}) ca_lag2, lag(ca,2) {_W}) ca_lag3, lag(ca,5) {_W}) ca_lag6, lag(ca,11) {_W}) ca_lag12,
   avg(ca) {_R(3)} ca_roll3, avg(ca) {_R(6)} ca_roll6, avg(ca) {_R(12)} ca_roll12, stddev_samp(ca) {_R(3)} ca_roll3_std, stddev_samp(ca) {_R(6)} ca_roll6_std,
-  coalesce(regr_slope(ca,rn) {_R(3)},0) ca_slope3, coalesce(regr_slope(ca,rn) {_R(6)},0) ca_slope6, coalesce(regr_slope(ca,rn) {_R(12)},0) ca_slope12,
-  qty qty_lag1, avg(qty) {_R(3)} qty_roll3, coalesce(regr_slope(qty,rn) {_R(3)},0) qty_slope3, freq::double freq_lag1, avg(freq) {_R(3)} freq_roll3, coalesce(regr_slope(freq,rn) {_R(3)},0) freq_slope3,
+  case when rn<2 then 0 else regr_slope(ca,rn) {_R(3)} end ca_slope3, case when rn<2 then 0 else regr_slope(ca,rn) {_R(6)} end ca_slope6, case when rn<2 then 0 else regr_slope(ca,rn) {_R(12)} end ca_slope12,
+  qty qty_lag1, avg(qty) {_R(3)} qty_roll3, case when rn<2 then 0 else regr_slope(qty,rn) {_R(3)} end qty_slope3, freq::double freq_lag1, avg(freq) {_R(3)} freq_roll3, case when rn<2 then 0 else regr_slope(freq,rn) {_R(3)} end freq_slope3,
   pu pu_lag1, avg(pu) {_R(3)} pu_roll3 from fn)"""
 _FCOLS = [c for c in prj.FEATURES if c not in ("month_sin", "month_cos", "alert_score")]
 _FF = "ca_roll3:4 ca_roll6:4 ca_roll12:4 ca_roll3_std:4 ca_roll6_std:4 ca_slope3:4 ca_slope6:4 ca_slope12:4 qty_roll3:4 qty_slope3:4 freq_roll3 freq_slope3 pu_roll3"
