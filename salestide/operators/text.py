@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,8 +94,17 @@ def keyword_list(texts: pd.Series) -> pd.Series:
     return texts.map(_keywords)
 
 
-# keeps the optimizer from moving the call into a lambda of a list function, where Python cannot run
-keyword_list = keyword_list.asNondeterministic()
+
+def with_keywords(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds a keyword list per ``{output: text column}`` in one Arrow pass over the rows."""
+    extra = ", ".join(f"`{o}` array<string>" for o in columns)
+    present = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{o: pdf[c].map(_keywords) for o, c in columns.items()})
+
+    return df.mapInPandas(add, f"{present}, {extra}")
 
 
 def portion_size(text: Column) -> Column:
@@ -183,7 +192,10 @@ def parse_sheets(pages: DataFrame) -> DataFrame:
     d = documents(pages).withColumns(
         {"ingredients_raw": english_paragraph(section(t, "ingredients", "allergens")), "_allergens": allergen_sentence(english_paragraph(allergens)),
          "_table": table, "portion_size": F.nullif(portion_size(t), F.lit("")), "_head": header_fields(F.col("first_page"), t)}
-    ).withColumns({"product_id": F.col("_head.id"), "product_name": F.coalesce("_head.name", F.lit("")), "_items": keyword_list("ingredients_raw"), "allergens": F.array_join(keyword_list("_allergens"), "; ")})
+    ).withColumns({"product_id": F.col("_head.id"), "product_name": F.coalesce("_head.name", F.lit(""))}).drop("_head", "text", "first_page")
+    d = with_keywords(d, {"_items": "ingredients_raw", "_words": "_allergens"}).withColumn(
+        "allergens", F.array_join("_words", "; ")
+    )
     d = d.withColumns({c: nutrient(F.col("_table"), p) for c, p in NUTRIENTS.items()}).withColumns(
         {"protein_source": protein_source(F.col("_items")), "ingredients_list": without_protein(F.col("_items"))}
     )

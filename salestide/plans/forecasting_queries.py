@@ -4,9 +4,10 @@ from salestide.operators import behaviour as beh
 from salestide.operators import forecast as prj
 from salestide.plans.behaviour_queries import ALERTS, COLS, CUSUM, FEATURES, LATEST, Z
 from salestide.plans.registry import query
+from salestide.session import durable
 from salestide.sources.views import sales_view
 
-ROUNDS = 5  # boosting rounds in the registered queries; the operator's default is larger
+ROUNDS = 3  # boosting rounds in the registered queries; the operator's default is larger
 
 _W = "over (partition by client_id order by period_index"
 _R = lambda n: f"{_W} rows between {n - 1} preceding and current row)"
@@ -17,7 +18,7 @@ _FE = f""", fn as (select *, nb_orders freq, row_number() {_W}) rn from ft),
   qty qty_lag1, avg(qty) {_R(3)} qty_roll3, case when rn<2 then 0 else regr_slope(qty,rn) {_R(3)} end qty_slope3, freq::double freq_lag1, avg(freq) {_R(3)} freq_roll3, case when rn<2 then 0 else regr_slope(freq,rn) {_R(3)} end freq_slope3,
   pu pu_lag1, avg(pu) {_R(3)} pu_roll3 from fn)"""
 _FCOLS = [c for c in prj.FEATURES if c not in ("month_sin", "month_cos", "alert_score")]
-_FF = "ca_roll3:4 ca_roll6:4 ca_roll12:4 ca_roll3_std:4 ca_roll6_std:4 ca_slope3:4 ca_slope6:4 ca_slope12:4 qty_roll3:4 qty_slope3:4 freq_roll3 freq_slope3 pu_roll3"
+_FF = "ca_roll3:7 ca_roll6:7 ca_roll12:7 ca_roll3_std:7 ca_roll6_std:7 ca_slope3:7 ca_slope6:7 ca_slope12:7 qty_roll3:7 qty_slope3:7 freq_roll3 freq_slope3 pu_roll3"
 
 
 def _lines(spark, d):
@@ -59,7 +60,8 @@ def _(spark, d):
 @query("prj_04_model_forecast", floats="m10 m50 m90")
 def _(spark, d):
     f7 = beh.monthly_features(_lines(spark, d))
-    features = prj.with_scores(prj.with_features(f7.drop("active_days").withColumnRenamed("nb_orders", "freq")), beh.portfolio(f7))
+    f7 = durable(f7)
+    features = durable(prj.with_scores(prj.with_features(f7.drop("active_days").withColumnRenamed("nb_orders", "freq")), beh.portfolio(f7)))
     return prj.model_forecast(prj.training_samples(features), prj.latest_rows(features), rounds=ROUNDS)
 
 
@@ -80,7 +82,7 @@ def _(spark, d):
       ((select max(period_index) from lt)//100*12+(select max(period_index) from lt)%100)-(lt.period_index//100*12+lt.period_index%100) recency_months, ca_slope6 slope_6m from lt left join la on la.client_id=lt.client_id)
     select *, round(least(greatest(alert_score/100.0*0.55+case when recency_months>=2 then least((recency_months-1)*0.07::double,0.25) else 0 end+case when slope_6m<0 then least(abs(slope_6m)/greatest(1.0,abs(slope_6m)+1)*0.20,0.20) else 0 end,0.01),0.97),3) churn_prob,
      case when slope_6m>0 then 'hausse' when slope_6m<0 then 'baisse' else 'stable' end trend from cx""",
-    floats="slope_6m:4 churn_prob:2",
+    floats="slope_6m:7",
 )
 def _(spark, d):
     return prj.churn(_latest(spark, d))

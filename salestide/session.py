@@ -49,7 +49,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by key ahead of a grouped Python kernel.
 
     A fixed partition count keeps the adaptive planner from merging small (in
-    bytes) but expensive (in Python time) partitions into one task.
+    bytes) but expensive (in Python time) partitions into one task.  It is
+    twice the shuffle setting, because a repartition equal to the partitioning
+    already at hand would be optimised away, and merged again.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
