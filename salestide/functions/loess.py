@@ -78,7 +78,7 @@ def decompose(
         if step < outer:
             resid = np.abs(y - season - trend)
             scale = 6 * np.median(resid)
-            if scale <= 0:
+            if scale <= 1e-6 * np.std(y):  # nearly exact fit: nothing left to weigh down
                 break
             r = np.minimum(resid / scale, 1.0)
             weights = (1 - r**2) ** 2

@@ -18,8 +18,12 @@ COUNTRY_PREFIXES = [
 # Accounting columns that are not kept, families that are not sales.
 ACCOUNTING_COLUMNS = ["Code Group", "Cpt Compta", "Cpte vente"]
 EXCLUDED_FAMILIES = ["LIQ", "DEVL", "ZDIV"]
-# Accepted date patterns, ISO first.
-DATE_PATTERNS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy"]
+# Accepted date shapes with their patterns.
+DATE_PATTERNS = [
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"), (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$", "dd/MM/yyyy HH:mm:ss"),
+    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
+]
 DATES = ["invoice_date", "order_date", "ship_date", "planned_date"]
 NUMBERS = ["qty", "amount", "unit_price"]
 
@@ -32,8 +36,14 @@ def country_of(client_id: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Date by the accepted patterns, null for anything else."""
-    return F.to_date(F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in DATE_PATTERNS]))
+    """Date by the accepted patterns, null for anything else.
+
+    The shape is tested first, since a failed parse costs an exception per value.
+    """
+    out = F
+    for shape, pattern in DATE_PATTERNS:
+        out = out.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(pattern)))
+    return F.to_date(out)
 
 
 def parse_types(df: DataFrame) -> DataFrame:
