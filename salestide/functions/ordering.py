@@ -67,19 +67,20 @@ def quantile_bucket(rank: Column, n: Column, q: int = 5) -> Column:
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per key, safe for heavy keys.
 
     The built-in ``percentile`` holds every distinct value of a group in one
     task.  Here equal values are counted first (with the value in the shuffle
     key), the counts are ranged over the cluster, and only the rows that hold
-    the wanted positions are kept.
+    the wanted positions are kept.  ``weight`` names a column of counts when the
+    rows are already merged.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_c"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
     )
     cum = globally_ranked(
         counts, [*[F.col(k) for k in keys], F.col("_v")], "_r", {"_cum": "_c"}

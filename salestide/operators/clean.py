@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from salestide.functions.calendar import with_fiscal_calendar
 from salestide.functions.numeric import total
 from salestide.functions.ordering import exact_percentiles
+from salestide.session import durable
 from salestide.sources.schema import CLEAN_COLUMNS, HEADER_CANDIDATES, resolve_columns
 
 # Two-letter client prefixes that are countries; two digits mean FR.
@@ -98,9 +99,14 @@ def with_lead_times(df: DataFrame) -> DataFrame:
 
 def with_reference_price(df: DataFrame) -> DataFrame:
     """Median positive price of the article, else of the family."""
-    priced = df.where(F.col("unit_price") > 0).select("article_code", "family", "unit_price")
-    article = exact_percentiles(priced.where("article_code is not null"), ["article_code"], "unit_price", {"_pa": 0.5})
-    family = exact_percentiles(priced.where("family is not null"), ["family"], "unit_price", {"_pf": 0.5})
+    # one scan gives the counts that both medians start from
+    priced = durable(
+        df.where(F.col("unit_price") > 0).groupBy("article_code", "family", "unit_price").agg(F.count("*").alias("n"))
+    )
+    median = lambda key, name: exact_percentiles(
+        priced.where(F.col(key).isNotNull()), [key], "unit_price", {name: 0.5}, weight="n"
+    )
+    article, family = median("article_code", "_pa"), median("family", "_pf")
     return (
         df.join(article, "article_code", "left").join(family, "family", "left")
         .withColumn("reference_price", F.coalesce("_pa", "_pf")).drop("_pa", "_pf")
