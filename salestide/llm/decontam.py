@@ -54,9 +54,10 @@ def tokens(text: Column, values: bool = False) -> Column:
 
 
 def _windows(hashes: Column, size: int) -> Column:
-    """Hash of every run of ``size`` tokens; none if there are fewer."""
+    """Hash of every run of ``size`` tokens, padded to five; none if there are fewer."""
     starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[hashes[i + k] for k in range(size)]))
+    padding = [F.lit(0).cast("long")] * (WINDOW - size)
+    return F.transform(starts, lambda i: F.xxhash64(*[hashes[i + k] for k in range(size)], *padding))
 
 
 def _hashed(df: DataFrame, text: Column, *kept: Column) -> DataFrame:
@@ -72,7 +73,7 @@ def _names(df: DataFrame, kept) -> list[str]:
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """(item, length, win): the distinct template windows of every item."""
     hashed = _hashed(benchmark, F.col(text), F.col(item).alias("item")).where("size(hashes) > 0")
-    short = F.array(F.xxhash64(*[F.coalesce(F.get("hashes", F.lit(k)), F.lit(0)) for k in range(WINDOW)]))
+    short = F.array(F.xxhash64(*[F.coalesce(F.get("hashes", F.lit(k)), F.lit(0).cast("long")) for k in range(WINDOW)]))
     return hashed.select(
         "item", F.least(F.size("hashes"), F.lit(WINDOW)).alias("length"),
         F.explode(F.when(F.size("hashes") < WINDOW, short).otherwise(_windows(F.col("hashes"), WINDOW))).alias("win"),
@@ -81,12 +82,8 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
 
 def _document_windows(hashes: Column, lengths: list[int]) -> Column:
     """Windows of five tokens and, where the benchmark has shorter items, of their lengths."""
-    found = [_windows(hashes, WINDOW)]
-    for size in lengths:
-        starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size)).otherwise(F.array().cast("array<int>"))
-        padding = [F.lit(0).cast("long")] * (WINDOW - size)
-        found.append(F.transform(starts, lambda i, size=size, padding=padding: F.xxhash64(*[hashes[i + k] for k in range(size)], *padding)))
-    return F.concat(*found) if len(found) > 1 else found[0]
+    found = [_windows(hashes, size) for size in [WINDOW, *lengths]]
+    return F.concat(*found) if lengths else found[0]
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",

@@ -1,9 +1,9 @@
 """All queries of the subpackage and the SQL that states the same results."""
 
-from salestide.llm import queries_decontam, queries_mixing, queries_repeats, queries_simhash
+from salestide.llm import queries_decontam, queries_mixing, queries_pii, queries_repeats, queries_simhash
 
 QUERIES = {}
 ORACLES = {}
-for _part in (queries_mixing, queries_decontam, queries_simhash, queries_repeats):
+for _part in (queries_mixing, queries_decontam, queries_simhash, queries_repeats, queries_pii):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)
