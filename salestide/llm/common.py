@@ -39,3 +39,22 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# a key row takes some 50 bytes in a hash table, so that a broadcast side stays under 64 MB
+MOST_BROADCAST_KEYS = 1_000_000
+
+
+def row_key(df: DataFrame) -> Column:
+    """Key of a whole row."""
+    return content_key(*[df[f"`{c}`"] for c in df.columns])
+
+
+def rows_without(docs: DataFrame, key: str, own: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (``key``, ``own``) is not in ``gone`` (doc, row_key), a durable table.
+
+    Few keys are broadcast, after a count; more are joined by a shuffle.
+    """
+    side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST_KEYS else gone
+    rows = docs.select(packed(docs).alias("row"), F.col(key).alias("own_doc"), own.alias("own_key"))
+    return rows.join(side, rows["own_doc"].eqNullSafe(side["doc"]) & (rows["own_key"] == side["row_key"]), "left_anti").select("row.*")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salestide.llm.common import content_key, packed
+from salestide.llm.common import content_key, rows_without
 from salestide.session import durable
 
 WINDOW = 5
@@ -159,7 +159,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that match no benchmark item, with their own columns."""
-    flagged = leaks(docs, benchmark, key, text, **options).select(F.col("doc").alias("leaked"), "text_key").distinct()
-    rows = docs.select(packed(docs).alias("row"), F.col(key).alias("doc"), content_key(F.col(text)).alias("own_key"))
-    kept = rows.join(flagged, rows["doc"].eqNullSafe(flagged["leaked"]) & (rows["own_key"] == flagged["text_key"]), "left_anti")
-    return kept.select("row.*")
+    found = leaks(docs, benchmark, key, text, **options)
+    flagged = durable(found.select("doc", F.col("text_key").alias("row_key")).distinct())
+    return rows_without(docs, key, content_key(F.col(text)), flagged)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from salestide.llm.common import content_key, packed
+from salestide.llm.common import packed, row_key, rows_without
 from salestide.llm.components import components
 from salestide.session import durable
 
@@ -135,7 +135,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     component only where it has no other.  Repeated rows stay, each with the
     same answer.
     """
-    read = docs.select(F.col(key).alias("doc"), content_key(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_key"), F.col(text).alias("text"))
+    read = docs.select(F.col(key).alias("doc"), row_key(docs).alias("row_key"), F.col(text).alias("text"))
     narrow = durable(read.select("doc", "row_key", fingerprints(F.col("text")).alias("fp")))
     distinct = durable(narrow.groupBy("fp").agg(F.min("doc").alias("first")))
     roots = components(near_pairs(distinct.select("fp")))
@@ -148,12 +148,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of every group, with the columns of ``docs``: the smallest key (nulls last), then the smallest row
     hash; of equal rows, one."""
-    cells = groups(docs, key, text).groupBy("root", "doc", "row_key").agg(F.count(F.lit(1)).alias("equal"))
-    best = cells.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "row_key", "equal")).alias("best"))
-    kept = durable(best.select(F.col("best.doc").alias("doc"), F.col("best.row_key").alias("row_key"), F.col("best.equal").alias("equal")))
-    rows = docs.select(packed(docs).alias("row"), F.col(key).alias("own"), content_key(*[docs[f"`{c}`"] for c in docs.columns]).alias("own_key"))
-    chosen = rows.join(kept, rows["own"].eqNullSafe(kept["doc"]) & (rows["own_key"] == kept["row_key"]))
-    if kept.where("equal > 1").isEmpty():
-        return chosen.select("row.*")
-    repeated = chosen.where("equal > 1").dropDuplicates(["doc", "row_key"])
-    return chosen.where("equal = 1").select("row.*").union(repeated.select("row.*"))
+    cells = durable(groups(docs, key, text).groupBy("root", "doc", "row_key").agg(F.count(F.lit(1)).alias("equal")))
+    order = F.struct(F.col("doc").isNull().alias("late"), "doc", "row_key")
+    best = cells.groupBy("root").agg(F.min(order).alias("best"))
+    gone = durable(cells.join(best, "root").where(order != F.col("best")).select("doc", "row_key"))
+    kept = rows_without(docs, key, row_key(docs), gone)
+    repeated = durable(cells.where("equal > 1").join(gone.select(F.col("row_key").alias("gone_key")), F.col("row_key") == F.col("gone_key"), "left_anti").select("doc", "row_key"))
+    if repeated.isEmpty():
+        return kept
+    once = rows_without(kept, key, row_key(kept), repeated)
+    rows = kept.select(packed(kept).alias("row"), row_key(kept).alias("own_key"))
+    several = rows.join(repeated.select("row_key"), rows["own_key"] == repeated["row_key"], "left_semi").dropDuplicates(["own_key"])
+    return once.union(several.select("row.*"))
