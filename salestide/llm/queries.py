@@ -1,9 +1,9 @@
 """All queries of the subpackage and the SQL that states the same results."""
 
-from salestide.llm import queries_ann, queries_decontam, queries_langid, queries_mixing, queries_pages, queries_pii, queries_repeats, queries_sharding, queries_simhash
+from salestide.llm import queries_ann, queries_decontam, queries_langid, queries_licences, queries_mixing, queries_pages, queries_pii, queries_repeats, queries_sharding, queries_simhash
 
 QUERIES = {}
 ORACLES = {}
-for _part in (queries_mixing, queries_decontam, queries_simhash, queries_repeats, queries_pii, queries_sharding, queries_langid, queries_ann, queries_pages):
+for _part in (queries_mixing, queries_decontam, queries_simhash, queries_repeats, queries_pii, queries_sharding, queries_langid, queries_ann, queries_pages, queries_licences):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)
