@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,6 +36,15 @@ NUTRIENTS = {
     "fibres_100g": r"Fibres?\s+alimentaires?\s*\(g\)", "proteines_100g": r"Prot[eé]ines?\s*\(g\)", "sel_100g": r"Sel\s*\(g\)",
 }
 
+# A weight in grams, portion lines, notes in allergen sentences, protein mentions.
+GRAMS = r"(?i)(\d+(?:[,.]\d+)?)\s*g(?![A-Za-z])"
+PORTION_LINE = r"(?i)\b(Portion|Serving\s*size)\b"
+BOLD_NOTE = r"(?i)\s*\(?\bsee\s+in\s+bold\b\)?\s*"
+EQUIPMENT_NOTE = r"(?is)\bmanufactured\s+on\b.*"
+SENTENCE_END = r"[ .;,\-]+$"
+PROTEIN_BEFORE = r"(?U)\b(\w+\s+proteins?)\b"
+PROTEIN_AFTER = r"(?U)\b(proteins?\s+\w+)\b"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, although ``body`` uses it several times."""
@@ -51,10 +60,13 @@ def inline_text(c: Column) -> Column:
     return strip(F.regexp_replace(F.replace(c, F.lit(" "), F.lit(" ")), r"[ \t]+", " "))
 
 
+def _any_of(variants: list[str]) -> str:
+    return "(?iu)" + "|".join(sorted(variants, key=len, reverse=True))
+
+
 def _first_of(text: Column, variants: list[str]) -> Column:
-    """Earliest 1-based position of any variant in the lower-cased text, null when absent."""
-    low = F.lower(text)
-    return F.array_min(F.filter(F.array(*[F.instr(low, v) for v in variants]), lambda p: p > 0))
+    """Earliest 1-based position of any variant, in any case, null when absent."""
+    return F.nullif(F.regexp_instr(text, F.lit(_any_of(variants))), F.lit(0))
 
 
 def section(text: Column, heading: str, following: str) -> Column:
@@ -65,8 +77,8 @@ def section(text: Column, heading: str, following: str) -> Column:
 
     def after(start: Column) -> Column:
         newline = F.position(F.lit("\n"), text, start)
-        low = F.lower(F.substr(text, start, F.lit(100)))
-        length = F.array_max(F.array(*[F.when(F.startswith(low, F.lit(v)), len(v)) for v in HEADINGS[heading]]))
+        # the longest variant that begins there
+        length = F.length(F.regexp_substr(F.substr(text, start, F.lit(100)), F.lit(_any_of(HEADINGS[heading]))))
         tail = F.substr(text, F.when(newline > 0, newline + 1).otherwise(start + length))
         return F.when(start.isNull(), F.lit("")).otherwise(let(tail, body))
 
@@ -91,28 +103,14 @@ def english_paragraph(c: Column) -> Column:
 @F.pandas_udf(ArrayType(StringType()))
 def keyword_list(texts: pd.Series) -> pd.Series:
     """Keywords of a paragraph; brackets nest, which the built-in split cannot follow."""
-    return texts.map(_keywords)
-
-
-
-def with_keywords(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Adds a keyword list per ``{output: text column}`` in one Arrow pass over the rows."""
-    extra = ", ".join(f"`{o}` array<string>" for o in columns)
-    present = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**{o: pdf[c].map(_keywords) for o, c in columns.items()})
-
-    return df.mapInPandas(add, f"{present}, {extra}")
+    return pd.Series([_keywords(t) for t in texts], dtype=object)
 
 
 def portion_size(text: Column) -> Column:
     """Last ``n g`` on the first portion line that has one, else the last in the text."""
     clean = F.regexp_replace(text, "[  ]", " ")
-    grams = r"(?i)(\d+(?:[,.]\d+)?)\s*g(?![A-Za-z])"
-    last = lambda s: F.try_element_at(F.regexp_extract_all(s, F.lit(grams), F.lit(1)), F.lit(-1))
-    lines = F.filter(F.split(clean, r"\r\n|\r|\n"), lambda s: s.rlike(r"(?i)\b(Portion|Serving\s*size)\b"))
+    last = lambda s: F.try_element_at(F.regexp_extract_all(s, F.lit(GRAMS), F.lit(1)), F.lit(-1))
+    lines = F.filter(F.split(clean, r"\r\n|\r|\n"), lambda s: s.rlike(PORTION_LINE))
     best = F.coalesce(F.try_element_at(F.array_compact(F.transform(lines, last)), F.lit(1)), last(clean))
     return F.coalesce(F.concat(F.replace(best, F.lit(","), F.lit(".")), F.lit(" g")), F.lit(""))
 
@@ -144,9 +142,9 @@ def header_fields(first_page: Column, text: Column) -> Column:
 
 def allergen_sentence(c: Column) -> Column:
     """Without the note on bold print and the part on shared equipment."""
-    t = F.regexp_replace(c, r"(?i)\s*\(?\bsee\s+in\s+bold\b\)?\s*", " ")
-    t = F.regexp_replace(t, r"(?is)\bmanufactured\s+on\b.*", "")
-    return F.regexp_replace(strip(F.regexp_replace(t, r"\s{2,}", " ")), r"[ .;,\-]+$", "")
+    t = F.regexp_replace(c, BOLD_NOTE, " ")
+    t = F.regexp_replace(t, EQUIPMENT_NOTE, "")
+    return F.regexp_replace(strip(F.regexp_replace(t, r"\s{2,}", " ")), SENTENCE_END, "")
 
 
 def nutrient(table: Column, pattern: str) -> Column:
@@ -155,22 +153,19 @@ def nutrient(table: Column, pattern: str) -> Column:
     return F.replace(found, F.lit(","), F.lit(".")).try_cast("decimal(8,2)")
 
 
-_PROTEIN_BEFORE = r"(?U)\b(\w+\s+proteins?)\b"
-_PROTEIN_AFTER = r"(?U)\b(proteins?\s+\w+)\b"
-
 
 def protein_source(items: Column) -> Column:
     """Protein mentions of the ingredients, distinct, in order."""
     def mentions(item: Column) -> Column:
         low = F.lower(item)
-        before = F.regexp_extract_all(low, F.lit(_PROTEIN_BEFORE), F.lit(1))
-        return F.when(F.size(before) > 0, before).otherwise(F.regexp_extract_all(low, F.lit(_PROTEIN_AFTER), F.lit(1)))
+        before = F.regexp_extract_all(low, F.lit(PROTEIN_BEFORE), F.lit(1))
+        return F.when(F.size(before) > 0, before).otherwise(F.regexp_extract_all(low, F.lit(PROTEIN_AFTER), F.lit(1)))
 
     return F.array_join(F.array_distinct(F.flatten(F.transform(items, mentions))), "; ")
 
 
 def without_protein(items: Column) -> Column:
-    return F.filter(items, lambda s: ~F.lower(s).rlike(_PROTEIN_BEFORE) & ~F.lower(s).rlike(_PROTEIN_AFTER))
+    return F.filter(items, lambda s: ~F.lower(s).rlike(PROTEIN_BEFORE) & ~F.lower(s).rlike(PROTEIN_AFTER))
 
 
 def documents(pages: DataFrame) -> DataFrame:
@@ -193,8 +188,10 @@ def parse_sheets(pages: DataFrame) -> DataFrame:
         {"ingredients_raw": english_paragraph(section(t, "ingredients", "allergens")), "_allergens": allergen_sentence(english_paragraph(allergens)),
          "_table": table, "portion_size": F.nullif(portion_size(t), F.lit("")), "_head": header_fields(F.col("first_page"), t)}
     ).withColumns({"product_id": F.col("_head.id"), "product_name": F.coalesce("_head.name", F.lit(""))}).drop("_head", "text", "first_page")
-    d = with_keywords(d, {"_items": "ingredients_raw", "_words": "_allergens"}).withColumn(
-        "allergens", F.array_join("_words", "; ")
+    # a generator of one row: the optimizer would merge the lists into lambdas, where Python can't run
+    words = F.struct(keyword_list("ingredients_raw").alias("items"), keyword_list("_allergens").alias("words"))
+    d = d.select("*", F.explode(F.array(words)).alias("_lists")).withColumns(
+        {"_items": F.col("_lists.items"), "allergens": F.array_join("_lists.words", "; ")}
     )
     d = d.withColumns({c: nutrient(F.col("_table"), p) for c, p in NUTRIENTS.items()}).withColumns(
         {"protein_source": protein_source(F.col("_items")), "ingredients_list": without_protein(F.col("_items"))}

@@ -50,7 +50,7 @@ def _(spark, d):
 @query("txt_03_keywords_corpus")
 def _(spark, d):
     words = _corpus(spark, d).select("doc_id", txt.keyword_list("text").alias("w"))
-    return words.select("doc_id", F.size("w").alias("n_keywords"), F.sha2(F.array_join("w", "|"), 256).alias("digest"))
+    return words.select("doc_id", F.size("w").alias("n_keywords"), F.array_join("w", "|").alias("keywords"))
 
 
 @rquery("txt_04_portion_size", "select source_file, (portion_size[:-3])||'.5 g' portion_size from rv")
@@ -60,15 +60,15 @@ def _(spark, d):
 
 @query(
     "txt_04_portion_size_corpus",
-    r"""select doc_id, coalesce(replace(regexp_extract_all(text, '(?i)(\d+(?:[,.]\d+)?)\s*g(?:[^A-Za-z]|$)', 1)[-1], ',', '.')||' g', '') portion_size from documents
-     where not regexp_matches(text, '(?i)\b(Portion|Serving\s*size)\b')""",
+    r"""with g as (select doc_id, text, '(?i)(\d+(?:[,.]\d+)?)\s*g(?:[^A-Za-z]|$)' pattern from documents),
+     l as (select doc_id, pattern, unnest(string_split_regex(text, '\r\n|\r|\n')) line, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) pos from g),
+     p as (select doc_id, arg_min(regexp_extract_all(line, pattern, 1)[-1], pos) size from l
+       where regexp_matches(line, '(?i)\b(Portion|Serving\s*size)\b') and len(regexp_extract_all(line, pattern, 1))>0 group by doc_id)
+     select doc_id, coalesce(replace(coalesce(size, regexp_extract_all(text, pattern, 1)[-1]), ',', '.')||' g', '') portion_size from g left join p using (doc_id)""",
     base="",
 )
 def _(spark, d):
-    c = _corpus(spark, d)
-    return c.where(~F.col("text").rlike(r"(?i)\b(Portion|Serving\s*size)\b")).select(
-        "doc_id", txt.portion_size(F.col("text")).alias("portion_size")
-    )
+    return _corpus(spark, d).select("doc_id", txt.portion_size(F.col("text")).alias("portion_size"))
 
 
 @rquery("txt_05_header", "select source_file, product_id, product_name from rv")
