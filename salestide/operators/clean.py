@@ -19,12 +19,10 @@ COUNTRY_PREFIXES = [
 # Accounting columns that are not kept, families that are not sales.
 ACCOUNTING_COLUMNS = ["Code Group", "Cpt Compta", "Cpte vente"]
 EXCLUDED_FAMILIES = ["LIQ", "DEVL", "ZDIV"]
-# Accepted date shapes with their patterns.
-DATE_PATTERNS = [
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"), (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$", "dd/MM/yyyy HH:mm:ss"),
-    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
-]
+# Accepted date shapes, year first or day first, with an optional time.
+TIME_PART = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?)?"
+YEAR_FIRST = rf"^\s*(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){TIME_PART}\s*$"
+DAY_FIRST = rf"^\s*(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){TIME_PART}\s*$"
 DATES = ["invoice_date", "order_date", "ship_date", "planned_date"]
 NUMBERS = ["qty", "amount", "unit_price"]
 
@@ -37,14 +35,29 @@ def country_of(client_id: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Date by the accepted patterns, null for anything else.
+    """Date of a text, year first (ISO) or day first, with or without a time; null for anything else.
 
-    The shape is tested first, since a failed parse costs an exception per value.
+    Two-digit years from 69 on belong to the last century.
     """
-    out = F
-    for shape, pattern in DATE_PATTERNS:
-        out = out.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(pattern)))
-    return F.to_date(out)
+    part = lambda shape, k: F.regexp_extract(c, shape, k).try_cast("int")
+    iso, day = c.rlike(YEAR_FIRST), c.rlike(DAY_FIRST)
+    written = part(DAY_FIRST, 3)
+    year = F.when(F.length(F.regexp_extract(c, DAY_FIRST, 3)) == 4, written).otherwise(written + F.when(written < 69, 2000).otherwise(1900))
+    none = F.lit(0)
+    return F.to_date(
+        F.when(iso, F.try_make_timestamp(part(YEAR_FIRST, 1), part(YEAR_FIRST, 2), part(YEAR_FIRST, 3), none, none, none))
+        .when(day, F.try_make_timestamp(year, part(DAY_FIRST, 2), part(DAY_FIRST, 1), none, none, none))
+    )
+
+
+def unparsed_dates(raw: DataFrame) -> DataFrame:
+    """(column, texts, unparsed): how many texts of each date column are no date; blank ones don't count."""
+    named = _named(raw)
+    known = [c for c in DATES if c in named.columns]
+    told = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != ""
+    one = named.agg(*[F.struct(F.lit(c).alias("column"), F.count_if(told(c)).alias("texts"),
+                               F.count_if(told(c) & parse_date(F.col(c).cast("string")).isNull()).alias("unparsed")).alias(c) for c in known])
+    return one.select(F.inline(F.array(*known)))
 
 
 def parse_types(df: DataFrame) -> DataFrame:
@@ -106,11 +119,17 @@ def with_reference_price(df: DataFrame) -> DataFrame:
     median = lambda key, name: exact_percentiles(
         priced.where(F.col(key).isNotNull()), [key], "unit_price", {name: 0.5}, weight="n"
     )
-    article, family = median("article_code", "_pa"), median("family", "_pf")
-    return (
-        df.join(article, "article_code", "left").join(family, "family", "left")
-        .withColumn("reference_price", F.coalesce("_pa", "_pf")).drop("_pa", "_pf")
+    # the lines meet one small table per (article, family): the family's price travels with it
+    pairs = df.select("article_code", "family").distinct()
+    prices = pairs.join(median("article_code", "_pa"), "article_code", "left").join(median("family", "_pf"), "family", "left").select(
+        F.coalesce("article_code", F.lit("")).alias("_a"), F.coalesce("family", F.lit("")).alias("_f"), F.coalesce("_pa", "_pf").alias("reference_price"),
+        F.col("article_code").isNull().alias("_na"), F.col("family").isNull().alias("_nf"),
     )
+    keyed = df.withColumns({
+        "_a": F.coalesce("article_code", F.lit("")), "_f": F.coalesce("family", F.lit("")),
+        "_na": F.col("article_code").isNull(), "_nf": F.col("family").isNull(),
+    })
+    return keyed.join(prices, ["_a", "_f", "_na", "_nf"], "left").drop("_a", "_f", "_na", "_nf")
 
 
 def repair_negatives(df: DataFrame) -> DataFrame:

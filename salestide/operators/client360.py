@@ -26,9 +26,14 @@ def one_client(df: DataFrame, client_id: str, families: list[str] | None = None)
 
 
 def with_order_key(df: DataFrame, row_key: str | None = None) -> DataFrame:
-    """Order id, or a key of the line itself when the id is blank."""
+    """Order id, or a key of the line itself when the id is blank.
+
+    Without ``row_key`` the key is a hash of the line's columns, the same in
+    every branch and every retry; lines that are equal in all columns are then
+    one order.
+    """
     given = F.nullif(F.trim("order_id"), F.lit(""))
-    own = F.col(row_key).cast("string") if row_key else F.monotonically_increasing_id().cast("string")
+    own = F.col(row_key).cast("string") if row_key else F.hex(F.xxhash64(*[x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]))
     return df.withColumn("order_key", F.coalesce(given, F.concat(F.lit("line:"), own)))
 
 

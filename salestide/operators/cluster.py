@@ -90,8 +90,13 @@ def with_vector(features: DataFrame, names: list[str], fit_on: DataFrame | None
     return model.transform(assembler.transform(features)).drop("_raw")
 
 
-def _fit(vectors: DataFrame, k: int, seed: int):
-    return KMeans(k=k, seed=seed, maxIter=500, featuresCol="vector", predictionCol="cluster").fit(vectors)
+#: starts of the K-means that is kept; the tightest result counts
+STARTS = 3
+
+
+def _fit(vectors: DataFrame, k: int, seed: int, starts: int = 1):
+    models = [KMeans(k=k, seed=seed + i, maxIter=500, featuresCol="vector", predictionCol="cluster").fit(vectors) for i in range(starts)]
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def _distance(centers: list[np.ndarray]) -> Column:
@@ -125,11 +130,13 @@ _SCORE_SCHEMA = "k int, silhouette double, inertia double, davies_bouldin double
 
 
 def search_k(vectors: DataFrame, low: int = 2, high: int = 10, seed: int = 42) -> DataFrame:
-    """Scores of every k; the best silhouette is marked (the loop is over k, not over data)."""
-    rows = []
-    for k in range(low, high + 1):
+    """Scores of every k below the number of rows; the best silhouette is marked (the loop is over k, not over data)."""
+    rows, n = [], vectors.count()
+    for k in range(low, min(high, n - 1) + 1):
         model = _fit(vectors, k, seed)
         rows.append(_scores(model.transform(vectors), model.clusterCenters()))
+    if not rows:
+        raise ValueError("too few rows to cluster")
     best = max(rows, key=lambda r: r["silhouette"])["k"]
     return vectors.sparkSession.createDataFrame(
         [(r["k"], r["silhouette"], r["inertia"], r["davies_bouldin"], r["calinski_harabasz"]) for r in rows], _SCORE_SCHEMA
@@ -140,7 +147,7 @@ def cluster_clients(vectors: DataFrame, k: int | None = None, low: int = 2, high
     """(clients with their cluster, one row of scores); k by silhouette unless given."""
     if k is None:
         k = search_k(vectors, low, high, seed).where("is_best").first()["k"]
-    model = _fit(vectors, k, seed)
+    model = _fit(vectors, k, seed, STARTS)
     assigned = durable(model.transform(vectors))
     s = _scores(assigned, model.clusterCenters())
     scores = vectors.sparkSession.createDataFrame([tuple(s.values())], _SCORE_SCHEMA)
@@ -260,7 +267,7 @@ def cluster_quarters(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     reference, out = None, []
     for q in quarters:
         part = vectors.where(F.col("quarter") == q)
-        model = _fit(part, k, seed)
+        model = _fit(part, k, seed, STARTS)
         centers = model.clusterCenters()
         labels = list(range(k)) if reference is None else matching(reference, centers)
         reference = reference if reference is not None else centers

@@ -132,12 +132,12 @@ def _(spark, d):
 
 @query(
     "cln_09_duplicate_count",
-    """select (count(*)-count(distinct (l_orderkey,l_linenumber,l_returnflag)))::bigint duplicates from lineitem""", base="",
+    "select ((select count(*) from lineitem)-(select count(*) from (select distinct * from lineitem)))::bigint duplicates", base="",
 )
 def _(spark, d):
     from salestide.sources.views import read_table
 
-    return cln.duplicate_count(read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+    return cln.duplicate_count(read_table(spark, d, "lineitem"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +18,7 @@ def local_session(cores: str = "8", name: str = "salestide") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", os.environ.get("SALESTIDE_CHECKPOINTS", "/tmp/salestide-checkpoints"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,21 +28,18 @@ def local_session(cores: str = "8", name: str = "salestide") -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local master may
-    fall back to a folder of its own; on a cluster a missing setting is an
-    error, because executors on other machines could not read the files.
+    The folder comes from ``spark.checkpoint.dir``, which all executors share;
+    without it, or a folder set on the context, this is an error.
     """
     sc = df.sparkSession.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
-        "spark.checkpoint.dir", None
-    )
     if sc.getCheckpointDir() is None:
-        if configured:
-            sc.setCheckpointDir(configured)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="salestide-ckpt-"))
-        else:
+        configured = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if configured is None and sc.master.startswith("local["):
+            # one machine, as in tests: nothing else reads the files
+            configured = "/tmp/salestide-checkpoints"
+        if configured is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
 
 

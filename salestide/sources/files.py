@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,38 +25,34 @@ def read_lines(
 ) -> DataFrame:
     """Invoice lines from one CSV or Parquet path, chosen by suffix, as strings.
 
-    CSV is never type-inferred; types are decided by the cleaning step.
+    CSV is never type-inferred; types are decided by the cleaning step.  In a
+    folder, a file whose header differs from the first one's is an error.
     """
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
         return df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
     schema = all_strings(names or _header(spark, path, sep))
-    return spark.read.schema(schema).options(header=True, sep=sep, multiLine=False).csv(path)
+    return spark.read.schema(schema).options(header=True, sep=sep, multiLine=False, enforceSchema=names is not None).csv(path)
 
 
 def read_yearly(
     spark: SparkSession, folder: str, pattern: str = "*.csv", headers: list[list[str]] | None = None
 ) -> DataFrame:
-    """Stack all files of a folder whose name matches ``pattern``.
+    """Stack all files of a folder whose name matches ``pattern``, column by column name.
 
-    Files of one layout are read in one scan.  For layouts that differ, pass
-    one (pattern, names) pair per layout in ``headers``; absent columns are null.
+    The header of every file is read first, one line each; files of one layout
+    are one scan, and layouts are joined by name, absent columns null.  Pass
+    (pattern, names) pairs in ``headers`` for files without a usable header.
     """
-    if not headers:
-        return (
-            spark.read.option("pathGlobFilter", pattern)
-            .options(header=True)
-            .csv(folder)
-            .withColumn("source_file", F.col("_metadata.file_name"))
-        )
-    parts = [
-        spark.read.schema(all_strings(names))
-        .option("pathGlobFilter", glob)
-        .options(header=True)
-        .csv(folder)
-        .withColumn("source_file", F.col("_metadata.file_name"))
-        for glob, names in headers
-    ]
+    if headers:
+        found = [(names, spark.read.schema(all_strings(names)).option("pathGlobFilter", glob).options(header=True).csv(folder)) for glob, names in headers]
+    else:
+        layouts: dict[tuple[str, ...], list[str]] = {}
+        for file in spark.read.option("pathGlobFilter", pattern).text(folder).inputFiles():
+            path = unquote(file)
+            layouts.setdefault(tuple(_header(spark, path, ",")), []).append(path)
+        found = [(names, spark.read.schema(all_strings(list(names))).options(header=True).csv(paths)) for names, paths in sorted(layouts.items())]
+    parts = [df.withColumn("source_file", F.col("_metadata.file_name")) for _, df in found]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -112,12 +109,13 @@ def upsert(
 
     ``newest`` picks between several incoming rows of one key (largest wins);
     the pick is a partial aggregate, so a key with many copies does not gather
-    in one task.
+    in one task.  Incoming rows without a key are left out; ``upsert_counts``
+    tells how many.
     """
     value_cols = [c for c in current.columns if c != key]
     order = newest if newest is not None else F.struct(*value_cols)
     latest = (
-        incoming.groupBy(key)
+        incoming.where(F.col(key).isNotNull()).groupBy(key)
         .agg(F.max_by(F.struct(*value_cols), order).alias("_new"))
     )
     old = current.select(F.col(key), F.struct(*value_cols).alias("_old"))
@@ -135,5 +133,9 @@ def upsert(
     )
 
 
-def upsert_counts(merged: DataFrame) -> DataFrame:
-    return merged.groupBy("action").agg(F.count("*").alias("rows"))
+def upsert_counts(merged: DataFrame, incoming: DataFrame | None = None, key: str = "product_id") -> DataFrame:
+    """Rows per action; with ``incoming`` also those rejected for want of a key."""
+    counts = merged.groupBy("action").agg(F.count("*").alias("rows"))
+    if incoming is None:
+        return counts
+    return counts.union(incoming.agg(F.lit("rejected").alias("action"), F.count_if(F.col(key).isNull()).alias("rows")))

@@ -175,3 +175,43 @@ def test_read_sheets(spark, tmp_path):
     (folder / "one.txt").write_text("page one\fpage two")
     got = files.read_sheets(spark, str(tmp_path)).orderBy("page").collect()
     assert [(r["page"], r["text"]) for r in got] == [(1, "page one"), (2, "page two")]
+
+
+def test_dates_in_all_shapes(spark):
+    from salestide.operators.clean import parse_date, unparsed_dates
+
+    texts = ["5/3/2024", "05.03.2024", "05/03/24", "2024-03-05T10:00:00", "2024-03-05 00:00:00.123", "05/03/2024 10:00", "2024-03-05", "05-03-2024"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {str(r.d) for r in rows.select(parse_date(F.col("t")).alias("d")).collect()} == {"2024-03-05"}
+    bad = spark.createDataFrame([(t,) for t in ("31/02/2024", "xx", "2024-13-01", "1/2", None, "")], "t string")
+    assert {r.d for r in bad.select(parse_date(F.col("t")).alias("d")).collect()} == {None}
+    told = unparsed_dates(bad.withColumnRenamed("t", "Date Fact.")).collect()
+    assert ("invoice_date", 4, 4) in [tuple(r) for r in told]
+
+
+def test_yearly_files_with_other_header_order(spark, tmp_path):
+    from salestide.sources import files
+
+    (tmp_path / "sales 2023.csv").write_text("Cpt Client,Montant,N° Bon\n20,1.5,a\n")
+    (tmp_path / "sales 2024.csv").write_text("N° Bon,Cpt Client,Montant,Extra\nb,21,2.5,x\n")
+    got = files.read_yearly(spark, str(tmp_path)).select("source_file", "Cpt Client", "Montant", "N° Bon", "Extra").collect()
+    assert sorted(map(tuple, got)) == [("sales%202023.csv", "20", "1.5", "a", None), ("sales%202024.csv", "21", "2.5", "b", "x")] or sorted(
+        map(tuple, got)
+    ) == [("sales 2023.csv", "20", "1.5", "a", None), ("sales 2024.csv", "21", "2.5", "b", "x")]
+
+
+def test_upsert_rejects_rows_without_a_key(spark):
+    from salestide.sources import files
+
+    now = spark.createDataFrame([("a", 1)], "product_id string, v int")
+    new = spark.createDataFrame([("a", 2), (None, 3), (None, 4), ("b", 5)], "product_id string, v int")
+    counts = {r.action: r["rows"] for r in files.upsert_counts(files.upsert(now, new), new).collect()}
+    assert counts == {"updated": 1, "created": 1, "rejected": 2}
+
+
+def test_blank_orders_have_one_key_in_every_branch(spark):
+    from salestide.operators.client360 import with_order_key
+
+    rows = spark.range(100).selectExpr("'c' client_id", "'' order_id", "id amount")
+    one, two = with_order_key(rows.repartition(7)), with_order_key(rows.repartition(3))
+    assert one.join(two, ["order_key", "amount"]).count() == 100
