@@ -111,9 +111,9 @@ def _placed(df: DataFrame, text: Column, *kept: Column) -> DataFrame:
     return df.select(*kept, split.alias("split"))
 
 
-def _slots(placed: DataFrame, names: list[str], at: str) -> DataFrame:
-    """One row per window: its start, its hash and its slots."""
-    width = F.least(F.size("split"), F.lit(WINDOW))
+def _slots(placed: DataFrame, names: list[str], at: str, whole: bool) -> DataFrame:
+    """One row per window: its start, its tokens and their values; with ``whole`` no windows cut short by the end."""
+    width = F.least(F.size("split"), F.lit(WINDOW)) if whole else F.lit(1)
     starts = F.when(F.size("split") > 0, F.sequence(F.lit(0), F.size("split") - width))
     return placed.select(*names, "split", F.explode(starts).alias(at)).select(
         *names, at, F.slice("split", F.col(at) + 1, F.lit(WINDOW)).alias("part")
@@ -132,8 +132,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     # one row per (document id, text), even if the table repeats it
     own = texts.join(chosen, texts["doc"].eqNullSafe(chosen["doc"]) & (texts["text_key"] == chosen["text_key"]), "left_semi")
     own = own.groupBy("doc", "text_key").agg(F.first("text").alias("text"))
-    theirs = _slots(_placed(own, F.col("text"), F.col("doc"), F.col("text_key")), ["doc", "text_key"], "at")
-    ours = _slots(_placed(benchmark, F.col("text"), F.col("item_id").alias("item")), ["item"], "from")
+    theirs = _slots(_placed(own, F.col("text"), F.col("doc"), F.col("text_key")), ["doc", "text_key"], "at", whole=False)
+    ours = _slots(_placed(benchmark, F.col("text"), F.col("item_id").alias("item")), ["item"], "from", whole=True)
     pairs = found.join(
         ours.select("item", "from", F.col("tokens").alias("own_tokens"), F.col("values").alias("own_values")), "item"
     )
