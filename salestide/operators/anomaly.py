@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from salestide.functions.calendar import with_period
-from salestide.functions.isolation import anomaly_score, grow_forest, own_scores
+from salestide.functions.isolation import anomaly_score, grow, own_scores
 from salestide.functions.loess import decompose
 from salestide.functions.numeric import revenue_per_unit, total
 from salestide.functions.ordering import exact_percentiles, framed_median
@@ -75,15 +78,13 @@ def top_anomalies(scores: DataFrame, n: int = 20, latest_only: bool = False) ->
     )
 
 
-def anomaly_kpis(scores: DataFrame, n: int = 20) -> DataFrame:
-    """Counts; those of the newest period cover the n rows that are listed."""
-    latest = top_anomalies(scores, n, latest_only=True)
-    return scores.agg(
+def anomaly_kpis(scores: DataFrame) -> DataFrame:
+    """Counts over all anomalies, and over all of the newest period."""
+    newest = F.col("is_anomaly") & (F.col("period_index") == F.col("_newest"))
+    return scores.withColumn("_newest", scores.agg(F.max("period_index")).scalar()).agg(
         F.max_by("period", "period_index").alias("latest_period"), F.count_if("is_anomaly").alias("anomalies_total"),
-        F.count_distinct("client_id").alias("clients_total"),
-    ).withColumns(
-        {"anomalies_latest": latest.agg(F.count("*")).scalar(),
-         "clients_latest": latest.agg(F.count_distinct("client_id")).scalar()}
+        F.count_distinct("client_id").alias("clients_total"), F.count_if(newest).alias("anomalies_latest"),
+        F.count_distinct(F.when(newest, F.col("client_id"))).alias("clients_latest"),
     )
 
 
@@ -111,18 +112,41 @@ def forest_scores(df: DataFrame, columns: list[str], key: list[str], contaminati
                   trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """Isolation score of every row and the flag of the most isolated share.
 
-    The trees need at most ``trees × sample`` rows.  Those are drawn by key
-    hash, first thinned to about twice that many on the executors, so the draw
-    is bounded on the driver whatever the table size; the trees are broadcast
-    and every row is scored where it lies.
+    Every tree is grown by one task on its own hash sample of at most
+    ``sample`` rows: a row is offered to as many trees as it takes to give each
+    about twice its sample, and a tree keeps the rows of smallest hash.  Only
+    finished trees reach the driver; they are broadcast, and every row is scored
+    where it lies.  Nulls are scored as the column's median.  Fewer than two
+    rows, or no column that varies, give no trees and score 0.
     """
-    need = trees * sample
-    n = df.count()
-    h = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(1 << 30))
-    keep = min(1.0, 2.0 * need / max(n, 1))
-    drawn = df.withColumn("_h", h).where(F.col("_h") < int(keep * (1 << 30)) + 1)
-    picked = drawn.orderBy("_h", *key).limit(need).select(*[F.col(c).cast("double").alias(c) for c in columns]).toPandas()
-    forest, size = grow_forest(picked.to_numpy(dtype=float), trees, sample, seed)
+    told = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    n = told["n"]
+    full = {c: 0.0 for c in columns}
+    if lacking := [c for i, c in enumerate(columns) if told[f"_{i}"] < n]:
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in lacking]).unpivot([], lacking, "variable", "value")
+        for r in exact_percentiles(long.where("value is not null"), ["variable"], "value", {"m": 0.5}).collect():
+            full[r["variable"]] = r["m"]
+    features = [f"_x{i}" for i in range(len(columns))]
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(full[c])).alias(x) for c, x in zip(columns, features)]
+    offers = max(1, math.ceil(2 * trees * sample / max(n, 1)))
+    offers = min(offers, trees)
+    share = min(1.0, 2 * trees * sample / max(n * offers, 1))
+    place = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.col("_offer"), F.lit(seed)), F.lit(1 << 40))
+    offered = df.select(*key, *values).withColumn("_offer", F.explode(F.sequence(F.lit(0), F.lit(offers - 1)))).withColumn(
+        "_h", place
+    ).where(F.col("_h") < int(share * (1 << 40))).withColumn("tree", ((F.col("_h") + F.col("_offer")) % trees).cast("int"))
+
+    def grown(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.drop_duplicates([*key, *features]).sort_values(["_h", *key], kind="stable").head(sample)
+        tree = grow(own[features].to_numpy(dtype=float), np.random.default_rng(seed + int(pdf["tree"].iloc[0])), math.ceil(math.log2(max(sample, 2))))
+        return pd.DataFrame({"tree": [int(pdf["tree"].iloc[0])], "rows": [len(own)], "body": [pickle.dumps(tree)]})
+
+    found = spread(offered, "tree").groupBy("tree").applyInPandas(grown, "tree int, rows int, body binary").orderBy("tree").collect()
+    forest = [pickle.loads(bytes(r["body"])) for r in found if r["rows"] > 1]
+    size = max((r["rows"] for r in found), default=0)
+    varied = any((t["feature"] >= 0).any() for t in forest)
+    if not varied:
+        return df.withColumns({"anomaly_score": F.lit(0.0), "is_anomaly": F.lit(False)})
     shared = df.sparkSession.sparkContext.broadcast((forest, size))
 
     @F.pandas_udf(DoubleType())
@@ -130,7 +154,7 @@ def forest_scores(df: DataFrame, columns: list[str], key: list[str], contaminati
         grown, m = shared.value
         return pd.Series(anomaly_score(np.column_stack([c.to_numpy(dtype=float) for c in cols]), grown, m))
 
-    scored = df.withColumn("anomaly_score", score(*[F.col(c).cast("double") for c in columns]))
+    scored = df.withColumn("anomaly_score", score(*[F.coalesce(F.col(c).cast("double"), F.lit(full[c])) for c in columns]))
     cut = exact_percentiles(scored.select(F.round("anomaly_score", 9).alias("s")), [], "s", {"cut": 1 - contamination}).scalar()
     return scored.withColumn("is_anomaly", F.round("anomaly_score", 9) > cut)
 

@@ -99,39 +99,52 @@ def latest_rows(features: DataFrame, horizons: list[int] = HORIZONS) -> DataFram
 
 
 def model_forecast(samples: DataFrame, latest: DataFrame, horizons: list[int] = HORIZONS, rounds: int = 100,
-                   depth: int = 5, step: float = 0.05, least: int = 20, seed: int = 42) -> DataFrame:
+                   depth: int = 5, step: float = 0.05, least: int = 20, seed: int = 42, held_out: int = 5) -> DataFrame:
     """Median and 10/90 % forecasts per client and horizon.
 
     The median comes from boosted trees on absolute loss, trained on the
-    executors.  The outer quantiles add the residual percentiles of held-out
-    clients (every fifth by hash).  Horizons with too few samples are left out.
+    executors.  The band is conditional: on held-out clients (one of
+    ``held_out`` by hash) a second, smaller model learns the size of the
+    residual, and the 10/90 % points of residual over size, times the size
+    expected for the client, give the outer quantiles.  Horizons with too few
+    samples are left out.
     """
     samples = durable(samples)
     sizes = {r["horizon"]: r["n"] for r in samples.groupBy("horizon").agg(F.count("*").alias("n")).collect()}
-    held = F.pmod(F.xxhash64("client_id"), F.lit(5)) == 0
+    held = F.pmod(F.xxhash64("client_id"), F.lit(held_out)) == 0
+    filled = [f"{c}_f" for c in FEATURES]
+    zero = lambda c: F.greatest(c, F.lit(0.0))
     out = None
     for h in horizons:
         if sizes.get(h, 0) < least:
             continue
         part = samples.where(F.col("horizon") == h)
-        filled = [f"{c}_f" for c in FEATURES]
+        trees = dict(maxDepth=depth, minInstancesPerNode=5, seed=seed, featuresCol="features")
         model = Pipeline(
             stages=[
                 Imputer(strategy="median", inputCols=FEATURES, outputCols=filled),
                 VectorAssembler(inputCols=filled, outputCol="features"),
-                GBTRegressor(labelCol="target", lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=step,
-                             minInstancesPerNode=5, seed=seed),
+                GBTRegressor(labelCol="target", lossType="absolute", maxIter=rounds, stepSize=step, **trees),
             ]
         ).fit(part.where(~held))
-        resid = model.transform(part.where(held)).select((F.col("target") - F.col("prediction")).alias("e"))
-        spread_of = exact_percentiles(resid, [], "e", {"lo": 0.1, "hi": 0.9}).first()
-        lo, hi = (spread_of["lo"] or 0.0, spread_of["hi"] or 0.0) if spread_of else (0.0, 0.0)
-        zero = lambda c: F.greatest(c, F.lit(0.0))
-        scored = model.transform(latest.where(F.col("horizon") == h)).select(
-            "client_id", "horizon", zero(F.col("prediction")).alias("m50"), zero(F.col("prediction") + min(lo, 0.0)).alias("m10"),
-            zero(F.col("prediction") + max(hi, 0.0)).alias("m90"),
+        scored = model.transform(latest.where(F.col("horizon") == h))
+        rest = durable(model.transform(part.where(held)).withColumn("e", F.col("target") - F.col("prediction")).select(
+            "features", "e", F.abs("e").alias("size")
+        ))
+        if rest.isEmpty():
+            banded = scored.select("*", F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
+        else:
+            width = GBTRegressor(labelCol="size", predictionCol="width", maxIter=max(1, rounds // 5), stepSize=step, **trees).fit(rest)
+            floor = F.lit(1e-6)
+            units = width.transform(rest).select((F.col("e") / F.greatest("width", floor)).alias("u"))
+            points = exact_percentiles(units, [], "u", {"lo": 0.1, "hi": 0.9}).first()
+            low, high = min(points["lo"] or 0.0, 0.0), max(points["hi"] or 0.0, 0.0)
+            banded = width.transform(scored).select("*", (low * F.greatest("width", floor)).alias("low"), (high * F.greatest("width", floor)).alias("high"))
+        one = banded.select(
+            "client_id", "horizon", zero(F.col("prediction")).alias("m50"), zero(F.col("prediction") + F.col("low")).alias("m10"),
+            zero(F.col("prediction") + F.col("high")).alias("m90"),
         )
-        out = scored if out is None else out.unionByName(scored)
+        out = one if out is None else out.unionByName(one)
     if out is None:
         return latest.select("client_id", "horizon").limit(0).withColumns({c: F.lit(None).cast("double") for c in ("m50", "m10", "m90")})
     return out
@@ -213,7 +226,7 @@ def project(df: DataFrame, horizons: list[int] = HORIZONS, rounds: int = 100) ->
     matrix = features7.drop("active_days").withColumnRenamed("nb_orders", "freq")
     features = durable(with_scores(with_features(matrix), portfolio(features7)))
     latest = latest_rows(features, horizons)
-    model = model_forecast(training_samples(features, horizons), latest, horizons, rounds)
+    model = durable(model_forecast(training_samples(features, horizons), latest, horizons, rounds))
     return blend(latest, model, stl_forecast(matrix, horizons)), churn(latest)
 
 

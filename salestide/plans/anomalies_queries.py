@@ -81,7 +81,7 @@ def _(spark, d):
 
 @query(
     "ano_06_kpis",
-    _scored(6, 3) + f""", lt as (select * from sa where is_anomaly and period_index=(select max(period_index) from cp) {_ORDER})
+    _scored(6, 3) + """, lt as (select * from sa where is_anomaly and period_index=(select max(period_index) from cp))
     select (select max(period) from cp) latest_period, count(*) filter (is_anomaly) anomalies_total, count(distinct client_id) clients_total,
      (select count(*) from lt) anomalies_latest, (select count(distinct client_id) from lt) clients_latest from sa""",
 )

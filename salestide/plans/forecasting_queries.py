@@ -1,3 +1,5 @@
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from salestide.operators import behaviour as beh
@@ -7,8 +9,6 @@ from salestide.plans.registry import query
 from salestide.session import durable
 from salestide.sources.views import sales_view
 
-ROUNDS = 3  # boosting rounds in the registered queries; the operator's default is larger
-
 _W = "over (partition by client_id order by period_index"
 _R = lambda n: f"{_W} rows between {n - 1} preceding and current row)"
 _FE = f""", fn as (select *, nb_orders freq, row_number() {_W}) rn from ft),
@@ -35,6 +35,12 @@ def _latest(spark, d):
     return prj.latest_rows(prj.with_scores(prj.with_features(matrix), beh.portfolio(f7)))
 
 
+@lru_cache(maxsize=4)
+def _project(spark, d):
+    """The fitted projection, shared by the queries of a session."""
+    return prj.project(_lines(spark, d))
+
+
 @query("prj_01_monthly_matrix", FEATURES + " select client_id, period, period_index, ca, qty, nb_orders freq, pu, nb_families, hhi from ft", floats="hhi")
 def _(spark, d):
     return _matrix(spark, d)
@@ -62,7 +68,7 @@ def _(spark, d):
     f7 = beh.monthly_features(_lines(spark, d))
     f7 = durable(f7)
     features = durable(prj.with_scores(prj.with_features(f7.drop("active_days").withColumnRenamed("nb_orders", "freq")), beh.portfolio(f7)))
-    return prj.model_forecast(prj.training_samples(features), prj.latest_rows(features), rounds=ROUNDS)
+    return prj.model_forecast(prj.training_samples(features), prj.latest_rows(features))
 
 
 @query("prj_05_stl_forecast", floats="stl:2 spread:2")
@@ -72,7 +78,7 @@ def _(spark, d):
 
 @query("prj_06_blend", floats="q10:2 q50:2 q90:2 change_pct:4")
 def _(spark, d):
-    return prj.project(_lines(spark, d), rounds=ROUNDS)[0]
+    return _project(spark, d)[0]
 
 
 @query(
@@ -91,14 +97,14 @@ def _(spark, d):
 @query("prj_08_client_results")
 def _(spark, d):
     lines = _lines(spark, d)
-    projection, risk = prj.project(lines, rounds=ROUNDS)
+    projection, risk = _project(spark, d)
     out = prj.client_results(projection, risk, prj.monthly_matrix(lines))
     return out.select("client_id", "risk_class", "trend", F.size("projections").alias("n_projections"), F.size("history").alias("n_history"))
 
 
 @query("prj_09_portfolio_totals", floats="pessimistic:0 base:0 optimistic:0 change_pct:3 current_ca:2 at_risk_ca:2")
 def _(spark, d):
-    return prj.portfolio_totals(*prj.project(_lines(spark, d), rounds=ROUNDS))
+    return prj.portfolio_totals(*_project(spark, d))
 
 
 @query(
@@ -111,7 +117,7 @@ def _(spark, d):
 
 @query("prj_11_forecast_timeline", floats="q10:0 q50:0 q90:0")
 def _(spark, d):
-    return prj.forecast_timeline(prj.project(_lines(spark, d), rounds=ROUNDS)[0])
+    return prj.forecast_timeline(_project(spark, d)[0])
 
 
 @query("prj_12_simple_projection", floats="q10:2 q50:2 q90:2 change_pct:4")
