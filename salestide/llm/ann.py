@@ -23,18 +23,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salestide.session import durable
+from salestide.session import durable, spread
 
 NEIGHBOURS = 20
 SAMPLE_ROWS = 20_000
 SAMPLE_VALUES = 4_000_000
-BRANCHES = 16
-LEAF_ROWS = 256
+BRANCHES = 8
+LEAVES = 64
 ROUNDS = 8
-RECALL = 0.97
+RECALL = 0.95
 CALIBRATION_QUERIES = 200
-CHUNK_ROWS = 2048
-CHUNK_QUERIES = 512
+CHUNK_ROWS = 4096
+CHUNK_QUERIES = 256
+#: wider than the rounding of a matrix product, so that no equal score is cut before the exact sum
+ROUNDING = 1e-9
 SEED = 5
 
 
@@ -112,27 +114,29 @@ class Tree:
                 yield node
 
 
-def scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed from the first component to the last for every pair alike."""
-    out = np.zeros((len(queries), len(points)))
-    for d in range(queries.shape[1]):
-        out += np.outer(queries[:, d], points[:, d])
-    return out
-
-
 def best(query_ids, queries: np.ndarray, ids, points: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` best points for every query but itself, ties to the smaller id."""
+    """The ``k`` best points for every query but itself, ties to the smaller id.
+
+    A matrix product finds the candidates; their scores are summed again from
+    the first component to the last, so that every pair is summed alike.
+    """
     ids, query_ids = np.asarray(ids), np.asarray(query_ids)
-    table = scores(queries, points)
-    out = []
-    for row, own in zip(table, query_ids):
-        free = np.flatnonzero(ids != own)
-        if len(free) > k:
-            line = np.partition(row[free], len(free) - k)[len(free) - k]
-            free = free[row[free] >= line]
-        free = free[np.lexsort((ids[free], -row[free]))[:k]]
-        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[free], "score": row[free], "place": free}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "place": []}, dtype="int64")
+    table = queries @ points.T
+    table[query_ids[:, None] == ids[None, :]] = -np.inf
+    if len(ids) > k:
+        line = np.partition(table, len(ids) - k, axis=1)[:, len(ids) - k]
+        rounding = ROUNDING * np.maximum(1.0, np.abs(np.where(np.isfinite(line), line, 0.0)))
+        at, place = np.nonzero((table >= (line - rounding)[:, None]) & np.isfinite(table))
+    else:
+        at, place = np.nonzero(np.isfinite(table))
+    score = np.zeros(len(at))
+    for d in range(queries.shape[1]):
+        score += queries[at, d] * points[place, d]
+    order = np.lexsort((ids[place], -score, at))
+    at, place, score = at[order], place[order], score[order]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    keep = rank < k
+    return pd.DataFrame({"query_id": query_ids[at[keep]], "vec_id": ids[place[keep]], "score": score[keep], "place": place[keep]})
 
 
 def _stacked(vectors: pd.Series) -> np.ndarray:
@@ -160,7 +164,7 @@ def index(rows: DataFrame) -> tuple[DataFrame, Tree | None, dict[int, int]]:
     sample = rows if n <= wanted else rows.where(place < int(wanted / n * 1_000_000))
     points = _stacked(sample.orderBy("vec_id").toPandas()["vec"])
     # too few sampled rows for a leaf would make its centre noise
-    tree = Tree(points, max(8, round(LEAF_ROWS * len(points) / n)))
+    tree = Tree(points, max(8, len(points) // LEAVES))
 
     def place_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,7 +183,7 @@ def _exact(indexed: DataFrame, query_ids: list[int], queries: np.ndarray, k: int
             for at in range(0, len(batch), CHUNK_ROWS):
                 part = batch.iloc[at : at + CHUNK_ROWS]
                 found = best(query_ids, queries, part["vec_id"], _stacked(part["vec"]), k)
-                yield found.assign(leaf=part["leaf"].to_numpy()[found["place"].to_numpy(int)])[["query_id", "vec_id", "score", "leaf"]]
+                yield found.assign(leaf=part["leaf"].to_numpy()[found["place"]])[["query_id", "vec_id", "score", "leaf"]]
 
     found = indexed.mapInPandas(scan, "query_id long, vec_id long, score double, leaf long")
     return _first(found, k).toPandas()
@@ -228,9 +232,9 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
         for batch in batches:
             for q, v in zip(batch["query_id"], batch["vec"]):
                 found = list(tree.visits(np.array(v, np.float64), sizes, width, k + 1))
-                yield pd.DataFrame({"query_id": q, "leaf": found, "vec": [v] * len(found)})
+                yield pd.DataFrame({"query_id": q, "leaf": found})
 
-    visits = durable(asked.mapInPandas(walk, "query_id long, leaf long, vec array<double>"))
+    visits = durable(spread(asked, "query_id").mapInPandas(walk, "query_id long, leaf long"))
     # one row per leaf
     loads = visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("asked")).collect()
     chunks = rows.sparkSession.createDataFrame(
@@ -240,11 +244,11 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     own = lambda column, n: F.pmod(F.xxhash64(column, F.lit(SEED)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = indexed.join(chunks, "leaf").select("leaf", own("vec_id", "row_chunks").alias("a"), every("query_chunks").alias("b"), "vec_id", "vec")
-    right = visits.join(chunks, "leaf").select("leaf", every("row_chunks").alias("a"), own("query_id", "query_chunks").alias("b"), "query_id", "vec")
+    right = visits.join(asked, "query_id").join(chunks, "leaf").select("leaf", every("row_chunks").alias("a"), own("query_id", "query_chunks").alias("b"), "query_id", "vec")
 
     def meet(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         return best(queries["query_id"], _stacked(queries["vec"]), points["vec_id"], _stacked(points["vec"]), k)[["query_id", "vec_id", "score"]]
 
     by = ["leaf", "a", "b"]
