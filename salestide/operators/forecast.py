@@ -220,13 +220,18 @@ def blend(latest: DataFrame, model: DataFrame, stl: DataFrame) -> DataFrame:
     ).withColumn("change_pct", F.when(F.col("ca") > 0, pct(F.col("q50") - F.col("ca"), "ca")))
 
 
-def project(df: DataFrame, horizons: list[int] = HORIZONS, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(projection per client and horizon, churn per client) from invoice lines."""
+def fitted(df: DataFrame, horizons: list[int] = HORIZONS, rounds: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(monthly matrix, newest rows, model forecast) from invoice lines."""
     features7 = durable(monthly_features(df))
     matrix = features7.drop("active_days").withColumnRenamed("nb_orders", "freq")
     features = durable(with_scores(with_features(matrix), portfolio(features7)))
     latest = latest_rows(features, horizons)
-    model = durable(model_forecast(training_samples(features, horizons), latest, horizons, rounds))
+    return matrix, latest, durable(model_forecast(training_samples(features, horizons), latest, horizons, rounds))
+
+
+def project(df: DataFrame, horizons: list[int] = HORIZONS, rounds: int = 100, parts: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """(projection per client and horizon, churn per client) from invoice lines, or from their ``fitted`` parts."""
+    matrix, latest, model = parts or fitted(df, horizons, rounds)
     return blend(latest, model, stl_forecast(matrix, horizons)), churn(latest)
 
 

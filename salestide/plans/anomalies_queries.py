@@ -113,7 +113,7 @@ def _(spark, d):
 @query("ano_09_forest", floats="anomaly_score")
 def _(spark, d):
     cp = ano.client_periods(_rows(spark, d), "month")
-    return ano.forest_scores(cp, ["revenue", "qty", "orders"], ["client_id", "period_index"], 0.1).drop("price")
+    return ano.forest_scores(cp, ["revenue", "qty", "orders", "price"], ["client_id", "period_index"], 0.1)
 
 
 DAILY = ["revenue", "qty", "clients"]

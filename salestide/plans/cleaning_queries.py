@@ -248,7 +248,7 @@ def _(spark, d):
 @query(
     "cln_23_settle_totals",
     "select (select sum(amount) from n4) amount_before, (select sum(amount) from s3) amount_after, (select sum(qty*unit_price) from s3) theoretical",
-    floats="amount_before:1 amount_after:1 theoretical:1", base=RAW,
+    floats="amount_before:2 amount_after:2 theoretical:2", base=RAW,
 )
 def _(spark, d):
     return cln.settle_totals(_kept(spark, d))

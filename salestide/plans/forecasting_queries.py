@@ -6,7 +6,6 @@ from salestide.operators import behaviour as beh
 from salestide.operators import forecast as prj
 from salestide.plans.behaviour_queries import ALERTS, COLS, CUSUM, FEATURES, LATEST, Z
 from salestide.plans.registry import query
-from salestide.session import durable
 from salestide.sources.views import sales_view
 
 _W = "over (partition by client_id order by period_index"
@@ -35,10 +34,15 @@ def _latest(spark, d):
     return prj.latest_rows(prj.with_scores(prj.with_features(matrix), beh.portfolio(f7)))
 
 
+@lru_cache(maxsize=4)
+def _fitted(spark, d):
+    """The fitted models, shared by the queries of a session."""
+    return prj.fitted(_lines(spark, d))
+
+
 @lru_cache(maxsize=4)
 def _project(spark, d):
-    """The fitted projection, shared by the queries of a session."""
-    return prj.project(_lines(spark, d))
+    return prj.project(_lines(spark, d), parts=_fitted(spark, d))
 
 
 @query("prj_01_monthly_matrix", FEATURES + " select client_id, period, period_index, ca, qty, nb_orders freq, pu, nb_families, hhi from ft", floats="hhi")
@@ -65,10 +69,7 @@ def _(spark, d):
 
 @query("prj_04_model_forecast", floats="m10 m50 m90")
 def _(spark, d):
-    f7 = beh.monthly_features(_lines(spark, d))
-    f7 = durable(f7)
-    features = durable(prj.with_scores(prj.with_features(f7.drop("active_days").withColumnRenamed("nb_orders", "freq")), beh.portfolio(f7)))
-    return prj.model_forecast(prj.training_samples(features), prj.latest_rows(features))
+    return _fitted(spark, d)[2]
 
 
 @query("prj_05_stl_forecast", floats="stl:2 spread:2")
