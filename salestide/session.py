@@ -25,21 +25,26 @@ def local_session(cores: str = "8", name: str = "salestide") -> SparkSession:
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_base(spark: SparkSession) -> str:
+    """The folder below which driver and executors share files: ``spark.checkpoint.dir``; without it an error.
 
-    The folder comes from ``spark.checkpoint.dir``, which all executors share;
-    without it, or a folder set on the context, this is an error.
+    A master on one machine alone has a folder of its own, as nothing else
+    reads the files.
     """
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and sc.master.startswith("local["):
+        found = "/tmp/salestide-checkpoints"
+    if found is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return found.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None and sc.master.startswith("local["):
-            # one machine, as in tests: nothing else reads the files
-            configured = "/tmp/salestide-checkpoints"
-        if configured is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
