@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salestide.session import shared_base
+
 # a word: a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,11 +29,7 @@ def content_key(*columns: Column) -> Column:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    base = spark.sparkContext.getCheckpointDir() or configured
-    if base is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/table-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
