@@ -150,7 +150,8 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     hash; of equal rows, one."""
     cells = durable(groups(docs, key, text).groupBy("root", "doc", "row_key").agg(F.count(F.lit(1)).alias("equal")))
     order = F.struct(F.col("doc").isNull().alias("late"), "doc", "row_key")
-    best = cells.groupBy("root").agg(F.min(order).alias("best"))
+    # a table of its own, so that a join with a hot root can be split
+    best = durable(cells.groupBy("root").agg(F.min(order).alias("best")))
     gone = durable(cells.join(best, "root").where(order != F.col("best")).select("doc", "row_key"))
     kept = rows_without(docs, key, row_key(docs), gone)
     repeated = durable(cells.where("equal > 1").join(gone.select(F.col("row_key").alias("gone_key")), F.col("row_key") == F.col("gone_key"), "left_anti").select("doc", "row_key"))
