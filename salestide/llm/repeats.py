@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salestide.llm.common import content_key, packed, written
+from salestide.llm.common import MOST_BROADCAST_KEYS, content_key, packed, written
 
 LENGTH = 400
 #: lengths of the names of each round but the last, as shares of LENGTH
@@ -160,9 +160,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     settled, opened = _judged(found)
     parts = [settled]
     for at, name_length in enumerate(lengths[1:], 1):
-        lists = opened.groupBy("doc", "row_key").agg(F.collect_list(F.struct("first", "last", "need")).alias("open"))
-        # later rounds read the few documents that are still open
-        texts = texts.select("doc", "row_key", "data").join(lists, ["doc", "row_key"])
+        lists = written(opened.groupBy("doc", "row_key").agg(F.collect_list(F.struct("first", "last", "need")).alias("open")))
+        # later rounds read the documents that are still open; if they are few, others don't travel to the join
+        keys = lists.select("doc", "row_key")
+        texts = texts.select("doc", "row_key", "data")
+        if keys.count() <= MOST_BROADCAST_KEYS:
+            texts = texts.join(F.broadcast(keys), ["doc", "row_key"], "left_semi")
+        texts = texts.join(lists, ["doc", "row_key"])
         if at < len(lengths) - 1:
             texts = written(texts)
         found = texts.mapInArrow(_round(name_length, length), _RUN)
