@@ -146,9 +146,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every group, with the columns of ``docs``: the smallest key (nulls last), then the smallest row
+    """One row of every group, with the columns of ``docs``."""
+    return one_of_each(docs, groups(docs, key, text), key)
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of every root of ``grouped`` (doc, row_key, root): the smallest key (nulls last), then the smallest row
     hash; of equal rows, one."""
-    cells = durable(groups(docs, key, text).groupBy("root", "doc", "row_key").agg(F.count(F.lit(1)).alias("equal")))
+    cells = durable(grouped.groupBy("root", "doc", "row_key").agg(F.count(F.lit(1)).alias("equal")))
     order = F.struct(F.col("doc").isNull().alias("late"), "doc", "row_key")
     # a table of its own, so that a join with a hot root can be split
     best = durable(cells.groupBy("root").agg(F.min(order).alias("best")))
