@@ -1,9 +1,10 @@
 """Licence scan: a trained paragraph classifier with template comparison.
 
-Texts are cut into paragraphs (lines, and long lines at sentence ends).  Those
-with a licence word are classified by multinomial logistic regression over
-hashed word one- to three-grams; paragraphs without any can't be notices and
-are passed over.  The classes are licence families and ``unknown``, which is
+Texts are cut into paragraphs: lines, and long lines at sentence ends.  As a
+notice may be wrapped, so are all runs of neighbouring lines that a template
+could span.  Those with a licence word are classified by multinomial logistic
+regression over hashed word one- to three-grams; paragraphs without any can't
+be notices and are passed over.  The classes are licence families and ``unknown``, which is
 trained on ordinary paragraphs of the corpus and on sentences that use licence
 words otherwise.  A family is accepted from a probability on that keeps held-out
 predictions precise, and only if the paragraph also holds at least 0.8 of the
@@ -13,14 +14,17 @@ distinct words of one of the family's templates.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from salestide.llm.common import content_key
 from salestide.session import durable
@@ -33,7 +37,7 @@ SIMILARITY = 0.8
 
 # fixed values: short notices of each family
 TEMPLATES = {
-    "agpl": ["licensed under the GNU Affero General Public License version 3", "under the terms of the GNU Affero General Public License"],
+    "agpl": ["licensed under the GNU Affero General Public License version 3", "under the terms of the GNU Affero General Public License", "Distributed under AGPL-3.0"],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License",
         "SPDX-License-Identifier: Apache-2.0",
@@ -48,15 +52,15 @@ TEMPLATES = {
     "cc0": ["Released under CC0 1.0 Universal", "dedicated to the public domain under CC0"],
     "gpl": [
         "licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-or-later", "Distributed under GPL-3.0",
     ],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License"],
-    "lgpl": ["licensed under the GNU Lesser General Public License, version 3", "under the terms of the GNU Lesser General Public License"],
+    "lgpl": ["licensed under the GNU Lesser General Public License, version 3", "under the terms of the GNU Lesser General Public License", "Distributed under LGPL-3.0"],
     "mit": [
         "Released under the MIT License", "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ],
-    "mpl-2.0": ["subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0"],
+    "mpl-2.0": ["subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0", "Distributed under MPL-2.0"],
     "proprietary": ["All rights reserved", "Copyright 2020 the company. All rights reserved"],
     "unlicense": ["This is free and unencumbered software released into the public domain", "Released under the Unlicense"],
 }
@@ -69,9 +73,14 @@ OTHERWISE = [
     "His licence was revoked after the trial", "Copyright disputes take years to settle", "All rooms were reserved for the guests",
 ]
 _LEADS = ["", "This work is ", "This file is ", "The source code is ", "This document is ", "Note: ", "Copyright 2021 by the authors. "]
-_CUE = r"(?i)licen[sc]|copyright|all rights|public domain|permission|redistribut|spdx|\bcc0\b|\bcc by|creative commons|unencumbered|apache|mozilla|\bgnu\b"
+_CUE = r"(?i)licen[sc]|copyright|all rights|public domain|permission|redistribut|spdx|\bcc0\b|\bcc[- ]by|creative commons|unencumbered|apache|mozilla|\bgnu\b|\b[al]?gpl|\bmpl\b"
+_CUE_RE = re.compile(_CUE, re.ASCII)
 _PARAGRAPH = r"\n+|(?<=[.!?]) +(?=\p{Lu})"
+_SENTENCE = r"(?<=[.!?]) +(?=\p{Lu})"
 _WORD = r"[a-z0-9]+"
+_WORD_RE = re.compile(_WORD)
+# lines between the first and the last one of a wrapped notice hold fewer words than the longest template
+_MOST_WORDS = max(len(re.findall(_WORD, t.lower())) for texts in TEMPLATES.values() for t in texts)
 
 
 def _words(text: Column) -> Column:
@@ -91,10 +100,48 @@ def examples() -> list[tuple[str, str, int]]:
     return rows + [(t, UNKNOWN, i % 2) for i, t in enumerate(OTHERWISE)] + [(lead + t, UNKNOWN, i % 2) for i, t in enumerate(OTHERWISE) for lead in ("Note: ",)]
 
 
+def pieces(text: str) -> list[tuple[int, int, str]]:
+    """(first line, last line, paragraph) of all lines, and runs of lines without a blank one, that hold a licence word."""
+    lines = [x.strip() for x in text.split("\n")]
+    found, first = [], 0
+    while first < len(lines):
+        last = first
+        while last < len(lines) and lines[last]:
+            last += 1
+        block = " ".join(lines[first:last])
+        starts = np.cumsum([0] + [len(x) + 1 for x in lines[first:last]])
+        cues = [m.span() for m in _CUE_RE.finditer(block)]
+        sizes = [len(_WORD_RE.findall(x.lower())) for x in lines[first:last]] if cues else []
+        for i in range(len(sizes)):
+            # the first cue that lies behind the start of line i
+            reach = min((end for start, end in cues if start >= starts[i]), default=None)
+            inner = 0
+            for j in range(i, len(sizes)) if reach is not None else ():
+                if inner >= _MOST_WORDS:
+                    break
+                if reach < starts[j + 1]:
+                    found.append((first + i, first + j, block[starts[i] : starts[j + 1] - 1]))
+                inner += sizes[j] if j > i else 0
+        first = last + 1
+    return found
+
+
+_PIECE = StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("paragraph", StringType())])
+
+
+@F.pandas_udf(ArrayType(_PIECE))
+def _pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([[dict(zip(("first", "last", "paragraph"), p)) for p in pieces(t)] for t in batch])
+
+
 def paragraphs(docs: DataFrame, text: Column, *kept: Column) -> DataFrame:
-    """``paragraph`` of all texts that hold a licence word, beside ``kept``."""
-    split = docs.where(text.rlike(_CUE)).select(*kept, F.explode(F.split(text, _PARAGRAPH)).alias("paragraph"))
-    return split.where(F.col("paragraph").rlike(_CUE))
+    """(first, last, paragraph) of all texts that hold a licence word, beside ``kept``; the lines are counted from 0."""
+    # a licence word may be wrapped itself; a sentence end parts like a blank line
+    flat = F.regexp_replace(text, r"\s*\n\s*", " ")
+    cut = docs.where(text.rlike(_CUE) | flat.rlike(_CUE)).select(*kept, F.regexp_replace(text, _SENTENCE, "\n\n").alias("_cut"))
+    names = [c for c in cut.columns if c != "_cut"]
+    return cut.select(*names, F.explode(_pieces("_cut")).alias("_piece")).select(*names, "_piece.*")
 
 
 def _featured(df: DataFrame, text: str) -> DataFrame:
@@ -174,7 +221,8 @@ def confirmed(spark: SparkSession, found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, paragraph, family, probability, similarity) of every paragraph with a licence word.
+    """(doc, row_key, first, last, paragraph, family, probability, similarity) of every line with a licence word, and of
+    every run of lines that is a notice.
 
     Family is ``unknown`` where the classifier is not sure or no template
     confirms it.  Null and empty texts have no paragraphs.
@@ -184,22 +232,31 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = paragraphs(docs, F.col(text), F.col(key).alias("doc"), content_key(F.col(key), F.col(text)).alias("row_key"))
     found = confirmed(spark, scanner.classify(rows, "paragraph"))
     sure = F.when(F.col("similarity") >= SIMILARITY, F.col("family")).otherwise(UNKNOWN)
-    return found.withColumn("family", sure)
+    return found.withColumn("family", sure).where((F.col("first") == F.col("last")) | (F.col("family") != UNKNOWN))
 
 
 def by_document(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, licences, notices, unknown): one row per document, with its families in order and both counts."""
-    found = scan(docs, key, text).groupBy("row_key").agg(
-        F.array_sort(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))).alias("licences"),
-        F.count(F.when(F.col("family") != UNKNOWN, 1)).alias("notices"), F.count(F.when(F.col("family") == UNKNOWN, 1)).alias("unknown"),
-        F.first("doc").alias("any_doc"),
+    """(doc, licences, notices, unknown): one row per document, with its families in order and both counts.
+
+    Of the runs of lines that are notices those count that hold no smaller one;
+    of runs of one family that overlap, the first.  A line with a licence word
+    is unknown unless it belongs to a notice.
+    """
+    # repeated rows share a key and their paragraphs
+    found = scan(docs, key, text).groupBy("row_key").agg(F.collect_set(F.struct("first", "last", "family")).alias("all"))
+    found = found.select("row_key", "all", F.array_sort(F.filter("all", lambda x: x["family"] != UNKNOWN)).alias("known"))
+    inside = lambda y, x: (y["first"] >= x["first"]) & (y["last"] <= x["last"])
+    smaller = lambda y, x: inside(y, x) & (y["last"] - y["first"] < x["last"] - x["first"])
+    found = found.select("row_key", "all", F.filter("known", lambda x: ~F.exists("known", lambda y: smaller(y, x))).alias("known"))
+    meets = lambda y, x: (y["family"] == x["family"]) & (y["first"] < x["first"]) & (y["last"] >= x["first"])
+    found = found.select(
+        "row_key", F.filter("known", lambda x: ~F.exists("known", lambda y: meets(y, x))).alias("notices"),
+        F.filter("all", lambda x: (x["family"] == UNKNOWN) & ~F.exists("known", lambda y: inside(x, y))).alias("unknown"),
+    ).select(
+        "row_key", F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["family"]))).alias("licences"),
+        F.size("notices").cast("long").alias("notices"), F.size("unknown").cast("long").alias("unknown"),
     )
-    # repeated rows share a key, and their paragraphs were counted together
     rows = docs.select(F.col(key).alias("doc"), content_key(F.col(key), F.col(text)).alias("own_key"))
-    equal = rows.groupBy("own_key").agg(F.count(F.lit(1)).alias("equal"))
-    found = found.join(equal, F.col("row_key") == F.col("own_key")).select(
-        "row_key", "licences", (F.col("notices") / F.col("equal")).cast("long").alias("notices"), (F.col("unknown") / F.col("equal")).cast("long").alias("unknown")
-    )
     return rows.join(found, rows["own_key"] == found["row_key"], "left").select(
         "doc", F.coalesce("licences", F.array().cast("array<string>")).alias("licences"),
         F.coalesce("notices", F.lit(0)).alias("notices"), F.coalesce("unknown", F.lit(0)).alias("unknown"),

@@ -42,3 +42,19 @@ def test_other_rows(found):
 
 def test_empty_table(spark):
     assert licences.by_document(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for\nany purpose with or without fee is hereby granted, provided that",
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License.",
+}
+SHORT = {"gpl": "Distributed under GPL-3.0", "cc-by-sa": "Distributed under CC-BY-SA-4.0"}
+
+
+def test_wrapped_and_short_notices(spark):
+    rows = [(i, f"{PLAIN}.\n\n{text}\n\n{PLAIN} again.") for i, text in enumerate([*WRAPPED.values(), *SHORT.values()])]
+    rows += [(100 + i, f"{PLAIN} and number {i}.\n" * 3) for i in range(120)]
+    got = {r.doc: (r.licences, r.notices) for r in licences.by_document(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(6)] == [([family], 1) for family in [*WRAPPED, *SHORT]]
