@@ -5,15 +5,16 @@ asked again with other values has the same template.  Every five-token window
 of every document's template is joined by hash with the windows of the
 benchmark items.  A document matches an item when it holds at least 0.8 of the
 item's distinct windows.  For matches the tokens are read again, with the
-values kept: along the alignment that most windows share, each value of the
-item must always meet the same value of the document.  All values equal means a
-copy, another mapping a re-parameterised question; a mapping that contradicts
-itself is no match.
+values kept: along an alignment, each value of the item must always meet the
+same value of the document.  All values equal means a copy, another mapping a
+re-parameterised question; a mapping that contradicts itself is no match.
+Every alignment is tested that holds ``similarity`` of the item's windows on its
+own, and the one that most windows share; one that is consistent is enough.
 
 Defined cases: a null or empty text has no tokens and matches nothing.  An item
 of fewer than five tokens has one window, the whole item.  Repeated rows get
-one answer per (document id, text).  Among alignments with equally many windows
-the smallest offset counts.  An empty benchmark matches nothing.
+one answer per (document id, text).  Among consistent alignments the one
+with most windows is reported, then the smallest offset.  An empty benchmark matches nothing.
 """
 
 from __future__ import annotations
@@ -142,19 +143,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     met = pairs.alias("p").join(theirs.alias("d"), F.col("p.doc").eqNullSafe(F.col("d.doc")) & (F.col("p.text_key") == F.col("d.text_key"))
                                 & (F.col("own_tokens")[0] == F.col("tokens")[0])
                                 & (F.col("own_tokens") == F.slice("tokens", F.lit(1), n))).select(
-        "p.doc", "p.text_key", "item", "matched", "windows", (F.col("at") - F.col("from")).alias("shift"),
+        "p.doc", "p.text_key", "item", "matched", "windows", (F.col("at") - F.col("from")).alias("shift"), F.xxhash64("own_tokens").alias("own_window"),
         F.filter(F.arrays_zip("own_values", F.slice("values", F.lit(1), n).alias("values"), "own_tokens"), lambda x: x["own_values"].isNotNull()).alias("slots"),
     )
     pair = ["doc", "text_key", "item", "matched", "windows"]
+    own_values = F.array_distinct(F.transform("slots", lambda x: F.struct(x["own_tokens"], x["own_values"])))
     lines = met.groupBy(*pair, "shift").agg(
-        F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.count(F.lit(1)).alias("n"), F.size(F.collect_set("own_window")).alias("own"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+    ).withColumn("consistent", F.size(own_values) == F.size("slots"))
+    rank = F.struct("n", -F.col("shift"))
+    whole = F.when(F.col("consistent") & (F.col("own") >= similarity * F.col("windows")), rank)
+    # the alignment with most windows counts even if insertions part the item into several
+    best = lines.groupBy(*pair).agg(
+        F.max_by(F.struct("slots", "consistent"), rank).alias("most"), F.max_by("slots", whole).alias("whole")
+    ).select(*pair, F.when(F.col("most.consistent"), F.col("most.slots")).otherwise(F.col("whole")).alias("slots"))
+    return best.where("slots is not null").select(
+        *pair, F.size(own_values).alias("slots"), F.size(F.filter("slots", lambda x: x["own_values"] != x["values"])).alias("changed")
     )
-    best = lines.groupBy(*pair).agg(F.max_by("slots", F.struct("n", -F.col("shift"))).alias("slots"))
-    own_values = F.array_distinct(F.transform("slots", lambda x: F.struct(x["own_tokens"], x["own_values"])))
-    return best.select(
-        *pair, F.size(own_values).alias("slots"),
-        F.size(F.filter("slots", lambda x: x["own_values"] != x["values"])).alias("changed"), F.size("slots").alias("mapped"),
-    ).where("mapped = slots").drop("mapped")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -38,3 +38,13 @@ def test_clean_keeps_rows_and_columns(spark):
     assert kept.columns == docs.columns and sorted(r.item for r in kept.collect()) == [2, 2, 3]
     assert decontam.clean(docs, bench.where("item_id < 0")).count() == 5
     assert decontam.clean(docs.where("item < 0"), bench).count() == 0
+
+
+def test_verbatim_item_beside_a_contradicting_variant(spark):
+    item = "add 5 to the number and then take 5 from the number so that 5 and nothing else is left at the end"
+    broken = item.replace("add 5", "add 7").replace("take 5", "take 8")
+    texts = [(1, f"{broken}. then again {item}."), (2, f"{item}. then again {broken}."), (3, f"{broken}. then again {broken}.")]
+    assert found(spark, texts, [(9, item)]) == [(1, 9, 0), (2, 9, 0)]
+    # in mid-sentence the copy's first word is a name and costs a window
+    upper = item.replace("add", "Add", 1)
+    assert found(spark, [(1, f"{broken.replace('add', 'Add', 1)}. they said, {upper}.")], [(9, upper)]) == [(1, 9, 0)]
