@@ -31,6 +31,8 @@ from salestide.llm.common import row_key, rows_without
 from salestide.session import durable
 
 SAMPLE_ROWS = 3_000
+# of a language that the sample would hold fewer of, so many are taken, or all there are
+LANGUAGE_ROWS = 300
 LEAST_SAMPLED = 5
 BUCKETS = 1 << 16
 EVIDENCE = 60
@@ -91,13 +93,21 @@ class Model:
         return (total * (min(n, EVIDENCE) / n)).tolist() if n else None
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """The model from about ``rows`` labelled documents; languages with fewer than LEAST_SAMPLED of them are left out."""
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS,
+        per_language: int = LANGUAGE_ROWS) -> Model:
+    """The model from about ``rows`` labelled documents, with about ``per_language`` of every language or all it has.
+
+    Languages with fewer than LEAST_SAMPLED documents in the whole table are left out.
+    """
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    total = labelled.count()
-    share = 1.0 if total <= rows else rows / total
-    place = F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(1_000_000))
-    sample = labelled.where(place < int(share * 1_000_000)).select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"))
+    place = F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(1 << 40))
+    placed = labelled.select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"), place.alias("place"))
+    # one row per label
+    sizes = placed.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang"))
+    total, most = (x or 0 for x in sizes.agg(F.sum("of_lang"), F.max("of_lang")).first())
+    share = F.least(F.lit(1.0), F.greatest(F.lit(rows / max(total, 1)), per_language / F.col("of_lang")))
+    shares = sizes.where(F.col("of_lang") >= min(LEAST_SAMPLED, most)).select(F.col("lang").alias("own_lang"), (share * (1 << 40)).cast("long").alias("below"))
+    sample = placed.join(F.broadcast(shares), F.col("lang") == F.col("own_lang")).where("place < below").select("lang", "text")
     # at most one row per language and bucket
     counts = sample.mapInPandas(_counts, "lang string, bucket int, n long, rows long").groupBy("lang", "bucket").agg(
         F.sum("n").alias("n"), F.sum("rows").alias("rows")

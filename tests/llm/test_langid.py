@@ -78,3 +78,12 @@ def test_page_evidence(spark):
     page = spark.createDataFrame(rows, "url string, html string")
     got = page.select(langid.host_of(F.col("url")), langid.domain_of(langid.host_of(F.col("url"))), langid.suffix_of(langid.host_of(F.col("url"))), langid.markup_language(F.col("html"))).collect()
     assert [tuple(r) for r in got] == [("www.example.co.fr", "co.fr", "fr", "fr"), (None, None, None, None), (None, None, None, None)]
+
+
+def test_rare_language_of_a_large_table_has_a_model(spark):
+    rnd = random.Random(2)
+    rows = [(i, sentence(rnd, "en", 9), "en", "s") for i in range(20_000)]
+    rows += [(50_000 + i, "το και της με που για από ένα", "el", "s") for i in range(8)] + [(60_000 + i, "ten jest nie tak", "pl", "s") for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert langid.fit(table).languages == ["el", "en"]
+    assert langid.kept(table).where("lang = 'el'").count() == 8
