@@ -109,7 +109,7 @@ def impute_and_scale(df: DataFrame, columns: list[str], key: list[str]) -> DataF
 
 
 def forest_scores(df: DataFrame, columns: list[str], key: list[str], contamination: float,
-                  trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+                  trees: int = 100, sample: int = 256, seed: int = 42, weight: str | None = None) -> DataFrame:
     """Isolation score of every row and the flag of the most isolated share.
 
     Every tree is grown by one task on its own hash sample of at most
@@ -117,14 +117,16 @@ def forest_scores(df: DataFrame, columns: list[str], key: list[str], contaminati
     about twice its sample, and a tree keeps the rows of smallest hash.  Only
     finished trees reach the driver; they are broadcast, and every row is scored
     where it lies.  Nulls are scored as the column's median.  Fewer than two
-    rows, or no column that varies, give no trees and score 0.
+    rows, or no column that varies, give no trees and score 0.  ``weight`` names a
+    column of counts when equal rows are already merged: samples, medians and the
+    flagged share are then those of the rows before the merge.
     """
-    told = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"_{i}") for i, c in enumerate(columns)]).first()
-    n = told["n"]
+    told = df.agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), F.count(F.lit(1)).alias("own"), *[F.count(c).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    n, weights = told["n"] or 0, [weight] if weight else []
     full = {c: 0.0 for c in columns}
-    if lacking := [c for i, c in enumerate(columns) if told[f"_{i}"] < n]:
-        long = df.select(*[F.col(c).cast("double").alias(c) for c in lacking]).unpivot([], lacking, "variable", "value")
-        for r in exact_percentiles(long.where("value is not null"), ["variable"], "value", {"m": 0.5}).collect():
+    if lacking := [c for i, c in enumerate(columns) if told[f"_{i}"] < told["own"]]:
+        long = df.select(*weights, *[F.col(c).cast("double").alias(c) for c in lacking]).unpivot(weights, lacking, "variable", "value")
+        for r in exact_percentiles(long.where("value is not null"), ["variable"], "value", {"m": 0.5}, weight).collect():
             full[r["variable"]] = r["m"]
     features = [f"_x{i}" for i in range(len(columns))]
     values = [F.coalesce(F.col(c).cast("double"), F.lit(full[c])).alias(x) for c, x in zip(columns, features)]
@@ -132,12 +134,23 @@ def forest_scores(df: DataFrame, columns: list[str], key: list[str], contaminati
     offers = min(offers, trees)
     share = min(1.0, 2 * trees * sample / max(n * offers, 1))
     place = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.col("_offer"), F.lit(seed)), F.lit(1 << 40))
-    offered = df.select(*key, *values).withColumn("_offer", F.explode(F.sequence(F.lit(0), F.lit(offers - 1)))).withColumn(
-        "_h", place
-    ).where(F.col("_h") < int(share * (1 << 40))).withColumn("tree", ((F.col("_h") + F.col("_offer")) % trees).cast("int"))
+    if weight is None:
+        offered = df.select(*key, *values).withColumn("_offer", F.explode(F.sequence(F.lit(0), F.lit(offers - 1))))
+    else:
+        # many rows: their offers that hold, by systematic rounding; few: all offers of all rows. At most 2 x trees x sample + n
+        few = offers > 1
+        luck = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed + 1)), F.lit(1 << 30)) / (1 << 30)
+        count = F.col(weight) * offers if few else F.floor(F.col(weight) * share + luck)
+        offered = df.select(*key, *values, count.cast("long").alias("_count")).where("_count > 0").withColumn("_offer", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+        share = share if few else 1.0
+    # the row of a merged group that is offered
+    line = F.floor(F.col("_offer") / offers) if weight else F.lit(0)
+    offered = offered.withColumn("_h", place).where(F.col("_h") < int(share * (1 << 40))).withColumns(
+        {"tree": ((F.col("_h") + F.col("_offer")) % trees).cast("int"), "_line": line}
+    )
 
     def grown(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.drop_duplicates([*key, *features]).sort_values(["_h", *key], kind="stable").head(sample)
+        own = pdf.drop_duplicates([*key, "_line", *features]).sort_values(["_h", *key], kind="stable").head(sample)
         tree = grow(own[features].to_numpy(dtype=float), np.random.default_rng(seed + int(pdf["tree"].iloc[0])), math.ceil(math.log2(max(sample, 2))))
         return pd.DataFrame({"tree": [int(pdf["tree"].iloc[0])], "rows": [len(own)], "body": [pickle.dumps(tree)]})
 
@@ -155,7 +168,7 @@ def forest_scores(df: DataFrame, columns: list[str], key: list[str], contaminati
         return pd.Series(anomaly_score(np.column_stack([c.to_numpy(dtype=float) for c in cols]), grown, m))
 
     scored = df.withColumn("anomaly_score", score(*[F.coalesce(F.col(c).cast("double"), F.lit(full[c])) for c in columns]))
-    cut = exact_percentiles(scored.select(F.round("anomaly_score", 9).alias("s")), [], "s", {"cut": 1 - contamination}).scalar()
+    cut = exact_percentiles(scored.select(*weights, F.round("anomaly_score", 9).alias("s")), [], "s", {"cut": 1 - contamination}, weight).scalar()
     return scored.withColumn("is_anomaly", F.round("anomaly_score", 9) > cut)
 
 
@@ -301,10 +314,10 @@ def joint_days(flags: DataFrame, keys: list[str], n: int = 10, least: int = 2) -
 
 
 def period_value_forest(df: DataFrame, grain: str, variable: str, contamination: float = 0.05) -> DataFrame:
-    """Isolation on (period number, value) over all lines; equal pairs are scored once."""
+    """Isolation on (period number, value) over all lines; equal pairs are scored once and weigh as many lines as they stand for."""
     d = with_period(df, grain).where(F.col(variable).isNotNull())
     pairs = d.groupBy("period", "period_index", F.col(variable).cast("double").alias("value")).agg(F.count("*").alias("rows"))
     numbers = pairs.select("period_index").distinct().withColumn(
         "period_number", F.dense_rank().over(Window.orderBy("period_index")) - 1  # one row per period
     )
-    return forest_scores(pairs.join(numbers, "period_index"), ["period_number", "value"], ["period_index", "value"], contamination)
+    return forest_scores(pairs.join(numbers, "period_index"), ["period_number", "value"], ["period_index", "value"], contamination, weight="rows")
