@@ -127,14 +127,14 @@ def _(spark, d):
 def _stl_flags(spark, d):
     days = ts.daily(sales_view(spark, d, "country", *COLS), ["country"])
     parts = [
-        ano.stl_anomalies(days, m, ["country"], 7).withColumn("metric", F.lit(m)) for m in DAILY
+        ano.stl_anomalies(days, m, ["country"]).withColumn("metric", F.lit(m)) for m in DAILY
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("ano_11_stl_anomalies", floats="observed expected resid z")
 def _(spark, d):
-    return ano.stl_anomalies(ts.daily(sales_view(spark, d, "country", *COLS), ["country"]), "revenue", ["country"], 7)
+    return ano.stl_anomalies(ts.daily(sales_view(spark, d, "country", *COLS), ["country"]), "revenue", ["country"])
 
 
 @query("ano_12_report", floats="anomaly_score observed")
