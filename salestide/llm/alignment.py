@@ -14,8 +14,8 @@ to them, pairs that are frequent by a broadcast and rare ones by a shuffle.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +28,19 @@ from salestide.llm.common import MOST_BROADCAST_KEYS, written
 from salestide.session import durable
 
 FIRST = "byte_bpe_50k.json"
+#: the same vocabulary as ranks
+FIRST_RANKS = "byte_bpe_50k.tiktoken"
 SECOND = "piece_bpe_32k.model"
 #: merged ends of one piece
 WORK = 1 << 16
+#: characters that are encoded at once; a token takes some 500 bytes while it is aligned
+CHARACTERS = 1 << 17
 #: id pairs that are expanded at once
-LINKS = 1 << 21
+LINKS = 1 << 19
 #: a pair that stands in more documents is not joined by a shuffle
 LEAST_FREQUENT = 10_000
 _PAIR_BITS = 32
-_loaded: dict[tuple[str, str], "Encoders"] = {}
+_loaded: dict[tuple[str, str, str | None], "Encoders"] = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -61,10 +65,11 @@ def _decimal(size: int) -> tuple[np.ndarray, np.ndarray]:
 class Encoders:
     """Both tokenizers of a worker and the bytes of their tokens."""
 
-    def __init__(self, first: str, second: str):
+    def __init__(self, first: str, second: str, ranks: str | None):
         import sentencepiece
 
-        self.a = tokens.tokenizer(first)
+        self.first = tokens.ByteIds(first, ranks)
+        self.a = self.first.encoder
         self.b = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary(second))
         alphabet = byte_alphabet()
         vocabulary = self.a.get_vocab(with_added_tokens=True)
@@ -85,20 +90,19 @@ class Encoders:
         """Ids of both for every text; none where the joined bytes of one are not a blank and the text."""
         a, b = [[] for _ in texts], [[] for _ in texts]
         full = [i for i, t in enumerate(texts) if t]
-        one = self.a.encode_batch_fast([" " + texts[i] for i in full], add_special_tokens=False)
+        one = self.first.of([" " + texts[i] for i in full])
         two = self.b.encode([texts[i] for i in full], num_threads=1)
-        for i, x, y in zip(full, one, two):
-            want, ids = b" " + texts[i].encode(), x.ids
+        for i, ids, y in zip(full, one, two):
+            want = b" " + texts[i].encode()
             if b"".join([self.a_bytes[n] for n in ids]) == want == b"".join([self.b_bytes[n] for n in y]):
                 a[i], b[i] = ids, y
         return a, b
 
 
-def encoders(first: str, second: str) -> Encoders:
-    if (first, second) not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _loaded[first, second] = Encoders(first, second)
-    return _loaded[first, second]
+def encoders(first: str = FIRST, second: str = SECOND, ranks: str | None = FIRST_RANKS) -> Encoders:
+    if (first, second, ranks) not in _loaded:
+        _loaded[first, second, ranks] = Encoders(first, second, ranks)
+    return _loaded[first, second, ranks]
 
 
 def diagonals(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +237,7 @@ def align(enc: Encoders, texts: list[str | None], work: int = WORK) -> dict[str,
     """Columns of ``aligned`` for a list of texts."""
     ids_a, ids_b = enc.encode(texts)
     n_a, n_b = [np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b)]
-    a, b = [np.fromiter((n for x in ids for n in x), np.int64) for ids in (ids_a, ids_b)]
+    a, b = [np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((ids_a, n_a), (ids_b, n_b))]
     ends_a, ends_b = cuts(np.cumsum(enc.a_sizes[a]), np.cumsum(enc.b_sizes[b]), work)
     # every text ends at a common end, so a group has one owner
     owner = np.searchsorted(np.cumsum(n_a), ends_a, side="left")
@@ -247,14 +251,15 @@ def align(enc: Encoders, texts: list[str | None], work: int = WORK) -> dict[str,
     }
 
 
-def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND) -> DataFrame:
+def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND, ranks: str | None = FIRST_RANKS) -> DataFrame:
     """(doc, n_a, n_b, n_groups, n_links, groups, pairs, numbers): one row per row of ``docs``.
 
     ``pairs`` are the distinct linked id pairs, A in the upper 32 bits, and
     ``numbers`` how often each is linked.  Null and empty texts, and texts that
     one of the tokenizers doesn't give back byte by byte, have no tokens: zeros,
     an empty string and no pairs.  Null keys and repeated rows are rows like
-    others; other columns are left out.
+    others; other columns are left out.  ``ranks`` names the vocabulary of
+    ``first`` as ranks, if there is one.
     """
     read = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     numbers = ["n_a", "n_b", "n_groups", "n_links"]
@@ -264,10 +269,10 @@ def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoders(first, second)
+        enc = encoders(first, second, ranks)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for x, y in tokens.slices(texts):
+            for x, y in tokens.slices(texts, CHARACTERS):
                 found = align(enc, texts[x:y])
                 offsets = pa.array(found["offsets"], pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(found[n], pa.int64())) for n in ("pairs", "numbers")]

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from salestide.llm import alignment, queries_alignment
+from salestide.llm import alignment, queries_alignment, tokens
 
 SCHEMA = "doc_id long, text string, pairs string, n_a string, count string"
 
@@ -21,7 +21,7 @@ def texts():
 
 
 def plain(texts):
-    enc = alignment.encoders(alignment.FIRST, alignment.SECOND)
+    enc = alignment.encoders()
     docs = []
     for t in texts:
         a = enc.a.encode(" " + t, add_special_tokens=False).ids if t else []
@@ -106,3 +106,23 @@ def test_large_groups_give_the_same_links():
 
 def test_empty_table(spark):
     assert alignment.scored(alignment.aligned(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_both_libraries_give_the_same_ids():
+    rnd = random.Random(8)
+    pool = [chr(c) for c in range(0x180)] + list("  \n\t'stmdrevl") * 12 + [chr(c) for c in range(0x180, 0x400, 7)]
+    found = ["".join(rnd.choice(pool[: len(pool) - rnd.choice([0, 92])]) for _ in range(rnd.randrange(1, 60))) for _ in range(1500)]
+    found += ["z" * 3000, " " * 3000 + "a", "<|endoftext|>"]
+    first = tokens.ByteIds(alignment.FIRST, alignment.FIRST_RANKS)
+    want = [x.ids for x in first.encoder.encode_batch(found, add_special_tokens=False)]
+    assert first.of(found) == want
+
+
+def test_word_ids_are_the_tokenizers():
+    rnd = random.Random(9)
+    simple = [chr(c) for c in range(0x180)] + list("  \n'stmdrevl|S") * 12
+    other = simple + [chr(c) for c in (*range(0x180, 0x340, 3), 0x2028, 0x3000, 0xAC00, 0x1100, 0x1F600)]
+    found = ["".join(rnd.choice(simple if i % 2 else other) for _ in range(rnd.randrange(1, 60))) for i in range(1500)]
+    words = tokens.word_ids("word_bpe_49k.json")
+    want = [np.array(x.ids, "<u4").tobytes() for x in words.encoder.encode_batch(found, add_special_tokens=False)]
+    assert words.of(found) == want and words.of(found) == want
