@@ -53,3 +53,18 @@ def test_rows_keep_their_columns(spark):
     got = sharding.shard(docs)
     assert got.columns == ["doc_id", "text", "shard", "shard_", "slot"] and got.count() == 50
     assert sharding.shard(docs.where("doc_id < 0")).count() == 0
+
+
+def test_rows_that_repeat_id_and_text_are_split(spark):
+    rnd = random.Random(7)
+    data = [(i, "".join(rnd.choice("ab ") for _ in range(200))) for i in range(2000)] + [(7, "the same row " * 15)] * 1000 + [(None, "no id " * 33)] * 1000
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for got in (sharding.dealt(sharding.narrow_rows(docs)).select("row.size", "shard", "slot").collect(), sharding.shard(docs).selectExpr("length(text) + 1 size", "shard", "slot").collect()):
+        loads = Counter()
+        for r in got:
+            loads[r.shard] += r["size"]
+        mean = sum(loads.values()) / 16
+        assert len(got) == len(data) and max(loads.values()) <= 1.01 * mean and min(loads.values()) >= 0.9 * mean
+        for s in range(16):
+            slots = sorted(r.slot for r in got if r.shard == s)
+            assert slots == list(range(len(slots)))
