@@ -35,8 +35,8 @@ RECALL = 0.95
 CALIBRATION_QUERIES = 200
 CHUNK_ROWS = 4096
 CHUNK_QUERIES = 256
-#: wider than the rounding of a matrix product, so that no equal score is cut before the exact sum
-ROUNDING = 1e-9
+#: share of |q| |p| per component that a matrix product may be off; far wider than its rounding
+ROUNDING = 1e-15
 SEED = 5
 
 
@@ -117,22 +117,27 @@ class Tree:
 def best(query_ids, queries: np.ndarray, ids, points: np.ndarray, k: int) -> pd.DataFrame:
     """The ``k`` best points for every query but itself, ties to the smaller id.
 
-    A matrix product finds the candidates; their scores are summed again from
-    the first component to the last, so that every pair is summed alike.
+    A matrix product with a bound of its rounding finds the candidates; their
+    scores are summed again from the first component to the last, so that every
+    pair is summed alike.  Products out of range are candidates always; sums
+    may be infinite, and one that is no number comes last.
     """
     ids, query_ids = np.asarray(ids), np.asarray(query_ids)
-    table = queries @ points.T
-    table[query_ids[:, None] == ids[None, :]] = -np.inf
-    if len(ids) > k:
-        line = np.partition(table, len(ids) - k, axis=1)[:, len(ids) - k]
-        rounding = ROUNDING * np.maximum(1.0, np.abs(np.where(np.isfinite(line), line, 0.0)))
-        at, place = np.nonzero((table >= (line - rounding)[:, None]) & np.isfinite(table))
-    else:
-        at, place = np.nonzero(np.isfinite(table))
-    score = np.zeros(len(at))
-    for d in range(queries.shape[1]):
-        score += queries[at, d] * points[place, d]
-    order = np.lexsort((ids[place], -score, at))
+    other = query_ids[:, None] != ids[None, :]
+    with np.errstate(all="ignore"):
+        table = queries @ points.T
+        if len(ids) > k:
+            sizes = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(points, axis=1)[None, :]
+            off = ROUNDING * queries.shape[1] * sizes
+            known = np.isfinite(table) & np.isfinite(off)
+            least = np.where(known & other, table - off, -np.inf)
+            line = np.partition(least, len(ids) - k, axis=1)[:, len(ids) - k]
+            other &= ~known | (table + off >= line[:, None])
+        at, place = np.nonzero(other)
+        score = np.zeros(len(at))
+        for d in range(queries.shape[1]):
+            score += queries[at, d] * points[place, d]
+    order = np.lexsort((ids[place], np.where(np.isnan(score), np.inf, -score), at))
     at, place, score = at[order], place[order], score[order]
     rank = np.arange(len(at)) - np.searchsorted(at, at)
     keep = rank < k
@@ -144,12 +149,13 @@ def _stacked(vectors: pd.Series) -> np.ndarray:
 
 
 def prepared(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, vec) of the rows that take part: with an id, a usable vector and the most frequent dimension."""
+    """(vec_id, vec) of the rows that take part: with an id and a usable vector; shorter ones end in zeros."""
     rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(
         F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec")
     )
-    sizes = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return rows.where(F.size("vec") == (sizes[0].d if sizes else 0))
+    most = rows.agg(F.max(F.size("vec"))).first()[0] or 0
+    zeros = F.array_repeat(F.lit(0.0), F.lit(most) - F.size("vec"))
+    return rows.select("vec_id", F.when(F.size("vec") < most, F.concat("vec", zeros)).otherwise(F.col("vec")).alias("vec"))
 
 
 def index(rows: DataFrame) -> tuple[DataFrame, Tree | None, dict[int, int]]:
@@ -159,10 +165,11 @@ def index(rows: DataFrame) -> tuple[DataFrame, Tree | None, dict[int, int]]:
         return rows.withColumn("leaf", F.lit(0).cast("long")), None, {}
     dimension = len(rows.select("vec").first().vec)
     wanted = min(SAMPLE_ROWS, max(1, SAMPLE_VALUES // dimension))
-    place = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1_000_000))
-    # of small tables all rows
-    sample = rows if n <= wanted else rows.where(place < int(wanted / n * 1_000_000))
-    points = _stacked(sample.orderBy("vec_id").toPandas()["vec"])
+    place = F.xxhash64("vec_id", "vec", F.lit(SEED))
+    # of small tables all rows; rows that repeat don't make the sample larger
+    near = rows if n <= 2 * wanted else rows.where(F.pmod(place, F.lit(1_000_000)) < int(2 * wanted / n * 1_000_000))
+    sample = rows if n <= wanted else near.orderBy(place, "vec_id").limit(wanted)
+    points = _stacked(sample.orderBy("vec_id", "vec").toPandas()["vec"])
     # too few sampled rows for a leaf would make its centre noise
     tree = Tree(points, max(8, len(points) // LEAVES))
 
@@ -190,7 +197,8 @@ def _exact(indexed: DataFrame, query_ids: list[int], queries: np.ndarray, k: int
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    lost = F.isnan("score")
+    order = Window.partitionBy("query_id").orderBy(lost, F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -215,8 +223,8 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
            recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query row, by largest inner product.
 
-    Rows without an id, with a null, zero or non-finite vector, or with another
-    than the most frequent dimension take no part.  A query never finds rows of
+    Rows without an id or with a null, zero or non-finite vector take no part;
+    a shorter vector is read with zeros behind it.  A query never finds rows of
     its own id; rows that repeat an id are one query, of their smallest vector,
     and stay several candidates.  Ties go to the smaller id.
     """
