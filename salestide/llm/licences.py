@@ -8,7 +8,9 @@ be notices and are passed over.  The classes are licence families and ``unknown`
 trained on ordinary paragraphs of the corpus and on sentences that use licence
 words otherwise.  A family is accepted from a probability on that keeps held-out
 predictions precise, and only if the paragraph also holds at least 0.8 of the
-distinct words of one of the family's templates.
+distinct words of one of the family's templates.  It learns from names of
+licences in running text and from other wordings of their notices, half of them
+for the thresholds; the templates are kept for the comparison.
 """
 
 from __future__ import annotations
@@ -64,6 +66,43 @@ TEMPLATES = {
     "proprietary": ["All rights reserved", "Copyright 2020 the company. All rights reserved"],
     "unlicense": ["This is free and unencumbered software released into the public domain", "Released under the Unlicense"],
 }
+# fixed values: how the families are called in running text; the classifier learns from these, the templates only confirm
+NAMES = {
+    "agpl": ["the GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "the GNU AGPL v3", "the Affero GPL, version 3", "AGPL-3.0-only", "the GNU Affero General Public Licence"],
+    "apache-2.0": ["Apache License 2.0", "the Apache-2.0 licence", "the Apache Software License, Version 2.0", "Apache License, Version 2.0"],
+    "bsd": ["the 3-clause BSD license", "a BSD-style licence", "BSD-2-Clause", "the simplified BSD License", "the BSD License"],
+    "cc-by": ["CC BY 4.0", "CC-BY-4.0", "the Creative Commons Attribution 4.0 licence", "a Creative Commons Attribution International License"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "the Creative Commons Attribution-NonCommercial 4.0 licence", "a Creative Commons Attribution NonCommercial License"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "the Creative Commons Attribution-ShareAlike 4.0 licence", "a Creative Commons Attribution Share Alike License"],
+    "cc0": ["CC0", "CC0 1.0", "the CC0 1.0 Universal dedication", "Creative Commons Zero"],
+    "gpl": ["the GNU General Public License, version 3", "GNU General Public License v2.0", "the GNU GPL v3", "GPL-3.0-only", "the GNU General Public Licence, version 2", "the GNU General Public License"],
+    "isc": ["the ISC licence", "ISC License", "the ISC License"],
+    "lgpl": ["the GNU Lesser General Public License, version 3", "GNU Lesser General Public License v2.1", "the GNU LGPL v3", "LGPL-2.1-or-later", "the Lesser GPL, version 3", "the GNU Lesser General Public Licence"],
+    "mit": ["the MIT licence", "MIT License", "the MIT License", "MIT"],
+    "mpl-2.0": ["MPL-2.0", "the Mozilla Public Licence 2.0", "the Mozilla Public License, version 2.0", "MPL 2.0"],
+    "proprietary": [],
+    "unlicense": ["the Unlicense", "Unlicense"],
+}
+# sentences around such a name
+_FRAMES = [
+    "Licensed under {}", "This project is licensed under {}", "Released under {}", "The code is released under {}", "Distributed under {}",
+    "License: {}", "SPDX-License-Identifier: {}", "Use of this material is governed by {}", "You may copy and change this work under {}",
+    "This package is distributed under the terms of {}", "Covered by {}; see the file LICENSE", "Subject to the terms of {}",
+]
+# wordings of notices that don't name their licence
+BODIES = {
+    "apache-2.0": ["You may not use these files except in compliance with the Apache License", "Files may be used only in compliance with the License, a copy of which Apache provides"],
+    "bsd": ["Redistributions in source and binary forms, with or without modification, are permitted if the following conditions are met", "Use and redistribution in binary forms and in source are permitted provided that these conditions are met"],
+    "cc0": ["The authors have dedicated this work to the public domain under CC0", "Dedicated to the public domain with CC0"],
+    "isc": ["Permission to use, copy, modify and distribute this program for any purpose with or without fee is granted", "Permission is granted to use, copy, modify, and distribute this software for any purpose, with or without a fee"],
+    "mit": ["Permission is granted, free of charge, to any person who obtains a copy of this software and its documentation files", "Permission is hereby granted free of charge to anyone obtaining a copy of the software and associated documentation"],
+    "gpl": ["You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation", "Free software under the GNU General Public License published by the Free Software Foundation"],
+    "proprietary": [
+        form.format(owner) for owner in ("the publisher", "the authors", "Example Ltd", "the state press", "our firm")
+        for form in ("Copyright 2019 {}. All rights reserved", "(c) 2018 {}, all rights reserved", "All rights reserved by {}", "All rights reserved, {}", "All rights are reserved by {}")
+    ] + ["All Rights Reserved", "All rights reserved worldwide", "No part may be copied. All rights reserved", "All rights reserved. Do not copy"],
+    "unlicense": ["This is free, unencumbered software released to the public domain", "Unencumbered free software, released into the public domain"],
+}
 # sentences that use licence words otherwise
 OTHERWISE = [
     "She lost her driving license last year", "The licence fee pays for public radio", "They reserved a table for four",
@@ -71,16 +110,22 @@ OTHERWISE = [
     "The software was written at MIT in the public eye", "We ask for permission to enter the building", "The public domain of the river is wide",
     "The license plate was bent", "Version 2.0 of the report is out", "He was granted free entry to the work", "The new edition has no warranty card",
     "His licence was revoked after the trial", "Copyright disputes take years to settle", "All rooms were reserved for the guests",
+    "All rights reserved seats to their owners", "He owns all rights to the film", "Permission to land was granted to the pilot free of charge",
+    "Students at MIT study the General Public", "The apache helicopter landed under the bridge", "A mozilla engineer spoke of public matters", "The BSD group met in the Free Software room",
+    "The licence was distributed under the door", "They released the dogs under the bridge", "All rights of way were reserved rooms for debate",
 ]
-_LEADS = ["", "This work is ", "This file is ", "The source code is ", "This document is ", "Note: ", "Copyright 2021 by the authors. "]
+# ends that make a sentence out of a phrase that would be a notice alone
+_GOES_ON = ["rooms were taken by the guests", "is a phrase that many people misread", "was what the old sign by the door said", "came up in the talk we heard last week", "seats are kept for members of the club"]
 _CUE = r"(?i)licen[sc]|copyright|all rights|public domain|permission|redistribut|spdx|\bcc0\b|\bcc[- ]by|creative commons|unencumbered|apache|mozilla|\bgnu\b|\b[al]?gpl|\bmpl\b"
 _CUE_RE = re.compile(_CUE, re.ASCII)
 _PARAGRAPH = r"\n+|(?<=[.!?]) +(?=\p{Lu})"
 _SENTENCE = r"(?<=[.!?]) +(?=\p{Lu})"
 _WORD = r"[a-z0-9]+"
 _WORD_RE = re.compile(_WORD)
-# lines between the first and the last one of a wrapped notice hold fewer words than the longest template
+# lines between the first and the last one of a wrapped notice hold fewer words than the longest template; each holds one
 _MOST_WORDS = max(len(re.findall(_WORD, t.lower())) for texts in TEMPLATES.values() for t in texts)
+#: lines of a notice that is wrapped
+MOST_LINES = 12
 
 
 def _words(text: Column) -> Column:
@@ -88,40 +133,54 @@ def _words(text: Column) -> Column:
 
 
 def examples() -> list[tuple[str, str, int]]:
-    """(text, family, part): notices in several wordings, dealt to the fit (0) and to the thresholds (1)."""
+    """(text, family, part): notices in wordings of their own and other uses of their words, dealt to the fit (0) and to
+    the thresholds (1)."""
     rows = []
-    for family, texts in sorted(TEMPLATES.items()):
-        for text in texts:
-            forms = [lead + text + "." for lead in _LEADS]
-            words = text.split()
-            # every wording with one of its words left out, as far as the template comparison would still hold
-            forms += [" ".join(words[:k] + words[k + 1 :]) for k in range(0, len(words), 3) if len(words) > 5 and not re.search(r"[A-Z0-9]", words[k][1:])]
-            rows += [(f, family, i % 2) for i, f in enumerate(forms)]
-    return rows + [(t, UNKNOWN, i % 2) for i, t in enumerate(OTHERWISE)] + [(lead + t, UNKNOWN, i % 2) for i, t in enumerate(OTHERWISE) for lead in ("Note: ",)]
+    for family in sorted(TEMPLATES):
+        forms = [frame.format(name) for name in NAMES[family] for frame in _FRAMES]
+        bodies = BODIES.get(family, [])
+        forms += [lead + body for body in bodies for lead in ("", "Note: ", "This program is covered as follows: ")]
+        # a word left out
+        for body in bodies:
+            words = body.split()
+            forms += [" ".join(words[:k] + words[k + 1 :]) for k in range(0, len(words), 3) if len(words) > 9]
+        # frames and wordings of both parts differ
+        rows += [(f, family, i % 2) for i, f in enumerate(forms)]
+    plain = OTHERWISE + [f"{phrase} {end}" for phrase in ("All rights reserved", "The MIT License", "Permission", "Copyright 2019", "The public domain", "The Apache License") for end in _GOES_ON]
+    return rows + [(lead + t, UNKNOWN, i % 2) for lead in ("", "Note: ") for i, t in enumerate(plain)]
 
 
 def pieces(text: str) -> list[tuple[int, int, str]]:
-    """(first line, last line, paragraph) of all lines, and runs of lines without a blank one, that hold a licence word."""
+    """(first line, last line, paragraph) of all lines, and runs of lines without a blank one, that hold a licence word.
+
+    Lines without a word stand for nothing, so a run holds at most
+    ``MOST_LINES`` lines with words, and its ends have words.
+    """
     lines = [x.strip() for x in text.split("\n")]
     found, first = [], 0
     while first < len(lines):
         last = first
         while last < len(lines) and lines[last]:
             last += 1
-        block = " ".join(lines[first:last])
-        starts = np.cumsum([0] + [len(x) + 1 for x in lines[first:last]])
+        sizes = [len(_WORD_RE.findall(x.lower())) for x in lines[first:last]]
+        worded = [k for k, n in enumerate(sizes) if n]
+        block = " ".join(lines[first + k] for k in worded)
+        starts = np.cumsum([0] + [len(lines[first + k]) + 1 for k in worded]).tolist()
         cues = [m.span() for m in _CUE_RE.finditer(block)]
-        sizes = [len(_WORD_RE.findall(x.lower())) for x in lines[first:last]] if cues else []
-        for i in range(len(sizes)):
-            # the first cue that lies behind the start of line i
-            reach = min((end for start, end in cues if start >= starts[i]), default=None)
+        cue = 0
+        for i, line in enumerate(worded):
+            # the first cue that starts behind the start of line i
+            while cue < len(cues) and cues[cue][0] < starts[i]:
+                cue += 1
+            if cue == len(cues):
+                break
             inner = 0
-            for j in range(i, len(sizes)) if reach is not None else ():
+            for j in range(i, min(i + MOST_LINES, len(worded))):
                 if inner >= _MOST_WORDS:
                     break
-                if reach < starts[j + 1]:
-                    found.append((first + i, first + j, block[starts[i] : starts[j + 1] - 1]))
-                inner += sizes[j] if j > i else 0
+                if cues[cue][1] < starts[j + 1]:
+                    found.append((first + line, first + worded[j], block[starts[i] : starts[j + 1] - 1]))
+                inner += sizes[worded[j]] if j > i else 0
         first = last + 1
     return found
 
@@ -145,7 +204,8 @@ def paragraphs(docs: DataFrame, text: Column, *kept: Column) -> DataFrame:
 
 
 def _featured(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("words", _words(F.col(text)))
+    """Words between marks of the paragraph's start and end, so that a phrase alone differs from one that goes on."""
+    return df.withColumn("words", F.concat(F.array(F.lit("^")), _words(F.col(text)), F.array(F.lit("$"))))
 
 
 def _stages() -> list:
@@ -171,12 +231,14 @@ class Scanner:
 
 
 def fit(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCUMENTS) -> Scanner:
-    """Fit on the templates' wordings and on ordinary paragraphs of about ``sample`` documents."""
+    """Fit on written wordings and on ordinary paragraphs of at most ``sample`` documents."""
     known = docs.where(F.col(text).isNotNull())
     total = known.count()
-    share = 1.0 if total <= sample else sample / total
+    share = 1.0 if total <= 2 * sample else 2 * sample / total
     place = F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(1_000_000))
-    plain = known.where(place < int(share * 1_000_000)).select(F.explode(F.split(F.col(text), _PARAGRAPH)).alias("text")).where(
+    # rows that repeat an id are in or out together, so the limit bounds the sample
+    chosen = durable(known.where(place < int(share * 1_000_000)).select(text).limit(sample))
+    plain = chosen.select(F.explode(F.split(F.col(text), _PARAGRAPH)).alias("text")).where(
         ~F.col("text").rlike(_CUE) & (F.length("text") > 0)
     )
     # one paragraph in every eight of the sample is enough of the ordinary class
@@ -186,9 +248,9 @@ def fit(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "
     classes = sorted(TEMPLATES) + [UNKNOWN]
     rows = spark.createDataFrame(examples(), "text string, family string, part int").union(plain)
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")) - 1
-    # a small table: few tasks for each of the many short jobs
-    rows = durable(_featured(rows, "text").withColumn("label", number.cast("double")).coalesce(2))
-    model = Pipeline(stages=[*_stages(), LogisticRegression(maxIter=20, regParam=0.002, family="multinomial")]).fit(rows.where("part = 0"))
+    # a small table, cut in few tasks for each of the many short jobs once it is written
+    rows = durable(_featured(rows, "text").withColumn("label", number.cast("double"))).coalesce(2)
+    model = Pipeline(stages=[*_stages(), LogisticRegression(maxIter=40, regParam=0.0003, family="multinomial")]).fit(rows.where("part = 0"))
     held = model.transform(rows.where("part = 1")).select("label", "prediction", vector_to_array("probability").alias("chances"))
     # a bounded sample
     found = held.select("label", "prediction", F.array_max("chances").alias("best")).toPandas()
@@ -200,11 +262,14 @@ def fit(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "
 
 
 def _limit(best: np.ndarray, right: np.ndarray) -> float:
-    """The lowest probability from which on predictions are precise; one half where nothing was held out."""
+    """The lowest probability, of one half or more, from which on predictions are precise; infinite where there is none."""
     order = np.argsort(-best, kind="stable")
+    ranked = best[order]
     share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(share >= PRECISION)
-    return min(0.5, float(best[order][good[-1]])) if len(good) else 0.5
+    # equal probabilities are accepted together
+    ends = np.append(ranked[1:] != ranked[:-1], True) if len(ranked) else np.zeros(0, bool)
+    good = np.flatnonzero((share >= PRECISION) & ends)
+    return max(0.5, float(ranked[good[-1]])) if len(good) else float("inf")
 
 
 def confirmed(spark: SparkSession, found: DataFrame) -> DataFrame:

@@ -58,3 +58,65 @@ def test_wrapped_and_short_notices(spark):
     rows += [(100 + i, f"{PLAIN} and number {i}.\n" * 3) for i in range(120)]
     got = {r.doc: (r.licences, r.notices) for r in licences.by_document(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(6)] == [([family], 1) for family in [*WRAPPED, *SHORT]]
+
+
+def test_runs_are_bounded():
+    text = "\n".join(["#"] * 4000 + ["# Released under the MIT License."] + ["#"] * 4000)
+    found = licences.pieces(text)
+    assert found == [(4000, 4000, "# Released under the MIT License.")]
+    # many short lines with words: at most MOST_LINES runs from each
+    text = "\n".join(["a"] * 3000 + ["the license of"] + ["b"] * 3000)
+    found = licences.pieces(text)
+    assert len(found) <= licences.MOST_LINES**2 and max(len(p) for *_, p in found) < 100
+    # no blank line, one long line
+    text = "word " * 200_000 + "license"
+    assert len(licences.pieces(text)) == 1
+
+
+def plain_similarity(paragraph, family):
+    import re
+
+    own = set(re.findall("[a-z0-9]+", paragraph.lower()))
+    shares = [len(set(re.findall("[a-z0-9]+", t.lower())) & own) / len(set(re.findall("[a-z0-9]+", t.lower()))) for t in licences.TEMPLATES.get(family, [])]
+    return max(shares, default=0.0)
+
+
+def test_template_comparison_is_the_plain_one(spark):
+    rows = [(text, family) for text, _ in NOTICES.values() for family in [*licences.TEMPLATES, licences.UNKNOWN]]
+    rows += [(t, "mit") for t in WRAPPED.values()]
+    got = licences.confirmed(spark, spark.createDataFrame(rows, "paragraph string, family string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.similarity == pytest.approx(plain_similarity(r.paragraph, r.family))
+
+
+def test_limits():
+    import numpy as np
+
+    limit = licences._limit
+    assert limit(np.array([0.9, 0.8, 0.3]), np.array([True, True, True])) == 0.5
+    assert limit(np.array([0.9, 0.8, 0.7]), np.array([True, True, False])) == 0.8
+    # a wrong one among equals spoils them all
+    assert limit(np.array([0.9, 0.9]), np.array([True, False])) == float("inf")
+    assert limit(np.array([]), np.array([], bool)) == float("inf")
+
+
+HELD = [
+    ("The scripts in this folder are licensed under the MIT License.", "mit"), ("Everything here is licensed under CC BY-SA 4.0.", "cc-by-sa"),
+    ("Our tools are distributed under AGPL-3.0.", "agpl"), ("subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("Released under CC0 1.0 Universal.", "cc0"), ("This library is licensed under the GNU Lesser General Public License, version 3.", "lgpl"),
+    ("Copyright 2016 the company. All rights reserved.", "proprietary"), ("Released under the ISC License.", "isc"),
+    ("All rights reserved rooms were taken by the guests.", None), ("He lost the license that the state had granted him.", None),
+    ("The museum opens to the public on Sundays with the permission of the mayor.", None), ("Copyright law is taught at the university.", None),
+]
+
+
+def test_held_out_notices_and_clashing_columns(spark):
+    rows = [(i, f"{PLAIN}.\n{text}\n{PLAIN}", "x", "y") for i, (text, _) in enumerate(HELD)]
+    rows += [(100 + i, f"{PLAIN} and number {i}.\n" * 3, "x", "y") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, family string, row_key string")
+    scanner = licences.fit(spark, docs)
+    assert len(set(scanner.limits)) > 2
+    got = {r.doc: r.licences for r in licences.by_document(docs).collect() if r.doc < 100}
+    right = sum(got[i] == ([family] if family else []) for i, (_, family) in enumerate(HELD))
+    assert right >= len(HELD) - 1, got
