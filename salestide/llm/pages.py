@@ -2,14 +2,16 @@
 
 Every block element of a page is a binary variable, content or not, linked to
 its parent block.  Potentials between parent and child depend on the child's
-kind of tag and on class words that name furniture; each variable also sees
-other class words, the share of links in its own text and that text's length.
+kind of tag, or on a class name that is made of words for furniture alone; each
+variable also sees words for content, the share of links in its own text and
+that text's length.
 Sum-product messages go up and down the tree and give every block's marginal;
 text in blocks over one half is the main text.
 
 The potentials are smoothed counts over a bounded sample of labelled pages.
 Labels are the pages' own semantic elements: what stands inside <article> or
-<main>, apart from menus, forms and the like, is content.  Each labelled page
+<main>, apart from <nav>, <form>, <footer> and the like and from what is named
+as readers' comments, is content; other class names are learned.  Each labelled page
 counts three times: as it is, with its semantic elements made plain divisions,
 so that other features carry weight, and with its menus, notices and footers
 moved into the content, so that such blocks are recognised there too.
@@ -30,10 +32,10 @@ from pyspark.sql.types import StringType
 
 SAMPLE_PAGES = 2_000
 SMOOTHING = 0.5
-#: weight of what tag and class names alone say, in pages
+#: what tag and class names say before a page is read, as so many blocks; as many labelled ones outweigh it
 NAMES_WEIGHT = 20.0
-INSIDE_WEIGHT = 1e4
-FURNITURE_WEIGHT = 1e8
+INSIDE_WEIGHT = 100.0
+FURNITURE_WEIGHT = 500.0
 #: share of a feature's probability that is spread evenly, as the sample doesn't show all pages
 EVEN_SHARE = 0.1
 
@@ -60,6 +62,12 @@ _FURNITURE = frozenset(
     "skip contentinfo complementary dialog toc".split()
 )
 _READERS = frozenset("comment comments reply replies discussion disqus".split())
+# words that say where or how large a block is, not what it holds
+_LAYOUT = frozenset(
+    "list item items link links box wrapper wrap container block slot bar area section inner outer left right top bottom main site page global primary "
+    "secondary user users button buttons icon icons title content group panel unit row col column grid sticky fixed mobile desktop small large first last "
+    "article articles post posts the my text inline html js".split()
+)
 _CONTENT = frozenset("article content post entry story main body text prose".split())
 
 _TAG = re.compile(r"""<(?P<end>/?)(?P<name>[A-Za-z][^\s/><]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -177,10 +185,17 @@ class Page:
 
 
 def named(names: str) -> str:
-    words = set(re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", names).lower()))
+    """``furniture``, ``content`` or ``none`` by the names of a block; a name that also holds other words tells nothing."""
+    parts = [set(re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", name).lower())) for name in names.split()]
+    furniture = any(words & _FURNITURE and words <= _FURNITURE | _LAYOUT for words in parts)
+    words = set().union(*parts) if parts else set()
     if words & _CONTENT and not words & _READERS:
         return "none" if words & _FURNITURE else "content"
-    return "furniture" if words & _FURNITURE else "none"
+    return "furniture" if furniture else "none"
+
+
+def readers(names: str) -> bool:
+    return not _READERS.isdisjoint(re.findall("[a-z]+", names.lower()))
 
 
 def labels(page: Page) -> list[bool] | None:
@@ -190,7 +205,7 @@ def labels(page: Page) -> list[bool] | None:
         return None
     for i, tag in enumerate(page.tags):
         inside = tag in ("article", "main") or (i > 0 and out[page.parents[i]])
-        out[i] = inside and _KINDS[tag] != "chrome" and named(page.names[i]) != "furniture"
+        out[i] = inside and _KINDS[tag] != "chrome" and not (named(page.names[i]) == "furniture" and readers(page.names[i]))
     return out
 
 
@@ -228,7 +243,7 @@ class Potentials:
 
     def __init__(self, counts: Counter) -> None:
         counts = Counter(counts)
-        # what names alone say holds for pages like none of the sample
+        # what names alone say, for kinds that the sample lacks
         for parent in (False, True):
             counts["step", "chrome", parent, False] += FURNITURE_WEIGHT
             counts["step", "furniture", parent, False] += FURNITURE_WEIGHT

@@ -78,3 +78,38 @@ def test_table_cases(spark):
     assert [r.text for r in got.where("page_id = 3").collect()] == [LONG, LONG]
     assert [r.text for r in got.where("page_id < 3").collect()] == ["", ""]
     assert pages.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["share-price-report", "legal-news", "form-guide", "menu-week", "share-price report"])
+def test_names_that_only_hold_a_furniture_word(potentials, name):
+    html = f"<body><nav><a href=1>Home</a></nav><article class='{name}'><h1>A</h1><p>{LONG}</p><section id='{name}'><h2>B</h2><p>{LONG}</p></section></article></body>"
+    assert pages.main_text(html, potentials) == f"A\n{LONG}\nB\n{LONG}"
+
+
+def test_weights_are_learned(spark):
+    # where labelled pages hold their text in blocks named like this, such blocks are content
+    named = "<body><div class='menu'><a href=1>Home</a></div><article><h1>A</h1><div class='disclaimer'><p>{0}</p><p>{0}</p></div><p>{0}</p></article></body>"
+    rows = [(i, named.format(LONG + str(i))) for i in range(300)]
+    learned = pages.fit(spark.createDataFrame(rows, "page_id long, html string"))
+    assert pages.main_text(named.format(LONG), learned) == f"A\n{LONG}\n{LONG}\n{LONG}"
+
+
+def test_held_out_pages_with_and_without_names(spark):
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()
+    known = pages.fit(spark.createDataFrame([(r.page_id, r.html) for r in rows[::2]], "page_id long, html string"))
+    for strip in (False, True):
+        right = whole = 0
+        for r in rows[1::2]:
+            html = re.sub(r"""\s(?:class|id|role)\s*=\s*("[^"]*"|'[^']*')""", "", r.html) if strip else r.html
+            page = pages.Page(html)
+            truth = pages.labels(page)
+            if truth is None:
+                continue
+            found = pages.marginals(page.parents, page.observed(), known)
+            for i in range(1, len(truth)):
+                if page.length[i]:
+                    right, whole = right + ((found[i] > 0.5) == truth[i]), whole + 1
+        # without names an advert is a plain block of text before the article: one block a page is lost
+        assert whole > 1000 and right / whole > (0.94 if strip else 0.99), (strip, right, whole)
