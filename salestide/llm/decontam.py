@@ -6,7 +6,8 @@ of every document's template is joined by hash with the windows of the
 benchmark items.  A document matches an item when it holds at least 0.8 of the
 item's distinct windows.  For matches the tokens are read again, with the
 values kept: along an alignment, each value of the item must always meet the
-same value of the document.  All values equal means a copy, another mapping a
+same value of the document (words before the item's first name may be read as
+part of it).  All values equal means a copy, another mapping a
 re-parameterised question; a mapping that contradicts itself is no match.
 Every alignment is tested that holds ``similarity`` of the item's windows on its
 own, and the one that most windows share; one that is consistent is enough.
@@ -30,13 +31,13 @@ SIMILARITY = 0.8
 # a window row takes some 30 bytes, so that a broadcast side stays under 64 MB
 MOST_BROADCAST_ROWS = 2_000_000
 
-# fixed values: a number, a unit that may follow one, a run of capitalised words inside a sentence, a token
+# fixed values: a number, a unit that may follow one, a run of capitalised words, a token
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 UNITS = (
     "km|m|cm|mm|miles|mile|feet|foot|inches|inch|kg|g|mg|tons|pounds|pound|ounces|liters|litres|ml|l|hours|hour|minutes|minute|"
     "seconds|second|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|percent|degrees|mph|watts|volts"
 )
-NAME = r"\p{Lu}[\p{L}'-]*(?: \p{Lu}[\p{L}'-]*)*"
+NAME = r"\p{Lu}[\p{Ll}'][\p{L}'-]*(?: \p{Lu}[\p{Ll}'][\p{L}'-]*)*"
 TOKEN = r"‹[^›]*›|[\p{L}\p{M}]+"
 
 
@@ -44,7 +45,7 @@ def _marked(text: Column, values: bool) -> Column:
     """``text`` in lower case with its slots as ‹kind› or, with ``values``, as ‹kind:value›."""
     slot = (lambda kind, group: f" ‹{kind}:${group}› ") if values else (lambda kind, group: f" ‹{kind}› ")
     text = F.translate(F.coalesce(text, F.lit("")), "‹›", "  ")
-    text = F.regexp_replace(text, rf"([\p{{Ll}},;] )({NAME})", "$1" + slot("name", 2))
+    text = F.regexp_replace(text, rf"(^|[^\p{{L}}])({NAME})", "$1" + slot("name", 2))
     text = F.regexp_replace(text, rf"({NUMBER})", slot("num", 1))
     text = F.regexp_replace(text, rf"(?i)(‹num[^›]*› ) ?-?({UNITS})($|[^\p{{L}}])", "$1" + slot("unit", 2) + "$3")
     return F.lower(text)
@@ -121,6 +122,12 @@ def _slots(placed: DataFrame, names: list[str], at: str, whole: bool) -> DataFra
     ).select(*names, at, F.col("part.token").alias("tokens"), F.col("part.value").alias("values"))
 
 
+def _first_name(values: Column, own: Column, start: Column) -> Column:
+    """``values`` of a document's window; where the item starts with a name and the document's run of names ends in it, the item's."""
+    longer = (start == 0) & F.endswith(values[0], F.concat(F.lit(" "), own[0]))
+    return F.when(longer, F.concat(F.slice(own, F.lit(1), F.lit(1)), F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))))).otherwise(values)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc, text_key, item, matched, windows, slots, changed) of all consistent matches.
 
@@ -144,7 +151,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                                 & (F.col("own_tokens")[0] == F.col("tokens")[0])
                                 & (F.col("own_tokens") == F.slice("tokens", F.lit(1), n))).select(
         "p.doc", "p.text_key", "item", "matched", "windows", (F.col("at") - F.col("from")).alias("shift"), F.xxhash64("own_tokens").alias("own_window"),
-        F.filter(F.arrays_zip("own_values", F.slice("values", F.lit(1), n).alias("values"), "own_tokens"), lambda x: x["own_values"].isNotNull()).alias("slots"),
+        F.filter(F.arrays_zip("own_values", _first_name(F.slice("values", F.lit(1), n), F.col("own_values"), F.col("from")).alias("values"), "own_tokens"), lambda x: x["own_values"].isNotNull()).alias("slots"),
     )
     pair = ["doc", "text_key", "item", "matched", "windows"]
     own_values = F.array_distinct(F.transform("slots", lambda x: F.struct(x["own_tokens"], x["own_values"])))

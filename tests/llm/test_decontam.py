@@ -45,6 +45,22 @@ def test_verbatim_item_beside_a_contradicting_variant(spark):
     broken = item.replace("add 5", "add 7").replace("take 5", "take 8")
     texts = [(1, f"{broken}. then again {item}."), (2, f"{item}. then again {broken}."), (3, f"{broken}. then again {broken}.")]
     assert found(spark, texts, [(9, item)]) == [(1, 9, 0), (2, 9, 0)]
-    # in mid-sentence the copy's first word is a name and costs a window
+    # a capital at the start is a name in both
     upper = item.replace("add", "Add", 1)
     assert found(spark, [(1, f"{broken.replace('add', 'Add', 1)}. they said, {upper}.")], [(9, upper)]) == [(1, 9, 0)]
+
+
+def test_names_that_open_sentences(spark):
+    item = "Anna buys 4 apples in the morning. Anna eats one of them at noon. Anna gives the rest to a friend. How many apples does the friend get?"
+    other = item.replace("Anna", "Maria Lopez").replace("4", "9")
+    broken = item.replace("Anna buys", "Maria buys").replace("Anna eats", "Eva eats")
+    glued = "They asked New " + item
+    twice = "The river is long and slow here. The river is long and wide there. The bridge is old"
+    texts = [(1, item), (2, other), (3, broken), (4, glued), (5, "So says Paul " + twice), (6, "unrelated words only")]
+    assert found(spark, texts, [(1, item), (2, twice)]) == [(1, 1, 0), (2, 1, 2), (4, 1, 0), (5, 2, 0)]
+
+
+def test_long_text_and_repeated_rows(spark):
+    long = "Words of no use 7 times. " * 20_000
+    got = found(spark, [(1, long + ITEM + ". " + long), (2, long), (3, ITEM), (3, ITEM)])
+    assert got == [(1, 1, 0), (3, 1, 0)]
