@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salestide.functions.numeric import banded, mean, pct, ratio, total
-from salestide.functions.ordering import exact_percentiles
+from salestide.functions.quantiles import exact_quantiles
 
 # Sales zones by ISO-2 country code; all others are "Autres".
 ZONES = {
@@ -60,11 +60,10 @@ def country_stats(df: DataFrame) -> DataFrame:
         F.avg("unit_price").alias("mean_price"), F.count_distinct("client_id").alias("clients"),
         F.count_distinct("order_id").alias("orders"), F.count_distinct("family").alias("families"),
     )
-    amount = exact_percentiles(d, ["country"], "amount", {"median_line": 0.5})
-    price = exact_percentiles(d, ["country"], "unit_price", {"median_price": 0.5})
+    medians = exact_quantiles(d, ["country"], {"median_line": ("amount", 0.5), "median_price": ("unit_price", 0.5)})
     order = Window.orderBy(F.desc("revenue"), "country")
     return (
-        base.join(amount, "country", "left").join(price, "country", "left")
+        base.join(medians, "country", "left")
         .withColumns(
             {
                 "share_pct": pct("revenue", F.sum("revenue").over(_all())),

@@ -390,6 +390,10 @@ def normal_quantile(p: pd.Series) -> pd.Series:
     return pd.Series(_normal_quantile(p.to_numpy(dtype=float)))
 
 
+#: positions of one value that are written out in one row
+QQ_RUN = 1 << 16
+
+
 def qq_points(df: DataFrame, variable: str) -> DataFrame:
     """Sorted values against normal quantiles at the order-statistic medians."""
     v = df.select(F.col(variable).cast("double").alias("v")).where("v is not null")
@@ -398,9 +402,8 @@ def qq_points(df: DataFrame, variable: str) -> DataFrame:
         "n", v.agg(F.count("*").alias("n")).scalar()
     )
     # equal values share one sorted run; expand to positions only at the end
-    each = ranked.select(
-        "v", "n", F.explode(F.sequence(F.col("cum") - F.col("c") + 1, F.col("cum"))).alias("i")
-    )
+    runs = ranked.select("v", "n", "cum", F.explode(F.sequence(F.col("cum") - F.col("c") + 1, F.col("cum"), F.lit(QQ_RUN))).alias("first"))
+    each = runs.select("v", "n", F.explode(F.sequence("first", F.least(F.col("first") + QQ_RUN - 1, F.col("cum")))).alias("i"))
     tail = F.pow(F.lit(0.5), 1.0 / F.col("n"))
     p = (
         F.when(F.col("i") == 1, 1 - tail)

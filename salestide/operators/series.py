@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from salestide.functions.calendar import MONTH_WORDS, period_index, period_label, with_period
 from salestide.functions.loess import adf_statistic, decompose, kpss_statistic
 from salestide.functions.numeric import mean, pct, ratio, total
-from salestide.functions.ordering import exact_percentiles
+from salestide.functions.quantiles import exact_quantiles
 from salestide.session import spread
 
 
@@ -85,9 +85,8 @@ def _full_stats(df: DataFrame, keys: list[str]) -> DataFrame:
         total("qty").alias("qty"), F.avg("qty").alias("mean_qty"), F.avg("unit_price").alias("mean_price"),
         F.count_distinct("client_id").alias("clients"), F.count_distinct("order_id").alias("orders"),
     )
-    amount = exact_percentiles(df, keys, "amount", {"median_line": 0.5})
-    price = exact_percentiles(df, keys, "unit_price", {"median_price": 0.5})
-    return base.join(amount, keys, "left").join(price, keys, "left")
+    medians = exact_quantiles(df, keys, {"median_line": ("amount", 0.5), "median_price": ("unit_price", 0.5)})
+    return base.join(medians, keys, "left")
 
 
 def fiscal_quarter_stats(df: DataFrame) -> DataFrame:
