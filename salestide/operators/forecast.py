@@ -7,31 +7,36 @@ month.  All windows run over the months of one client.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salestide.functions.boosting import boost, predict
 from salestide.functions.loess import decompose
 from salestide.functions.numeric import pct
-from salestide.functions.ordering import exact_percentiles, globally_ranked
+from salestide.functions.ordering import globally_ranked
+from salestide.functions.quantiles import exact_quantiles
 from salestide.operators.behaviour import monthly_features, portfolio
 from salestide.session import durable, spread
 
 HORIZONS = [3, 6, 12]
 MIN_HISTORY = 6
 STL_MIN_HISTORY = 18
-# Weights of the two forecasts.
+# Weights of the two forecasts, quantiles and rounds of the model, names of its features.
 MODEL_WEIGHT, STL_WEIGHT = 0.60, 0.40
+QUANTILES = [0.10, 0.50, 0.90]
+ROUNDS = 200
 FEATURES = [
     "ca_lag1", "ca_lag2", "ca_lag3", "ca_lag6", "ca_lag12", "ca_roll3", "ca_roll6", "ca_roll12", "ca_roll3_std",
     "ca_roll6_std", "ca_slope3", "ca_slope6", "ca_slope12", "qty_lag1", "qty_roll3", "qty_slope3", "freq_lag1",
     "freq_roll3", "freq_slope3", "pu_lag1", "pu_roll3", "month_sin", "month_cos", "alert_score",
 ]
+#: samples of one boosting task, and such tasks per horizon and quantile
+BUCKET_ROWS = 50_000
+MOST_BUCKETS = 16
 
 
 def monthly_matrix(df: DataFrame) -> DataFrame:
@@ -98,56 +103,88 @@ def latest_rows(features: DataFrame, horizons: list[int] = HORIZONS) -> DataFram
     return rows.withColumns({"month_sin": sin, "month_cos": cos})
 
 
-def model_forecast(samples: DataFrame, latest: DataFrame, horizons: list[int] = HORIZONS, rounds: int = 100,
-                   depth: int = 5, step: float = 0.05, least: int = 20, seed: int = 42, held_out: int = 5) -> DataFrame:
-    """Median and 10/90 % forecasts per client and horizon.
+def _filled(rows: DataFrame, middle: DataFrame) -> DataFrame:
+    """``rows`` with (client_id, horizon, features as one array), nulls as the horizon's median (0 where it has none)."""
+    # one row per horizon
+    met = rows.join(F.broadcast(middle), "horizon", "left")
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.col(f"_{c}"), F.lit(0.0)) for c in FEATURES])
+    return met.select("client_id", "horizon", values.alias("x"), *[c for c in ("target",) if c in rows.columns])
 
-    The median comes from boosted trees on absolute loss, trained on the
-    executors.  The band is conditional: on held-out clients (one of
-    ``held_out`` by hash) a second, smaller model learns the size of the
-    residual, and the 10/90 % points of residual over size, times the size
-    expected for the client, give the outer quantiles.  Horizons with too few
-    samples are left out.
+
+def fit_quantiles(samples: DataFrame, rounds: int = ROUNDS, depth: int = 5, step: float = 0.05, least_leaf: int = 5, least: int = 20,
+                  seed: int = 42) -> tuple[dict[tuple[int, float], list[dict]], DataFrame]:
+    """(trees by (horizon, quantile), medians of the features) from samples of ``training_samples``.
+
+    Clients are dealt to buckets of about ``BUCKET_ROWS`` samples by hash, and
+    every (horizon, quantile, bucket) is one task with boosting rounds of its
+    own on pinball loss; a forecast is the mean of the buckets' models.  Up to
+    ``MOST_BUCKETS`` x ``BUCKET_ROWS`` samples of a horizon all clients are in
+    the fit; of more, that bounded sample is.  Horizons with fewer than
+    ``least`` samples have no model.  Only finished trees reach the driver, some
+    200 KB each.
     """
-    samples = durable(samples)
+    samples = durable(samples.select("client_id", "horizon", "target", *FEATURES))
     sizes = {r["horizon"]: r["n"] for r in samples.groupBy("horizon").agg(F.count("*").alias("n")).collect()}
-    held = F.pmod(F.xxhash64("client_id"), F.lit(held_out)) == 0
-    filled = [f"{c}_f" for c in FEATURES]
-    zero = lambda c: F.greatest(c, F.lit(0.0))
-    out = None
-    for h in horizons:
-        if sizes.get(h, 0) < least:
-            continue
-        part = samples.where(F.col("horizon") == h)
-        trees = dict(maxDepth=depth, minInstancesPerNode=5, seed=seed, featuresCol="features")
-        model = Pipeline(
-            stages=[
-                Imputer(strategy="median", inputCols=FEATURES, outputCols=filled),
-                VectorAssembler(inputCols=filled, outputCol="features"),
-                GBTRegressor(labelCol="target", lossType="absolute", maxIter=rounds, stepSize=step, **trees),
-            ]
-        ).fit(part.where(~held))
-        scored = model.transform(latest.where(F.col("horizon") == h))
-        rest = durable(model.transform(part.where(held)).withColumn("e", F.col("target") - F.col("prediction")).select(
-            "features", "e", F.abs("e").alias("size")
-        ))
-        if rest.isEmpty():
-            banded = scored.select("*", F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
-        else:
-            width = GBTRegressor(labelCol="size", predictionCol="width", maxIter=max(1, rounds // 5), stepSize=step, **trees).fit(rest)
-            floor = F.lit(1e-6)
-            units = width.transform(rest).select((F.col("e") / F.greatest("width", floor)).alias("u"))
-            points = exact_percentiles(units, [], "u", {"lo": 0.1, "hi": 0.9}).first()
-            low, high = min(points["lo"] or 0.0, 0.0), max(points["hi"] or 0.0, 0.0)
-            banded = width.transform(scored).select("*", (low * F.greatest("width", floor)).alias("low"), (high * F.greatest("width", floor)).alias("high"))
-        one = banded.select(
-            "client_id", "horizon", zero(F.col("prediction")).alias("m50"), zero(F.col("prediction") + F.col("low")).alias("m10"),
-            zero(F.col("prediction") + F.col("high")).alias("m90"),
-        )
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return latest.select("client_id", "horizon").limit(0).withColumns({c: F.lit(None).cast("double") for c in ("m50", "m10", "m90")})
-    return out
+    sizes = {h: n for h, n in sizes.items() if n >= least}
+    middle = durable(exact_quantiles(samples, ["horizon"], {f"_{c}": (c, 0.5) for c in FEATURES}))
+    if not sizes:
+        return {}, middle
+    share = F.create_map(*[F.lit(x) for h, n in sizes.items() for x in (h, max(1, math.ceil(n / BUCKET_ROWS)))])
+    bucket = F.pmod(F.xxhash64("client_id", F.lit(seed)), share[F.col("horizon")])
+    dealt = _filled(samples.where(F.col("horizon").isin(list(sizes))), middle).withColumn("bucket", bucket).where(F.col("bucket") < MOST_BUCKETS)
+    tasks = dealt.withColumn("q", F.explode(F.array(*[F.lit(q) for q in QUANTILES])))
+
+    def grown(pdf: pd.DataFrame) -> pd.DataFrame:
+        # the order of rows decides nothing but ties; sorted, a rerun gives the same trees
+        own = pdf.sort_values(["client_id", "target"], kind="stable")
+        model = boost(np.stack(own["x"].to_numpy()), own["target"].to_numpy(dtype=float), float(own["q"].iloc[0]), rounds, depth, step, least_leaf)
+        return pd.DataFrame({"horizon": [int(own["horizon"].iloc[0])], "q": [float(own["q"].iloc[0])], "body": [pickle.dumps(model)]})
+
+    # a task per group: merging them would put costly ones one after the other
+    found = spread(tasks, "horizon", "q", "bucket").groupBy("horizon", "q", "bucket").applyInPandas(grown, "horizon int, q double, body binary").collect()
+    models: dict[tuple[int, float], list[dict]] = {}
+    for r in found:
+        models.setdefault((r["horizon"], r["q"]), []).append(pickle.loads(bytes(r["body"])))
+    return models, middle
+
+
+def predict_quantiles(rows: DataFrame, models: dict[tuple[int, float], list[dict]], middle: DataFrame) -> DataFrame:
+    """(client_id, horizon, m10, m50, m90) of feature rows, never negative and in order; horizons without a model are left out."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    @F.pandas_udf("array<double>")
+    def score(horizon: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros((len(x), len(QUANTILES)))
+        for h in horizon.unique():
+            own = (horizon == h).to_numpy()
+            cells = np.stack(x[own].to_numpy())
+            for i, q in enumerate(QUANTILES):
+                parts = shared.value[int(h), q]
+                weights = [m["rows"] for m in parts]
+                out[own, i] = np.average([predict(m, cells) for m in parts], axis=0, weights=weights)
+        return pd.Series(list(np.sort(np.maximum(out, 0.0), axis=1)))
+
+    known = _filled(rows.where(F.col("horizon").isin(sorted({h for h, _ in models}))), middle).withColumn("m", score("horizon", "x"))
+    names = ["m10", "m50", "m90"]
+    return known.select("client_id", "horizon", *[F.col("m")[i].alias(n) for i, n in enumerate(names)], *[c for c in ("target",) if c in rows.columns])
+
+
+def model_forecast(samples: DataFrame, latest: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """10, 50 and 90 % forecasts per client and horizon by boosted trees on pinball loss, as ``fit_quantiles`` grows them."""
+    models, middle = fit_quantiles(samples, rounds)
+    if not models:
+        return latest.select("client_id", "horizon").limit(0).withColumns({c: F.lit(None).cast("double") for c in ("m10", "m50", "m90")})
+    return predict_quantiles(latest, models, middle)
+
+
+def band_coverage(samples: DataFrame, held_out: int = 5, rounds: int = ROUNDS) -> DataFrame:
+    """Per horizon, of the clients that were held out of the fit (one of ``held_out`` by hash): samples, shares below each forecast."""
+    held = F.pmod(F.xxhash64("client_id", F.lit(7)), F.lit(held_out)) == 0
+    samples = durable(samples)
+    models, middle = fit_quantiles(samples.where(~held), rounds)
+    scored = predict_quantiles(samples.where(held), models, middle)
+    below = {c: F.avg((F.col("target") <= F.col(c)).cast("double")).alias(f"below_{c}") for c in ("m10", "m50", "m90")}
+    return scored.groupBy("horizon").agg(F.count("*").alias("samples"), *below.values())
 
 
 def stl_forecast(matrix: DataFrame, horizons: list[int] = HORIZONS) -> DataFrame:
@@ -220,16 +257,16 @@ def blend(latest: DataFrame, model: DataFrame, stl: DataFrame) -> DataFrame:
     ).withColumn("change_pct", F.when(F.col("ca") > 0, pct(F.col("q50") - F.col("ca"), "ca")))
 
 
-def fitted(df: DataFrame, horizons: list[int] = HORIZONS, rounds: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fitted(df: DataFrame, horizons: list[int] = HORIZONS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(monthly matrix, newest rows, model forecast) from invoice lines."""
     features7 = durable(monthly_features(df))
     matrix = features7.drop("active_days").withColumnRenamed("nb_orders", "freq")
     features = durable(with_scores(with_features(matrix), portfolio(features7)))
     latest = latest_rows(features, horizons)
-    return matrix, latest, durable(model_forecast(training_samples(features, horizons), latest, horizons, rounds))
+    return matrix, latest, durable(model_forecast(training_samples(features, horizons), latest, rounds))
 
 
-def project(df: DataFrame, horizons: list[int] = HORIZONS, rounds: int = 100, parts: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+def project(df: DataFrame, horizons: list[int] = HORIZONS, rounds: int = ROUNDS, parts: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """(projection per client and horizon, churn per client) from invoice lines, or from their ``fitted`` parts."""
     matrix, latest, model = parts or fitted(df, horizons, rounds)
     return blend(latest, model, stl_forecast(matrix, horizons)), churn(latest)

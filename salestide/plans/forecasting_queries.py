@@ -1,5 +1,3 @@
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from salestide.operators import behaviour as beh
@@ -34,13 +32,11 @@ def _latest(spark, d):
     return prj.latest_rows(prj.with_scores(prj.with_features(matrix), beh.portfolio(f7)))
 
 
-@lru_cache(maxsize=4)
 def _fitted(spark, d):
-    """The fitted models, shared by the queries of a session."""
+    """(monthly matrix, newest rows, model forecast)."""
     return prj.fitted(_lines(spark, d))
 
 
-@lru_cache(maxsize=4)
 def _project(spark, d):
     return prj.project(_lines(spark, d), parts=_fitted(spark, d))
 
