@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salestide.functions import kmeans
 from salestide.functions.numeric import pct, ratio, ratio_or_zero, total
 from salestide.operators.kpi import top_n
 from salestide.operators.periods import business_days, quarter_open_days
@@ -90,68 +87,39 @@ def with_vector(features: DataFrame, names: list[str], fit_on: DataFrame | None
     return model.transform(assembler.transform(features)).drop("_raw")
 
 
-#: starts of the K-means that is kept; the tightest result counts
-STARTS = 3
-
-
-def _fit(vectors: DataFrame, k: int, seed: int, starts: int = 1):
-    models = [KMeans(k=k, seed=seed + i, maxIter=500, featuresCol="vector", predictionCol="cluster").fit(vectors) for i in range(starts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
-
+# Starts for the choice of k, for the final clusters, and for a quarter.
+STARTS, FINAL_STARTS, QUARTER_STARTS = 10, 20, 10
+_SCORE_SCHEMA = "k int, silhouette double, inertia double, davies_bouldin double, calinski_harabasz double"
 
-def _distance(centers: list[np.ndarray]) -> Column:
-    """Squared distance of a row to the centre of its cluster (at most a dozen centres)."""
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
-    own = F.element_at(table, F.col("cluster") + 1)
-    squares = F.zip_with(vector_to_array("vector"), own, lambda a, b: (a - b) * (a - b))
-    return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
 
+def _narrow(vectors: DataFrame, part: Column | None = None) -> DataFrame:
+    """(part, x) of the vectors, a table that every pass reads."""
+    return durable(vectors.select((F.lit(0) if part is None else part).cast("int").alias("part"), vector_to_array("vector").alias("x")))
 
-def _scores(assigned: DataFrame, centers: list[np.ndarray]) -> dict[str, float]:
-    """Silhouette, inertia, Davies-Bouldin and Calinski-Harabasz from one row per cluster."""
-    silhouette = ClusteringEvaluator(featuresCol="vector", predictionCol="cluster").evaluate(assigned)
-    rows = assigned.withColumn("_d", _distance(centers)).groupBy("cluster").agg(
-        F.count("*").alias("n"), F.sum("_d").alias("sse"), F.avg(F.sqrt("_d")).alias("spread")
-    ).collect()
-    n, k = sum(r["n"] for r in rows), len(rows)
-    sse = sum(r["sse"] for r in rows)
-    middle = sum(np.asarray(centers[r["cluster"]]) * r["n"] for r in rows) / n
-    between = sum(r["n"] * float(((centers[r["cluster"]] - middle) ** 2).sum()) for r in rows)
-    worst = [
-        max((a["spread"] + b["spread"]) / max(float(np.linalg.norm(centers[a["cluster"]] - centers[b["cluster"]])), 1e-12)
-            for b in rows if b["cluster"] != a["cluster"])
-        for a in rows
-    ] if k > 1 else [0.0]
-    ch = (between / (k - 1)) / (sse / (n - k)) if k > 1 and n > k and sse > 0 else float("nan")
-    return {"k": k, "silhouette": float(silhouette), "inertia": float(sse), "davies_bouldin": float(np.mean(worst)), "calinski_harabasz": float(ch)}
 
+def _score_rows(vectors: DataFrame, rows: list[dict[str, float]]) -> DataFrame:
+    return vectors.sparkSession.createDataFrame([tuple(r.values()) for r in rows], _SCORE_SCHEMA)
 
-_SCORE_SCHEMA = "k int, silhouette double, inertia double, davies_bouldin double, calinski_harabasz double"
 
-
-def search_k(vectors: DataFrame, low: int = 2, high: int = 10, seed: int = 42) -> DataFrame:
-    """Scores of every k below the number of rows; the best silhouette is marked (the loop is over k, not over data)."""
-    rows, n = [], vectors.count()
-    for k in range(low, min(high, n - 1) + 1):
-        model = _fit(vectors, k, seed)
-        rows.append(_scores(model.transform(vectors), model.clusterCenters()))
-    if not rows:
+def search_k(vectors: DataFrame, low: int = 2, high: int = 10, seed: int = 42, starts: int = STARTS) -> DataFrame:
+    """Scores of every k below the number of rows; the best silhouette is marked.  All k and starts move in the same passes."""
+    narrow = _narrow(vectors)
+    models = kmeans.best(kmeans.fit(narrow, [(0, k) for k in range(low, min(high, narrow.count() - 1) + 1)], starts, seed))
+    if not models:
         raise ValueError("too few rows to cluster")
+    rows = kmeans.scores(narrow, [models[key] for key in sorted(models)])
     best = max(rows, key=lambda r: r["silhouette"])["k"]
-    return vectors.sparkSession.createDataFrame(
-        [(r["k"], r["silhouette"], r["inertia"], r["davies_bouldin"], r["calinski_harabasz"]) for r in rows], _SCORE_SCHEMA
-    ).withColumn("is_best", F.col("k") == best)
+    return _score_rows(vectors, rows).withColumn("is_best", F.col("k") == best)
 
 
-def cluster_clients(vectors: DataFrame, k: int | None = None, low: int = 2, high: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def cluster_clients(vectors: DataFrame, k: int | None = None, low: int = 2, high: int = 10, seed: int = 42, starts: int = FINAL_STARTS) -> tuple[DataFrame, DataFrame]:
     """(clients with their cluster, one row of scores); k by silhouette unless given."""
     if k is None:
         k = search_k(vectors, low, high, seed).where("is_best").first()["k"]
-    model = _fit(vectors, k, seed, STARTS)
-    assigned = durable(model.transform(vectors))
-    s = _scores(assigned, model.clusterCenters())
-    scores = vectors.sparkSession.createDataFrame([tuple(s.values())], _SCORE_SCHEMA)
-    return assigned, scores
+    narrow = _narrow(vectors)
+    model = kmeans.best(kmeans.fit(narrow, [(0, k)], starts, seed, 500))[0, k]
+    assigned = durable(vectors.withColumn("cluster", kmeans.nearest(vector_to_array("vector"), {0: model.centers}, F.lit(0))))
+    return assigned, _score_rows(vectors, kmeans.scores(narrow, [model]))
 
 
 def cluster_profiles(assigned: DataFrame) -> DataFrame:
@@ -227,19 +195,27 @@ def quarter_summary(lines: DataFrame, closures: dict | None = None) -> DataFrame
     ).withColumn("clients", whole)
 
 
-def shared_k(vectors: DataFrame, low: int = 2, high: int = 10, seed: int = 42) -> DataFrame:
+def _quarters(vectors: DataFrame) -> list[str]:
+    return [r["quarter"] for r in vectors.select("quarter").distinct().orderBy("quarter").collect()]
+
+
+def _number(quarters: list[str]) -> Column:
+    """Place of the row's quarter in the list (at most four)."""
+    return F.array_position(F.array(*[F.lit(q) for q in quarters]), F.col("quarter")) - 1
+
+
+def shared_k(vectors: DataFrame, low: int = 2, high: int = 10, seed: int = 42, starts: int = QUARTER_STARTS) -> DataFrame:
     """Mean silhouette of each k over the quarters; every quarter needs more than k rows."""
-    sizes = {r["quarter"]: r["n"] for r in vectors.groupBy("quarter").agg(F.count("*").alias("n")).collect()}
-    parts = {q: vectors.where(F.col("quarter") == q) for q in sorted(sizes)}
-    rows = []
-    for k in range(low, high + 1):
-        if min(sizes.values()) <= k:
-            break
-        evaluator = ClusteringEvaluator(featuresCol="vector", predictionCol="cluster")
-        found = [float(evaluator.evaluate(_fit(p, k, seed).transform(p))) for p in parts.values()]
-        rows.append((k, sum(found) / len(found)))
-    if not rows:
+    quarters = _quarters(vectors)
+    least = vectors.groupBy("quarter").count().agg(F.min("count")).first()[0] or 0
+    ks = range(low, min(high, least - 1) + 1)
+    if not ks:
         raise ValueError("too few active clients per quarter")
+    narrow = _narrow(vectors, _number(quarters))
+    models = kmeans.best(kmeans.fit(narrow, [(p, k) for p in range(len(quarters)) for k in ks], starts, seed))
+    keys = sorted(models)
+    found = dict(zip(keys, (r["silhouette"] for r in kmeans.scores(narrow, [models[x] for x in keys]))))
+    rows = [(k, sum(found[p, k] for p in range(len(quarters))) / len(quarters)) for k in ks]
     best = max(rows, key=lambda r: r[1])[0]
     return vectors.sparkSession.createDataFrame(rows, "k int, silhouette double").withColumn("is_best", F.col("k") == best)
 
@@ -261,19 +237,15 @@ def matching(reference: list[np.ndarray], new: list[np.ndarray]) -> list[int]:
     return min(best.values())[1]
 
 
-def cluster_quarters(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
+def cluster_quarters(vectors: DataFrame, k: int, seed: int = 42, starts: int = QUARTER_STARTS) -> DataFrame:
     """K-means per quarter, labels aligned with those of the first quarter."""
-    quarters = [r["quarter"] for r in vectors.select("quarter").distinct().orderBy("quarter").collect()]
-    reference, out = None, []
-    for q in quarters:
-        part = vectors.where(F.col("quarter") == q)
-        model = _fit(part, k, seed, STARTS)
-        centers = model.clusterCenters()
-        labels = list(range(k)) if reference is None else matching(reference, centers)
-        reference = reference if reference is not None else centers
-        names = F.array(*[F.lit(x) for x in labels])
-        out.append(model.transform(part).withColumn("cluster", F.element_at(names, F.col("cluster") + 1)))
-    return durable(reduce(lambda a, b: a.unionByName(b), out))
+    quarters = _quarters(vectors)
+    models = kmeans.best(kmeans.fit(_narrow(vectors, _number(quarters)), [(p, k) for p in range(len(quarters))], starts, seed))
+    centers = {p: models[p, k].centers for p in range(len(quarters))}
+    for p in range(1, len(quarters)):
+        labels = matching(list(centers[0]), list(centers[p]))
+        centers[p] = centers[p][np.argsort(labels)]
+    return durable(vectors.withColumn("cluster", kmeans.nearest(vector_to_array("vector"), centers, _number(quarters))))
 
 
 def quarter_distribution(panel: DataFrame, assigned: DataFrame) -> DataFrame:

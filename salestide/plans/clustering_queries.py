@@ -1,5 +1,3 @@
-from functools import lru_cache
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -46,9 +44,8 @@ def _features(spark, d):
     return clu.client_features(lines, clu.leading_families(lines))
 
 
-@lru_cache(maxsize=4)
 def _vectors(spark, d):
-    """(vectors, feature names, families); durable, and shared by the queries of a session."""
+    """(vectors, feature names, families)."""
     lines = _lines(spark, d)
     families = clu.leading_families(lines)
     f = durable(clu.with_country_code(clu.client_features(lines, families)))
@@ -66,7 +63,6 @@ def _quarter_features(spark, d):
     return clu.quarter_features(lines, families, CLOSURES), families
 
 
-@lru_cache(maxsize=4)
 def _quarter_vectors(spark, d):
     f, families = _quarter_features(spark, d)
     f = durable(clu.with_country_code(f))
@@ -74,20 +70,9 @@ def _quarter_vectors(spark, d):
     return durable(clu.with_vector(f, names)), names
 
 
-@lru_cache(maxsize=4)
 def _quarter_clusters(spark, d):
     vectors, _ = _quarter_vectors(spark, d)
-    return clu.cluster_quarters(vectors, _shared_k(spark, d).where("is_best").first()["k"])
-
-
-@lru_cache(maxsize=4)
-def _shared_k(spark, d):
-    return clu.shared_k(_quarter_vectors(spark, d)[0])
-
-
-@lru_cache(maxsize=4)
-def _searched(spark, d):
-    return clu.search_k(_vectors(spark, d)[0])
+    return clu.cluster_quarters(vectors, clu.shared_k(vectors).where("is_best").first()["k"])
 
 
 def _long(vectors, names, *keys):
@@ -153,12 +138,11 @@ def _(spark, d):
 
 @query("clu_08_search_k", floats="silhouette inertia:2 davies_bouldin:4 calinski_harabasz:2")
 def _(spark, d):
-    return _searched(spark, d)
+    return clu.search_k(_vectors(spark, d)[0])
 
 
-@lru_cache(maxsize=4)
 def _assigned(spark, d):
-    return clu.cluster_clients(_vectors(spark, d)[0], _searched(spark, d).where("is_best").first()["k"])
+    return clu.cluster_clients(_vectors(spark, d)[0])
 
 
 @query("clu_09_scores", floats="silhouette inertia:2 davies_bouldin:4 calinski_harabasz:2")
@@ -173,7 +157,7 @@ def _(spark, d):
 
 @query("clu_10_families", floats="mean_revenue:2")
 def _(spark, d):
-    return clu.cluster_families(_assigned(spark, d)[0], _vectors(spark, d)[2])
+    return clu.cluster_families(_assigned(spark, d)[0], clu.leading_families(_lines(spark, d)))
 
 
 @query("clu_10_countries", floats="pct")
@@ -214,7 +198,7 @@ def _(spark, d):
 
 @query("qcl_04_shared_k", floats="silhouette")
 def _(spark, d):
-    return _shared_k(spark, d)
+    return clu.shared_k(_quarter_vectors(spark, d)[0])
 
 
 @query("qcl_05_aligned_clusters")
