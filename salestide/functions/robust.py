@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salestide.functions.ordering import framed_median
-
 EXTREME = 999.0  # score of a departure from a constant history
 
 
+def with_framed_medians(df: DataFrame, columns: dict[str, str], over: Window, least: int) -> DataFrame:
+    """Add the exact medians ``{column: name}`` over one row frame, null below ``least`` values.
+
+    The frame's rows are collected once for all columns; each median sorts its
+    few values.  For frames of bounded length.
+    """
+    rows = df.withColumn("_frame", F.collect_list(F.struct(*columns)).over(over))
+
+    def median(column: str) -> Column:
+        known = F.array_sort(F.filter(F.transform("_frame", lambda r: r[column]), lambda x: x.isNotNull()))
+        n = F.size(known)
+        low, high = F.get(known, F.floor((n - 1) / 2).cast("int")), F.get(known, F.floor(n / 2).cast("int"))
+        return F.when(n >= least, low + (high - low) * 0.5)
+
+    return rows.withColumns({name: median(column) for column, name in columns.items()}).drop("_frame")
+
+
 def with_robust_z(
     df: DataFrame, values: list[str], keys: list[str], order: str,
     window: int, min_history: int, strict: bool = True, prefix: str = "z_",
@@ -26,12 +41,11 @@ def with_robust_z(
     w = Window.partitionBy(*keys).orderBy(order)
     past = w.rowsBetween(-window, -1)
     recent = w.rowsBetween(-(window - 1), 0)
-    v = {c: F.col(c).cast("double") for c in values}
-    out = df.withColumns({f"_med_{c}": framed_median(v[c], past, min_history) for c in values})
+    v = {c: F.col(f"_v_{c}") for c in values}
+    out = df.withColumns({f"_v_{c}": F.col(c).cast("double") for c in values})
+    out = with_framed_medians(out, {f"_v_{c}": f"_med_{c}" for c in values}, past, min_history)
     out = out.withColumns({f"_dev_{c}": F.abs(F.lag(v[c]).over(w) - F.col(f"_med_{c}")) for c in values})
-    out = out.withColumns(
-        {f"_mad_{c}": framed_median(F.col(f"_dev_{c}"), recent, min_history) for c in values}
-    )
+    out = with_framed_medians(out, {f"_dev_{c}": f"_mad_{c}" for c in values}, recent, min_history)
 
     def score(c: str) -> Column:
         med, mad = F.col(f"_med_{c}"), F.col(f"_mad_{c}")
@@ -44,7 +58,7 @@ def with_robust_z(
         return z if strict else F.when(mad > 0, z).otherwise(sign.otherwise(F.lit(-EXTREME)))
 
     out = out.withColumns({f"{prefix}{c}": score(c) for c in values})
-    return out.drop(*[f"{p}{c}" for c in values for p in ("_med_", "_dev_", "_mad_")])
+    return out.drop(*[f"{p}{c}" for c in values for p in ("_v_", "_med_", "_dev_", "_mad_")])
 
 
 def with_cusum(df: DataFrame, z: str, keys: list[str], order: str, slack: float = 0.5) -> DataFrame:
