@@ -66,12 +66,31 @@ def _(spark, d):
     return _told(spark.read.option("header", True).csv(folder))
 
 
-@query("src_06_read_sheets", "select count(*) n_rows, sum(length(text))::bigint n_chars from documents", base="")
+@query("src_06_read_sheets", "select count(*) n_rows, sum(length(text))::bigint n_chars, count(distinct text) n_texts from documents", base="")
 def _(spark, d):
     folder = _folder(spark)
-    # one line per document: line ends would make pages of their own
-    read_table(spark, d, "documents").select(F.translate("text", "\n\r\f", "   ").alias("value")).write.text(folder)
-    pages = files.read_sheets(spark, folder).select(F.explode(F.split("text", "\n")).alias("text"))
-    # a file ends with a line end
-    kept = pages.where(F.length("text") > 0)
-    return kept.agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).alias("n_chars"))
+    # a page per document, parted by form feeds; a mark keeps the line end between rows apart from the texts
+    read_table(spark, d, "documents").select(F.concat(F.lit("#"), F.translate("text", "\f", " "), F.lit("\f")).alias("value")).write.text(folder)
+    pages = files.read_sheets(spark, folder).where(F.col("text").rlike("^\n?#"))
+    kept = pages.select(F.regexp_replace("text", "^\n?#", "").alias("text"))
+    return kept.agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).alias("n_chars"), F.count_distinct("text").alias("n_texts"))
+
+
+@query(
+    "snk_04_merge_keyed",
+    """, a as (select c_custkey::bigint k, c_name v from customer), b as (select distinct o_custkey::bigint*2 k from orders where o_orderstatus='P')
+    select case when a.k is null then 'created' when b.k is null then 'kept' else 'updated' end "action", count(*) n_rows, sum(coalesce(b.k, a.k))::bigint keys,
+     count(*) filter (b.k is not null) n_new from a full join b using (k) group by 1""".replace(", a as", "with a as", 1), base="",
+)
+def _(spark, d):
+    folder = _folder(spark)
+    files.write_keyed(read_table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.col("c_name").alias("v")), folder, "k")
+    incoming = read_table(spark, d, "orders").where("o_orderstatus = 'P'").select((F.col("o_custkey").cast("long") * 2).alias("k"), F.lit("new").alias("v"))
+    counts = files.merge_keyed(spark, folder, incoming, "k")
+    known = read_table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.lit(True).alias("old"))
+    now = spark.read.parquet(folder).join(known, "k", "left")
+    new = F.col("v") == "new"
+    told = now.groupBy(F.when(F.col("old").isNull(), "created").when(new, "updated").otherwise("kept").alias("action")).agg(
+        F.sum("k").alias("keys"), F.count_if(new).alias("n_new")
+    )
+    return counts.where("action != 'rejected'").withColumnRenamed("rows", "n_rows").join(told, "action")
