@@ -9,9 +9,12 @@ the sort columns form a total order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salestide.functions.quantiles import exact_quantiles
 from salestide.session import durable
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
@@ -69,69 +72,36 @@ def quantile_bucket(rank: Column, n: Column, q: int = 5) -> Column:
 def exact_percentiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
-    """Exact linear-interpolated percentiles per key, safe for heavy keys.
+    """Exact linear-interpolated percentiles of one column per key, as ``quantiles.exact_quantiles`` finds them.
 
-    The built-in ``percentile`` holds every distinct value of a group in one
-    task.  Here equal values are counted first (with the value in the shuffle
-    key), the counts are ranged over the cluster, and only the rows that hold
-    the wanted positions are kept.  ``weight`` names a column of counts when the
-    rows are already merged.
+    ``weight`` names a column of counts when the rows are already merged.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
-    )
-    cum = globally_ranked(
-        counts, [*[F.col(k) for k in keys], F.col("_v")], "_r", {"_cum": "_c"}
-    )
-    spans = cum.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-        F.min(F.col("_cum") - F.col("_c")).alias("_start"), F.sum("_c").alias("_n")
-    )
-    if keys:
-        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        joined = cum.join(spans, on=same)
-    else:
-        joined = cum.withColumns(
-            {"_start": F.lit(0), "_n": spans.select("_n").scalar()}
-        )
-    last = F.col("_cum") - F.col("_start") - 1
-    first = last - F.col("_c") + 1
-    picks = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        low, high = F.floor(pos), F.ceil(pos)
-        picks += [
-            F.max(F.when(low.between(first, last), F.col("_v"))).alias(f"_lo_{name}"),
-            F.max(F.when(high.between(first, last), F.col("_v"))).alias(f"_hi_{name}"),
-            F.max(pos - low).alias(f"_f_{name}"),
-        ]
-    return (
-        joined.groupBy(*keys)
-        .agg(*picks)
-        .select(
-            *keys,
-            *[
-                (
-                    F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")
-                ).alias(n)
-                for n in probs
-            ],
-        )
-    )
-
+    return exact_quantiles(df, keys, {name: (value, p) for name, p in probs.items()}, weight)
 
-def framed_median(value: Column, over: Window, min_count: int) -> Column:
-    """Exact median over a row frame, null below ``min_count`` values."""
-    return F.when(F.count(value).over(over) >= min_count, F.percentile(value, F.lit(0.5)).over(over))
 
+def average_ranks(df: DataFrame, groups: list[str], values: dict[str, str]) -> DataFrame:
+    """``df`` with the rank of every value in its group, ties averaged, ``{column: name}``; null for null.
 
-def average_rank(value: Column, partition: list[Column | str]) -> Column:
-    """Rank with ties averaged, null for null values (partitions must be small)."""
-    has = value.isNotNull()
-    ordered = Window.partitionBy(*partition, has).orderBy(value)
-    ties = Window.partitionBy(*partition, value)
-    return F.when(has, F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    Equal values of a group are counted first; the counts are ranged over the
+    cluster, and a value's rank follows from what stands before it in the whole
+    order and before its group.  No task holds a group.
+    """
+    columns = list(values)
+    keys = [f"_g{i}" for i in range(len(groups))]
+    sides = F.array(*[F.struct(F.lit(i).alias("_side"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    long = df.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.inline(sides)).where("_v is not null")
+    counts = long.groupBy(*keys, "_side", "_v").agg(F.count("*").alias("_c"))
+    ranked = durable(globally_ranked(counts, [*[F.col(k) for k in keys], F.col("_side"), F.col("_v")], "_r", {"_cum": "_c"}))
+    group = [*keys, "_side"]
+    starts = ranked.groupBy(*[F.col(k).alias(f"{k}_s") for k in group]).agg(F.min(F.col("_cum") - F.col("_c")).alias("_before"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}_s")) for k in group])
+    ranks = durable(ranked.join(starts, same).select(*group, "_v", (F.col("_cum") - F.col("_before") - (F.col("_c") - 1) / 2.0).alias("_rank")))
+    out = df
+    for i, c in enumerate(columns):
+        side = ranks.where(F.col("_side") == i).select(*[F.col(k).alias(f"{k}_{i}") for k in keys], F.col("_v").alias(f"_v_{i}"), F.col("_rank").alias(values[c]))
+        condition = reduce(lambda x, y: x & y, [out[g].eqNullSafe(side[f"{k}_{i}"]) for g, k in zip(groups, keys)] + [F.col(c).cast("double") == F.col(f"_v_{i}")])
+        out = out.join(side, condition, "left").drop(*[f"{k}_{i}" for k in keys], f"_v_{i}")
+    return out
 
 
 def day_percentiles(

@@ -15,9 +15,9 @@ from salestide.functions.calendar import with_period
 from salestide.functions.isolation import anomaly_score, grow, own_scores
 from salestide.functions.loess import decompose
 from salestide.functions.numeric import revenue_per_unit, total
-from salestide.functions.ordering import exact_percentiles, framed_median
-from salestide.functions.robust import with_robust_z
-from salestide.session import spread
+from salestide.functions.ordering import exact_percentiles
+from salestide.functions.robust import with_framed_medians, with_robust_z
+from salestide.session import durable, spread
 
 # Trailing window and least history per grain.
 HISTORY = {"month": (12, 6), "quarter": (8, 5), "year": (5, 3)}
@@ -168,7 +168,9 @@ def forest_scores(df: DataFrame, columns: list[str], key: list[str], contaminati
         return pd.Series(anomaly_score(np.column_stack([c.to_numpy(dtype=float) for c in cols]), grown, m))
 
     scored = df.withColumn("anomaly_score", score(*[F.coalesce(F.col(c).cast("double"), F.lit(full[c])) for c in columns]))
-    cut = exact_percentiles(scored.select(*weights, F.round("anomaly_score", 9).alias("s")), [], "s", {"cut": 1 - contamination}, weight).scalar()
+    # the scores are read twice, the trees run once for it
+    points = durable(scored.select(*weights, F.round("anomaly_score", 9).alias("s")))
+    cut = exact_percentiles(points, [], "s", {"cut": 1 - contamination}, weight).scalar()
     return scored.withColumn("is_anomaly", F.round("anomaly_score", 9) > cut)
 
 
@@ -180,8 +182,9 @@ def client_forest(df: DataFrame, grain: str = "month", trees: int = 100, seed: i
     window, history = history_spec(grain)
     rows = with_robust_z(client_periods(df, grain), ["price"], ["client_id"], "period_index", window, history)
     past = Window.partitionBy("client_id").orderBy("period_index").rowsBetween(-window, -1)
-    for c in ("revenue", "qty", "orders"):
-        rows = rows.withColumn(f"_med_{c}", framed_median(F.col(c).cast("double"), past, history))
+    names = ["revenue", "qty", "orders"]
+    rows = with_framed_medians(rows.withColumns({f"_v_{c}": F.col(c).cast("double") for c in names}), {f"_v_{c}": f"_med_{c}" for c in names}, past, history)
+    rows = rows.drop(*[f"_v_{c}" for c in names])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     least = max(5, history)
 

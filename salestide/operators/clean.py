@@ -25,6 +25,8 @@ YEAR_FIRST = rf"^\s*(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){TIME_PART}\s*$"
 DAY_FIRST = rf"^\s*(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){TIME_PART}\s*$"
 DATES = ["invoice_date", "order_date", "ship_date", "planned_date"]
 NUMBERS = ["qty", "amount", "unit_price"]
+#: rows of a broadcast table of articles, some 100 bytes each
+MOST_BROADCAST = 500_000
 
 
 def country_of(client_id: Column) -> Column:
@@ -191,17 +193,64 @@ def prepare(raw: DataFrame) -> DataFrame:
     )
 
 
+def article_table(df: DataFrame, kept: Column) -> DataFrame:
+    """(article_code, family, lines, label, reference_price): what ``with_article_label`` finds on all rows and
+    ``with_reference_price`` on those ``kept``, from one scan.
+
+    The scan leaves one row per article, family and price, with the first label
+    and the number of lines; all else is folded from those.
+    """
+    named = F.when(F.col("label_1").isNotNull(), F.struct(F.col("order_date").isNull().alias("late"), "order_date", F.col("label_1").alias("name")))
+    priced = kept & F.coalesce(F.col("unit_price") > 0, F.lit(False))
+    states = durable(
+        df.select("article_code", "family", F.when(priced, F.col("unit_price")).alias("unit_price"), named.alias("first"), kept.alias("kept"))
+        .groupBy("article_code", "family", "unit_price").agg(F.min("first").alias("first"), F.count_if("kept").alias("n"))
+    )
+    labels = states.where("article_code is not null").groupBy("article_code").agg(F.min("first")["name"].alias("label"))
+    counts = states.where("unit_price is not null")
+    median = lambda key, name: exact_percentiles(counts.where(F.col(key).isNotNull()), [key], "unit_price", {name: 0.5}, weight="n")
+    pairs = states.groupBy("article_code", "family").agg(F.sum("n").alias("lines")).where("lines > 0")
+    return pairs.join(labels, "article_code", "left").join(median("article_code", "_pa"), "article_code", "left").join(
+        median("family", "_pf"), "family", "left"
+    ).select("article_code", "family", "lines", "label", F.coalesce("_pa", "_pf").alias("reference_price"))
+
+
+def with_article_table(df: DataFrame, table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` with the label and the reference price of its (article, family).
+
+    A table of at most ``most`` rows is broadcast; of a larger one only the
+    pairs that stand on most lines, so that none of the rest is hot when it is
+    joined by a shuffle.
+    """
+    table = durable(table)
+    side = table.select(
+        F.col("article_code").alias("_a"), F.col("family").alias("_f"), "lines", F.struct("label", "reference_price").alias("_t")
+    )
+    rows = df.drop("label_1")
+    match = lambda t: F.col("article_code").eqNullSafe(t["_a"]) & F.col("family").eqNullSafe(t["_f"])
+    told = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")).first()
+    if told["n"] <= most:
+        met = rows.join(F.broadcast(side.drop("lines")), match(side), "left").drop("_a", "_f")
+    else:
+        limit = told["lines"] // most + 1
+        often, rare = side.where(F.col("lines") > limit).drop("lines"), side.where(F.col("lines") <= limit).drop("lines")
+        looked = rows.join(F.broadcast(often), match(often), "left").drop("_a", "_f")
+        rest = looked.where("_t is null").drop("_t")
+        met = looked.where("_t is not null").unionByName(rest.join(rare, match(rare), "left").drop("_a", "_f"))
+    return met.withColumns({"label_1": F.col("_t.label"), "reference_price": F.col("_t.reference_price")}).drop("_t")
+
+
 def clean(raw: DataFrame, excluded: list[str] | None = None) -> DataFrame:
-    """The whole pipeline from raw headers to the canonical table."""
+    """The whole pipeline from raw headers to the canonical table; the input is read twice."""
+    d = prepare(raw)
+    unwanted = F.col("family").isin(EXCLUDED_FAMILIES if excluded is None else excluded)
+    kept = ~F.coalesce(unwanted, F.lit(False)) & F.col("invoice_date").isNotNull()
     return (
-        prepare(raw)
-        .transform(with_article_label)
-        .transform(exclude_families, excluded)
-        .transform(drop_undated)
+        d.where(kept)
         .withColumn("ref_date", F.col("invoice_date"))
         .transform(with_fiscal_calendar)
         .transform(with_lead_times)
-        .transform(with_reference_price)
+        .transform(with_article_table, article_table(d, kept))
         .transform(repair_negatives)
         .transform(drop_negatives)
         .transform(settle_price)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from salestide.functions.calendar import period_ordinal, with_period
 from salestide.functions.numeric import pct, ratio, total, weighted_price
 from salestide.functions.ordering import day_percentiles, exact_percentiles
+from salestide.session import durable
 
 OTHERS = "Autres"
 MISSING = "Non renseigné"
@@ -335,7 +336,8 @@ def kpi_pack(df: DataFrame, grain: str = "month") -> DataFrame:
     All parts are keyed by client, so the joins share one partitioning.
     """
     lines = with_order_key(df)
-    orders = client_orders(lines)
+    # every part reads the orders
+    orders = durable(client_orders(lines))
     parts = [
         recency(orders), order_rhythm(orders, grain), lead_times(orders), late_rate(orders), main_country(df),
         pricing(df), family_concentration(df), gap_after_lead_time(orders), recent_drop(df, grain),

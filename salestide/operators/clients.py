@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from salestide.functions.calendar import with_period
 from salestide.functions.numeric import banded, mean, pct, ratio, total
 from salestide.functions.ordering import globally_ranked, quantile_bucket
+from salestide.session import durable
 
 # RFM segments by least total score.
 RFM_SEGMENTS = [(13, "Champions"), (10, "Fidèles"), (7, "Potentiels")]
@@ -84,11 +85,17 @@ def rfm(stats: DataFrame) -> DataFrame:
 
     Scores cut unique ranks; ties are ranked by falling revenue, then client.
     """
+    stats = durable(stats)
     n = stats.agg(F.count("*").alias("n")).scalar()
     tie = [F.desc("revenue"), F.asc("client_id")]
-    out = globally_ranked(stats, [F.asc("recency_days"), *tie], "_r")
-    out = globally_ranked(out, [F.asc("orders"), *tie], "_f")
-    out = globally_ranked(out, [F.asc("revenue"), F.asc("client_id")], "_m").withColumn("_n", n)
+    orders = {"_r": [F.asc("recency_days"), *tie], "_f": [F.asc("orders"), *tie], "_m": [F.asc("revenue"), F.asc("client_id")]}
+    # only what is ranked is sorted
+    narrow = stats.select("client_id", "recency_days", "orders", "revenue")
+    out = stats
+    for name, order in orders.items():
+        ranked = globally_ranked(narrow, order, name).select(F.col("client_id").alias("_c"), name)
+        out = out.join(ranked, F.col("client_id").eqNullSafe(F.col("_c"))).drop("_c")
+    out = out.withColumn("_n", n)
     best = F.least(F.lit(5), F.col("_n")) + 1
     bucket = lambda c: quantile_bucket(F.col(c), F.col("_n"))
     scored = out.withColumns(

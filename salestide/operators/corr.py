@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from salestide.functions.calendar import with_period
 from salestide.functions.numeric import banded, safe_corr
-from salestide.functions.ordering import average_rank
+from salestide.functions.ordering import average_ranks
 from salestide.operators.products import item_series, item_stats
+from salestide.session import durable
 
 MEASURES = [
     "revenue", "qty", "price", "median_lead_time", "p90_deviation", "late_pct", "clients", "orders",
@@ -61,8 +62,8 @@ def pearson_by_period(df: DataFrame, variables: list[str], grain: str) -> DataFr
 def spearman(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
     """Rank correlation per key over pairwise complete rows, ties averaged.
 
-    For small groups (periods of an item, families); the ranks of one key and
-    pair are built in one task.
+    Ranks come from one order of all values, so a pair may hold any number of
+    rows.
     """
     rows = F.array(
         *[
@@ -74,7 +75,7 @@ def spearman(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> Da
     long = df.select(*keys, F.inline(rows)).where("x is not null and y is not null")
     part = [*keys, "a", "b"]
     return (
-        long.withColumns({"rx": average_rank(F.col("x"), part), "ry": average_rank(F.col("y"), part)})
+        average_ranks(durable(long), part, {"x": "rx", "y": "ry"})
         .groupBy(*part)
         .agg(
             F.count("*").alias("n"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from salestide.functions.numeric import pct, ratio, total
 from salestide.functions.ordering import globally_ranked
+from salestide.session import durable
 
 # Spellings folded into one code.
 CURRENCY_FOLDS = {"€": "EUR", "EURO": "EUR", "EUROS": "EUR", "NAN": "UNKNOWN", "NONE": "UNKNOWN"}
@@ -141,8 +142,11 @@ def clients_to_80(df: DataFrame, home: str = "EUR", level: float = 80) -> DataFr
 
 
 def currency_report(df: DataFrame, home: str = "EUR") -> DataFrame:
-    """Clean, then the indicators as one row."""
-    clean = positive_lines(df)
+    """Clean, then the indicators as one row.
+
+    All are sums, so the lines are read once and merged by what the sums run over.
+    """
+    clean = durable(positive_lines(df).groupBy("currency", "client_name", "country", "month").agg(F.sum("amount").alias("amount")))
     return currency_kpis(clean, home).withColumns(
         {
             "hhi": currency_hhi(clean).scalar(),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from salestide.functions.calendar import with_period
 from salestide.functions.numeric import banded, minmax, pct, ratio, revenue_per_unit, total
 from salestide.functions.ordering import day_percentiles, exact_percentiles, globally_ranked
+from salestide.functions.quantiles import exact_quantiles
+from salestide.session import durable
 
 OTHERS = "Others"
 # Cumulative share bounds of the ABC classes.
@@ -75,9 +77,9 @@ def abc_summary(ranking: DataFrame, shown: int = 20) -> DataFrame:
 
 def price_volume_segments(df: DataFrame, item: str = "family") -> DataFrame:
     """Quadrants by the median quantity and price of the items (one value per item)."""
-    stats = item_stats(df, item)
-    qty_mid = stats.agg(F.median("qty")).scalar()
-    price_mid = stats.agg(F.median("price")).scalar()
+    stats = durable(item_stats(df, item))
+    middle = exact_quantiles(stats, [], {"qty_mid": ("qty", 0.5), "price_mid": ("price", 0.5)})
+    qty_mid, price_mid = [middle.select(c).scalar() for c in middle.columns]
     segment = F.concat(
         F.when(F.col("qty") >= F.col("_qm"), "HighVolume").otherwise("LowVolume"), F.lit(" x "),
         F.when(F.col("price") >= F.col("_pm"), "HighPrice").otherwise("LowPrice"),
@@ -112,7 +114,7 @@ def segment_summary(df: DataFrame, item: str = "family", preview: int = 8) -> Da
 
 def global_score(df: DataFrame, item: str = "family", n: int = 20) -> DataFrame:
     """Weighted min-max score 0..100 with its dense rank; the n best."""
-    stats = item_stats(df, item)
+    stats = durable(item_stats(df, item))
     names = ["revenue", "qty", "price", "late_pct"]
     bounds = stats.agg(
         F.struct(*[f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))])
@@ -134,7 +136,7 @@ def global_score(df: DataFrame, item: str = "family", n: int = 20) -> DataFrame:
 
 def leaders(df: DataFrame) -> DataFrame:
     """Best family by revenue, quantity, price, worst delay, and its leading country."""
-    stats = item_stats(df, "family")
+    stats = durable(item_stats(df, "family"))
     best = lambda c: F.min_by("item", F.when(F.col(c).isNotNull(), F.struct(-F.col(c), F.col("item"))))
     top = stats.agg(
         best("revenue").alias("top_revenue"), best("qty").alias("top_qty"), best("price").alias("top_price"),
@@ -306,7 +308,7 @@ def price_distribution(df: DataFrame, item: str = "recipe_code", grain: str = "m
 
 def price_labels(points: DataFrame, n: int = 6, outliers: int = 1) -> DataFrame:
     """Points to label per product: best revenues, highest price, highest quantity."""
-    picked = None
+    points, picked = durable(points), None
     for column, most in (("revenue", n), ("price", outliers), ("qty", outliers)):
         place = F.row_number().over(
             Window.partitionBy("item").orderBy(F.desc(column), "client_id", "country")

@@ -5,7 +5,7 @@ from importlib import import_module
 _MODULES = [
     "cleaning", "periods", "profiling", "kpis", "correlation", "series", "products",
     "clients", "client360", "geography", "currency", "anomalies", "behaviour", "clustering",
-    "forecasting", "sheets", "recipes", "files",
+    "forecasting", "sheets", "recipes", "files", "stated",
 ]
 
 
