@@ -20,7 +20,7 @@ def with_framed_medians(df: DataFrame, columns: dict[str, str], over: Window, le
         known = F.array_sort(F.filter(F.transform("_frame", lambda r: r[column]), lambda x: x.isNotNull()))
         n = F.size(known)
         low, high = F.get(known, F.floor((n - 1) / 2).cast("int")), F.get(known, F.floor(n / 2).cast("int"))
-        return F.when(n >= least, low + (high - low) * 0.5)
+        return F.when(n >= least, low * 0.5 + high * 0.5)
 
     return rows.withColumns({name: median(column) for column, name in columns.items()}).drop("_frame")
 
