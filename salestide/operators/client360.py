@@ -79,25 +79,26 @@ def client_orders(df: DataFrame) -> DataFrame:
     return out.withColumn("late", F.coalesce("_late", by_target)).drop("_late", "_target")
 
 
-def base_kpis(orders: DataFrame) -> DataFrame:
-    """Revenue, weight in the total, lines, orders, revenue per order, mean line."""
-    whole = orders.agg(F.sum("amount").alias("t")).scalar()
+def order_measures(orders: DataFrame) -> DataFrame:
+    """All measures of a client that are plain aggregates of its orders, from one grouping."""
+    told = orders.agg(F.struct(F.sum("amount").alias("amount"), F.max("order_date").alias("day")).alias("s"))
+    whole, last_day = told.select("s.amount").scalar(), told.select("s.day").scalar()
     return orders.groupBy("client_id").agg(
-        total("amount").alias("revenue"), F.sum("lines").alias("lines"), F.count("*").alias("orders")
+        total("amount").alias("revenue"), F.sum("lines").alias("lines"), F.count("*").alias("orders"),
+        F.min("order_date").alias("first_date"), F.max("order_date").alias("last_date"), F.avg("late").alias("late_rate"),
     ).withColumns(
-        {"weight_pct": pct("revenue", whole), "revenue_per_order": ratio("revenue", "orders"),
-         "mean_line": ratio("revenue", "lines")}
-    )
+        {"weight_pct": pct("revenue", whole), "revenue_per_order": ratio("revenue", "orders"), "mean_line": ratio("revenue", "lines"),
+         "recency_days": F.date_diff(last_day, "last_date"), "lifetime_days": F.date_diff("last_date", "first_date")}
+    ).drop("first_date", "last_date")
+
+
+def base_kpis(orders: DataFrame) -> DataFrame:
+    """Revenue, weight in the total, lines, orders, revenue per order, mean line."""
+    return order_measures(orders).drop("late_rate", "recency_days", "lifetime_days")
 
 
 def recency(orders: DataFrame) -> DataFrame:
-    last_day = orders.agg(F.max("order_date")).scalar()
-    return orders.groupBy("client_id").agg(
-        F.min("order_date").alias("first_date"), F.max("order_date").alias("last_date")
-    ).select(
-        "client_id", F.date_diff(last_day, "last_date").alias("recency_days"),
-        F.date_diff("last_date", "first_date").alias("lifetime_days"),
-    )
+    return order_measures(orders).select("client_id", "recency_days", "lifetime_days")
 
 
 def _order_days(orders: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def lead_times(orders: DataFrame) -> DataFrame:
 
 
 def late_rate(orders: DataFrame) -> DataFrame:
-    return orders.groupBy("client_id").agg(F.avg("late").alias("late_rate"))
+    return order_measures(orders).select("client_id", "late_rate")
 
 
 def main_country(df: DataFrame) -> DataFrame:
@@ -335,14 +336,14 @@ def kpi_pack(df: DataFrame, grain: str = "month") -> DataFrame:
 
     All parts are keyed by client, so the joins share one partitioning.
     """
-    lines = with_order_key(df)
-    # every part reads the orders
+    # every part reads the lines or the orders, so both are tables of their own
+    lines = durable(with_order_key(df))
     orders = durable(client_orders(lines))
     parts = [
-        recency(orders), order_rhythm(orders, grain), lead_times(orders), late_rate(orders), main_country(df),
-        pricing(df), family_concentration(df), gap_after_lead_time(orders), recent_drop(df, grain),
+        order_rhythm(orders, grain), lead_times(orders), main_country(lines), pricing(lines), family_concentration(lines),
+        gap_after_lead_time(orders), recent_drop(lines, grain),
     ]
-    out = base_kpis(orders)
+    out = order_measures(orders)
     for part in parts:
         out = out.join(part, "client_id", "left")
     return out
