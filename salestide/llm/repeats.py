@@ -26,8 +26,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from salestide.llm.common import MOST_BROADCAST_KEYS, content_key, packed, written
 
@@ -144,10 +145,17 @@ def _judged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settled, going.join(asking, "name", "left_semi").select("doc", "row_key", "first", "last", "need")
 
 
+def _number(docs: DataFrame, key: str) -> Column:
+    """The key as a long: whole numbers as they are, others by hash; a null key has a value of its own.  Rows are told
+    apart by it and the hash of key and text."""
+    if isinstance(docs.schema[key].dataType, IntegralType):
+        return F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
+    return F.xxhash64(F.col(key).cast("string"))
+
+
 def _sources(docs: DataFrame, key: str, text: str) -> DataFrame:
-    # a null key has a value of its own beside the hash of key and text
     return docs.select(
-        F.coalesce(F.col(key), F.lit(-(2**63))).cast("long").alias("doc"), content_key(F.col(key), F.col(text)).alias("row_key"),
+        _number(docs, key).alias("doc"), content_key(F.col(key), F.col(text)).alias("row_key"),
         F.col(text).cast("binary").alias("data"),
     )
 
@@ -197,7 +205,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     binary, as a cut may fall inside a character.
     """
     spans = repeated_spans(docs, key, text, length).withColumnsRenamed({"doc": "span_doc", "row_key": "span_key"})
-    rows = docs.select(packed(docs).alias("row"), F.coalesce(F.col(key), F.lit(-(2**63))).cast("long").alias("doc"),
+    rows = docs.select(packed(docs).alias("row"), _number(docs, key).alias("doc"),
                        content_key(F.col(key), F.col(text)).alias("row_key"))
     met = rows.join(spans, (F.col("doc") == F.col("span_doc")) & (F.col("row_key") == F.col("span_key")), "left")
     empty = F.array().cast("array<struct<start:int,stop:int>>")

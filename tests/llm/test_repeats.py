@@ -66,3 +66,22 @@ def test_names_are_equal_for_equal_bytes(length):
 
 def test_empty_table(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_of_over_fifty_words(spark):
+    rnd = random.Random(3)
+
+    def words(n, size):
+        return " ".join("".join(rnd.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+
+    long, short = words(60, 7), words(55, 4)
+    assert len(long) > 400 > len(short)
+    rows = [(f"a{i}", f"{words(40, 5)} {long} {words(40, 5)}") for i in range(3)] + [(f"b{i}", f"{words(40, 5)} {short} {words(40, 5)}") for i in range(3)]
+    rows += [(f"c{i}", words(200, 5)) for i in range(3)] + [(None, "no id"), ("a0", rows[0][1])]
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    cut = {}
+    for r in got:
+        cut.setdefault(r.row.doc_id, []).append(r.n_bytes - len(r.kept))
+    # 400 equal bytes decide, however many words they are; ids need not be numbers
+    assert all(min(cut[f"a{i}"]) >= len(long) for i in range(3)) and cut["a0"] == [len(rows[0][1])] * 2
+    assert all(cut[f"{k}{i}"] == [0] for k in "bc" for i in range(3)) and cut[None] == [0]
