@@ -4,6 +4,7 @@ from salestide.operators import behaviour as beh
 from salestide.operators import forecast as prj
 from salestide.plans.behaviour_queries import ALERTS, COLS, CUSUM, FEATURES, LATEST, Z
 from salestide.plans.registry import query
+from salestide.session import durable
 from salestide.sources.views import sales_view
 
 _W = "over (partition by client_id order by period_index"
@@ -27,7 +28,8 @@ def _matrix(spark, d):
 
 
 def _latest(spark, d):
-    f7 = beh.monthly_features(_lines(spark, d))
+    # the scores and the features both start from it
+    f7 = durable(beh.monthly_features(_lines(spark, d)))
     matrix = f7.drop("active_days").withColumnRenamed("nb_orders", "freq")
     return prj.latest_rows(prj.with_scores(prj.with_features(matrix), beh.portfolio(f7)))
 
