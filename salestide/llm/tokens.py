@@ -10,7 +10,7 @@ import unicodedata
 import numpy as np
 
 #: words that are kept with their ids; a full table is kept as the older one, and a new one begun
-MOST_WORDS = 400_000
+MOST_WORDS = 700_000
 #: longer words are encoded every time
 LONGEST_WORD = 48
 #: so many characters are encoded at once
