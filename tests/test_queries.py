@@ -13,7 +13,7 @@ CHOSEN = [
     "tsr_05_fiscal_quarter_share", "cln_24_pipeline", "per_05_available_periods", "pro_03_numeric_summary", "agg_05_pareto_curve",
     "agg_21_box_stats", "cor_05_product_spearman", "tsr_01_daily", "prd_02_product_ranking", "prd_18_price_impact", "cli_05_rfm_scores",
     "c36_19_kpi_pack", "geo_01_country_stats", "cur_12_report", "ano_05_top_anomalies", "beh_06_portfolio", "clu_02_client_features",
-    "prj_03_training_samples", "txt_09_records", "rcp_02_search",
+    "prj_03_training_samples", "txt_09_records", "rcp_02_search", "snk_04_merge_keyed", "src_06_read_sheets", "agg_27_qq_stated", "tsr_12_stl_stated",
 ]
 
 
