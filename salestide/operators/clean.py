@@ -21,8 +21,7 @@ ACCOUNTING_COLUMNS = ["Code Group", "Cpt Compta", "Cpte vente"]
 EXCLUDED_FAMILIES = ["LIQ", "DEVL", "ZDIV"]
 # Accepted date shapes, year first or day first, with an optional time.
 TIME_PART = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?)?"
-YEAR_FIRST = rf"^\s*(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){TIME_PART}\s*$"
-DAY_FIRST = rf"^\s*(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){TIME_PART}\s*$"
+DATE_PART = rf"^\s*(\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.](?:\d{{4}}|\d{{2}})){TIME_PART}\s*$"
 DATES = ["invoice_date", "order_date", "ship_date", "planned_date"]
 NUMBERS = ["qty", "amount", "unit_price"]
 #: rows of a broadcast table of articles, some 100 bytes each
@@ -41,15 +40,18 @@ def parse_date(c: Column) -> Column:
 
     Two-digit years from 69 on belong to the last century.
     """
-    part = lambda shape, k: F.regexp_extract(c, shape, k).try_cast("int")
-    iso, day = c.rlike(YEAR_FIRST), c.rlike(DAY_FIRST)
-    written = part(DAY_FIRST, 3)
-    year = F.when(F.length(F.regexp_extract(c, DAY_FIRST, 3)) == 4, written).otherwise(written + F.when(written < 69, 2000).otherwise(1900))
     none = F.lit(0)
-    return F.to_date(
-        F.when(iso, F.try_make_timestamp(part(YEAR_FIRST, 1), part(YEAR_FIRST, 2), part(YEAR_FIRST, 3), none, none, none))
-        .when(day, F.try_make_timestamp(year, part(DAY_FIRST, 2), part(DAY_FIRST, 1), none, none, none))
-    )
+
+    def read(parts: Column) -> Column:
+        # a first part of four digits is a year
+        first, middle, last = [F.get(parts, F.lit(k)).try_cast("int") for k in range(3)]
+        iso, short = F.length(F.get(parts, F.lit(0))) == 4, F.length(F.get(parts, F.lit(2))) == 2
+        century = F.when(short, F.when(last < 69, 2000).otherwise(1900)).otherwise(0)
+        return F.try_make_timestamp(F.when(iso, first).otherwise(last + century), middle, F.when(iso, last).otherwise(first), none, none, none)
+
+    # one look at the text; its parts are named once
+    written = F.array(F.split(F.regexp_extract(c, DATE_PART, 1), "[-/.]"))
+    return F.to_date(F.element_at(F.transform(written, read), 1))
 
 
 def unparsed_dates(raw: DataFrame) -> DataFrame:
