@@ -39,14 +39,17 @@ UNITS = (
 )
 NAME = r"\p{Lu}[\p{Ll}'][\p{L}'-]*(?: \p{Lu}[\p{Ll}'][\p{L}'-]*)*"
 TOKEN = r"‹[^›]*›|[\p{L}\p{M}]+"
+# the same matches, possessive: a repeated group is then a loop, else a call per turn, which overflows the stack in long runs
+_NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
+_NAME = r"\p{Lu}[\p{Ll}'][\p{L}'-]*+(?: \p{Lu}[\p{Ll}'][\p{L}'-]*+)*+"
 
 
 def _marked(text: Column, values: bool) -> Column:
     """``text`` in lower case with its slots as ‹kind› or, with ``values``, as ‹kind:value›."""
     slot = (lambda kind, group: f" ‹{kind}:${group}› ") if values else (lambda kind, group: f" ‹{kind}› ")
     text = F.translate(F.coalesce(text, F.lit("")), "‹›", "  ")
-    text = F.regexp_replace(text, rf"(^|[^\p{{L}}])({NAME})", "$1" + slot("name", 2))
-    text = F.regexp_replace(text, rf"({NUMBER})", slot("num", 1))
+    text = F.regexp_replace(text, rf"(^|[^\p{{L}}])({_NAME})", "$1" + slot("name", 2))
+    text = F.regexp_replace(text, rf"({_NUMBER})", slot("num", 1))
     text = F.regexp_replace(text, rf"(?i)(‹num[^›]*› ) ?-?({UNITS})($|[^\p{{L}}])", "$1" + slot("unit", 2) + "$3")
     return F.lower(text)
 

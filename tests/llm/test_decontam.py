@@ -1,5 +1,7 @@
 """Decontamination: copies, re-parameterised questions, contradictions and clean documents."""
 
+from pyspark.sql import functions as F
+
 from salestide.llm import decontam
 
 ITEM = "a train leaves Paris at 9 and drives 120 km to the next town where it waits 15 minutes before it goes on"
@@ -64,3 +66,15 @@ def test_long_text_and_repeated_rows(spark):
     long = "Words of no use 7 times. " * 20_000
     got = found(spark, [(1, long + ITEM + ". " + long), (2, long), (3, ITEM), (3, ITEM)])
     assert got == [(1, 1, 0), (3, 1, 0)]
+
+
+def test_endless_runs_of_names_and_numbers(spark):
+    names, numbers = "Anna Maria's " * 30_000, "1.2,3:4/" * 30_000
+    assert found(spark, [(1, f"{names}. {ITEM}. {numbers}"), (2, names), (3, numbers)]) == [(1, 1, 0)]
+
+
+def test_possessive_patterns_match_alike(spark):
+    rows = spark.createDataFrame([(t,) for t in ("Anna Maria-Eva B. O'Neil's d'Or Ab A", "1.2. 3,,4 5:6/ 7", "É Été Ça-va Bien  Non", "")], "t string")
+    for plain, fast in ((decontam.NAME, decontam._NAME), (decontam.NUMBER, decontam._NUMBER)):
+        same = [F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (plain, fast)]
+        assert rows.where(same[0] != same[1]).count() == 0
