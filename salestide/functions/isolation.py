@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 _EULER = 0.5772156649015329
+# a few MB, so that a step's arrays stay in the processor's cache
+_ROWS = 50_000
 
 
 def expected_depth(n: np.ndarray | float) -> np.ndarray:
@@ -76,39 +80,90 @@ def anomaly_score(points: np.ndarray, forest: list[dict], size: int) -> np.ndarr
 
 
 def own_scores(points: np.ndarray, trees: int = 100, seed: int = 42) -> np.ndarray:
-    """Scores of a few points (at most 256) in a forest over those same points.
+    """Scores of a few points in a forest over those same points."""
+    return own_scores_each(points[None], trees, seed)[0]
+
+
+def own_scores_each(sets: np.ndarray, trees: int = 100, seed: int = 42) -> np.ndarray:
+    """Scores of the points of every set (set, point, column) in a forest of its own over its at most 256 points.
 
-    All trees grow together, one level per step: a row of the state is one
-    (tree, point), and the points of one node of one tree share a group number.
+    Every set takes the same random numbers, so its scores don't depend on the
+    others.  Sets are grown together, some ``_ROWS`` (set, tree, point) at a time.
     """
-    n, dims = points.shape
+    count, n, _ = sets.shape
     if n > 256:
-        forest, size = grow_forest(points, trees, 256, seed)
-        return anomaly_score(points, forest, size)
-    rng = np.random.default_rng(seed)
-    x = np.tile(points, (trees, 1))
-    group = np.repeat(np.arange(trees), n)
-    depth = np.zeros(trees * n)
-    for _ in range(int(np.ceil(np.log2(max(n, 2))))):
-        order = np.argsort(group, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
-        sizes = np.diff(np.r_[starts, len(order)])
-        low = np.minimum.reduceat(x[order], starts)
-        high = np.maximum.reduceat(x[order], starts)
+        forests = [grow_forest(points, trees, 256, seed) for points in sets]
+        return np.array([anomaly_score(points, *grown) for points, grown in zip(sets, forests)]).reshape(count, n)
+    step = max(1, _ROWS // max(1, trees * n))
+    depths = [_own_depths(sets[at : at + step], trees, seed) for at in range(0, count, step)]
+    mean_depth = np.concatenate(depths) if depths else np.zeros((0, n))
+    return 2.0 ** (-mean_depth / (float(expected_depth(n)) or 1.0))
+
+
+@lru_cache(maxsize=64)
+def _random(seed: int, many: int) -> np.ndarray:
+    return np.random.default_rng(seed).random(many)
+
+
+def _own_depths(sets: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """Mean depth of every point of every set.
+
+    All trees of all sets grow together, one level per step.  A row is one (set,
+    tree, point); rows stay ordered by node, and rows of finished nodes leave.  A
+    level takes random numbers for all nodes of a set in their order, finished
+    ones included: ``slot`` is a node's place among them, ``nodes`` their number.
+    """
+    count, n, dims = sets.shape
+    levels = int(np.ceil(np.log2(max(n, 2))))
+    luck = _random(seed, trees * (dims + 1) * sum(min(2**level, n) for level in range(levels)))
+    x = [np.repeat(sets[:, :, d], trees, axis=0).ravel() for d in range(dims)]
+    row = np.arange(len(x[0]))
+    depth = np.zeros(len(row))
+    sizes = np.full(count * trees, n)
+    owner, slot = np.repeat(np.arange(count), trees), np.tile(np.arange(trees), count)
+    nodes, used = np.full(count, trees), np.zeros(count, dtype=int)
+    for level in range(levels):
+        starts = np.cumsum(sizes) - sizes
+        low = np.column_stack([np.minimum.reduceat(v, starts) for v in x])
+        high = np.column_stack([np.maximum.reduceat(v, starts) for v in x])
         usable = high > low
         splits = usable.any(axis=1)
-        if not splits.any():
-            break
-        feature = np.argmax(np.where(usable, rng.random(usable.shape), -1.0), axis=1)
-        at = np.arange(len(starts))
-        cut = low[at, feature] + rng.random(len(starts)) * (high[at, feature] - low[at, feature])
-        node = np.empty(len(order), dtype=int)
-        node[order] = np.repeat(at, sizes)
-        moves = splits[node]
-        right = x[np.arange(len(x)), feature[node]] > cut[node]
-        depth += moves
-        group = 2 * node + (moves & right)
-    _, where, count = np.unique(group, return_inverse=True, return_counts=True)
-    depth += expected_depth(count)[where]
-    mean_depth = depth.reshape(trees, n).mean(axis=0)
-    return 2.0 ** (-mean_depth / (float(expected_depth(n)) or 1.0))
+        if not splits.all():
+            inside = np.repeat(splits, sizes)
+            depth[row[~inside]] = np.repeat((level + expected_depth(sizes))[~splits], sizes[~splits])
+            kept = np.flatnonzero(inside)
+            x, row = [v[kept] for v in x], row[kept]
+            sizes, owner, slot, low, high, usable = (v[splits] for v in (sizes, owner, slot, low, high, usable))
+            if not len(sizes):
+                return depth.reshape(count, trees, n).mean(axis=1)
+            starts = np.cumsum(sizes) - sizes
+        first = used[owner] + slot * dims
+        feature = np.argmax(np.where(usable, luck[first[:, None] + np.arange(dims)], -1.0), axis=1)
+        at = np.arange(len(sizes))
+        cut = low[at, feature] + luck[used[owner] + nodes[owner] * dims + slot] * (high[at, feature] - low[at, feature])
+        node = np.repeat(at, sizes)
+        value, column = x[0], feature[node]
+        for d in range(1, dims):
+            value = np.where(column == d, x[d], value)
+        right = value > cut[node]
+        # rows go to their side of the node, in their order
+        rights = np.cumsum(right)
+        earlier = rights - right - (rights[starts] - right[starts])[node]
+        many = np.add.reduceat(right, starts, dtype=int)
+        place = np.where(right, (starts + sizes - many)[node] + earlier, np.arange(len(row)) - earlier)
+        source = np.empty_like(place)
+        source[place] = np.arange(len(row))
+        x, row = [v[source] for v in x], row[source]
+        # a node with two sides shifts the later ones of its set by one
+        both = (many > 0) & (many < sizes)
+        total = np.cumsum(both)
+        own_first = np.searchsorted(owner, owner)
+        shift = total - both - (total[own_first] - both[own_first])
+        used += nodes * (dims + 1)
+        nodes = nodes + np.bincount(owner, both, count).astype(int)
+        sides = np.column_stack([sizes - many, many]).ravel()
+        kept = sides > 0
+        slot = (np.column_stack([slot + shift, slot + shift + both])).ravel()[kept]
+        owner, sizes = np.repeat(owner, 2)[kept], sides[kept]
+    depth[row] = np.repeat(levels + expected_depth(sizes), sizes)
+    return depth.reshape(count, trees, n).mean(axis=1)

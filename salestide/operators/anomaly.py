@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from salestide.functions.calendar import with_period
-from salestide.functions.isolation import anomaly_score, grow, own_scores
+from salestide.functions.isolation import anomaly_score, grow, own_scores_each
 from salestide.functions.loess import decompose
 from salestide.functions.numeric import revenue_per_unit, total
 from salestide.functions.ordering import exact_percentiles
@@ -175,9 +175,11 @@ def forest_scores(df: DataFrame, columns: list[str], key: list[str], contaminati
 
 
 def client_forest(df: DataFrame, grain: str = "month", trees: int = 100, seed: int = 42) -> DataFrame:
-    """Per client: multivariate isolation over revenue, quantity and orders, one grouped task per client.
+    """Per client: multivariate isolation over revenue, quantity and orders.
 
-    A client contributes one row per period, so groups are bounded by the calendar.
+    A client contributes one row per period, so its array of periods is bounded
+    by the calendar.  Clients with as many periods are scored together, batch by
+    batch, each in a forest of its own.
     """
     window, history = history_spec(grain)
     rows = with_robust_z(client_periods(df, grain), ["price"], ["client_id"], "period_index", window, history)
@@ -185,21 +187,37 @@ def client_forest(df: DataFrame, grain: str = "month", trees: int = 100, seed: i
     names = ["revenue", "qty", "orders"]
     rows = with_framed_medians(rows.withColumns({f"_v_{c}": F.col(c).cast("double") for c in names}), {f"_v_{c}": f"_med_{c}" for c in names}, past, history)
     rows = rows.drop(*[f"_v_{c}" for c in names])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     least = max(5, history)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        pdf = pdf.sort_values("period_index")
-        if n < least:
-            return pdf.assign(score_ml=0.0, is_anomaly_ml=False)
-        x = pdf[["revenue", "qty", "orders"]].astype(float)
-        x = x.fillna(x.median()).to_numpy()
-        s = own_scores(x, trees, seed)
-        share = min(0.15, max(0.05, 1.0 / n))
-        return pdf.assign(score_ml=s, is_anomaly_ml=s > np.quantile(s, 1 - share))
-
-    return spread(rows, "client_id").groupBy("client_id").applyInPandas(kernel, f"{fields}, score_ml double, is_anomaly_ml boolean")
+    # undated lines come last
+    place = F.struct(F.col("period_index").isNull().alias("late"), "period_index")
+    periods = F.array_sort(F.collect_list(F.struct(place.alias("place"), F.struct(*[c for c in rows.columns if c != "client_id"]).alias("row"))))
+    packed = spread(rows.groupBy("client_id").agg(periods.alias("periods")), "client_id")
+
+    @F.pandas_udf("scores array<double>, hits array<boolean>")
+    def scored(revenue: pd.Series, qty: pd.Series, orders: pd.Series) -> pd.DataFrame:
+        lengths = revenue.map(len)
+        out: list[tuple[list, list]] = [([], [])] * len(lengths)
+        for n, at in lengths.groupby(lengths).indices.items():
+            if n < least:
+                scores, hits = np.zeros((len(at), n)), np.zeros((len(at), n), dtype=bool)
+            else:
+                sets = np.stack([np.stack(c.iloc[at].to_numpy()).astype(float) for c in (revenue, qty, orders)], axis=2)
+                for i in np.flatnonzero(np.isnan(sets).any(axis=(1, 2))):
+                    known = pd.DataFrame(sets[i])
+                    sets[i] = known.fillna(known.median()).to_numpy()
+                scores = own_scores_each(sets, trees, seed)
+                share = min(0.15, max(0.05, 1.0 / n))
+                hits = scores > np.quantile(scores, 1 - share, axis=1)[:, None]
+            for i, s, h in zip(at, scores.tolist(), hits.tolist()):
+                out[i] = s, h
+        return pd.DataFrame(out, columns=["scores", "hits"])
+
+    values = [F.col(f"periods.row.{c}").cast("array<double>") for c in names]
+    met = packed.withColumn("_s", scored(*values))
+    zipped = F.arrays_zip(F.col("periods.row").alias("row"), F.col("_s.scores").alias("score"), F.col("_s.hits").alias("hit"))
+    each = met.select("client_id", F.explode(zipped).alias("p"))
+    own = {c: F.col(f"p.row.{c}") for c in rows.columns if c != "client_id"}
+    return each.select(*[own[c].alias(c) if c in own else F.col(c) for c in rows.columns], F.col("p.score").alias("score_ml"), F.col("p.hit").alias("is_anomaly_ml"))
 
 
 def client_metric_anomalies(scored: DataFrame, threshold: float = 3.5, n: int | None = None) -> DataFrame:
