@@ -6,9 +6,10 @@ kept out of the fit, selects the redactions.  Spans that satisfy the base rules
 (``base_spans``) always stay; the trees add what the rules miss, such as spelled
 out addresses or local phone numbers after a word like "tel".
 
-The trees are fitted on a bounded sample of documents (``SAMPLE_ROWS``).  Its
-labels come from the base rules: their spans are positive, also rewritten into
-forms that the rules don't know; all other candidates are negative.
+The trees are fitted on the candidates of all documents.  Labels come from the
+base rules: their spans are positive, also rewritten into forms that the rules
+don't know; all other candidates are negative.  Candidates of equal features are
+one row with a weight.
 """
 
 from __future__ import annotations
@@ -21,15 +22,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from salestide.llm.common import packed
+from salestide.session import durable
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS = 4_000
-SAMPLE_CANDIDATES = 100_000
 PRECISION = 0.98
 TREES, DEPTH = 12, 3
 SEED = 7
@@ -53,6 +53,8 @@ _CUES = tuple(re.compile(p, re.I) for p in (
     r"mail|contact", r"\bip\b|host|server|address", r"card|visa|credit|master", r"tel|phone|call|mobile|fax",
 ))
 _NEAR = 24
+# characters on both sides of a span in which it is rewritten
+_AROUND = 4 * _NEAR
 
 Span = tuple[str, int, int]
 
@@ -166,9 +168,13 @@ def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base = set(base_spans(text))
             for span in candidates(text):
                 rows.append((part, float(span in base), *features(text, span)))
-            for span in base:
-                rows += [(part, label, *features(t, s)) for t, s, label in _rewritten(text, span) if label or s not in base_spans(t)]
-        yield pd.DataFrame(rows, columns=["part", "label", *FEATURES])
+            for kind, start, end in base:
+                # near by only, so that a text of many spans isn't copied for each
+                left = max(0, start - _AROUND)
+                around, span = text[left : end + _AROUND], (kind, start - left, end - left)
+                rows += [(part, label, *features(t, s)) for t, s, label in _rewritten(around, span) if label or s not in base_spans(t)]
+        found = pd.DataFrame(rows, columns=["part", "label", *FEATURES])
+        yield found.groupby(["part", "label", *FEATURES], as_index=False).size().rename(columns={"size": "n"})
 
 
 class Trees:
@@ -204,48 +210,46 @@ class Trees:
         return total
 
 
-def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The lowest score from which on the share of positives is at least PRECISION; none qualifies: infinite."""
-    order = np.argsort(-scores, kind="stable")
-    share = np.cumsum(labels[order]) / np.arange(1, len(order) + 1)
-    # equal scores stand or fall together
-    last = np.append(scores[order][1:] != scores[order][:-1], True) if len(order) else np.array([], bool)
-    good = np.flatnonzero((share >= PRECISION) & last)
-    return float(scores[order][good[-1]]) if len(good) else float("inf")
+def _thresholds(scored: DataFrame) -> dict[str, float]:
+    """By kind, from (kind, label, n, score): the lowest score from which on the share of positives is at least PRECISION; none qualifies: infinite."""
+    # a row per score of the trees; equal scores stand or fall together
+    points = scored.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hits"))
+    above = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    good = points.withColumn("share", F.sum("hits").over(above) / F.sum("n").over(above)).where(F.col("share") >= PRECISION)
+    lowest = {r["kind"]: r["score"] for r in good.groupBy("kind").agg(F.min("score").alias("score")).collect()}
+    return {k: lowest.get(k, float("inf")) for k in KINDS}
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[Trees | None, dict[str, float]]:
-    """(trees, threshold by kind) from at most ``rows`` documents, half for the trees and half for the thresholds.
+def examples(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(part, label, features, n): the labelled candidates of all documents, equal ones counted.
+
+    Half of the documents, by the hash of their key, are part 0, the others part 1.
+    """
+    part = F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(2)).cast("int").alias("part")
+    read = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), part)
+    schema = "part int, label double, " + ", ".join(f"{f} double" for f in FEATURES) + ", n long"
+    return read.mapInPandas(_labelled, schema).groupBy("part", "label", *FEATURES).agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Trees | None, dict[str, float]]:
+    """(trees, threshold by kind) from all documents, one half for the trees and the other for the thresholds.
 
-    At most ``SAMPLE_CANDIDATES`` candidates, by hash, go into either half.
     Without candidates of both labels there are no trees, and the base rules stand alone.
     """
-    total = docs.count()
-    share = 1.0 if total <= 2 * rows else 2 * rows / total
-    place = F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(1_000_000))
-    # rows that repeat an id are in or out together, so the limit bounds the sample
-    chosen = docs.where(F.col(text).isNotNull() & (place < int(share * 1_000_000)))
-    if total > rows:
-        # dealt out again, as a limit leaves one partition
-        chosen = chosen.orderBy(place, F.xxhash64(text)).limit(rows).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sample = chosen.select(F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(2)).cast("int").alias("part"))
-    schema = "part int, label double, " + ", ".join(f"{f} double" for f in FEATURES)
-    every = sample.mapInPandas(_labelled, schema)
-    luck = F.xxhash64(*FEATURES)
-    halves = [every.where(F.col("part") == p).orderBy(luck).limit(SAMPLE_CANDIDATES) for p in (0, 1)]
-    found = halves[0].unionByName(halves[1]).persist()
+    found = durable(examples(docs, key, text))
     seen = {(r.part, r.label) for r in found.select("part", "label").distinct().collect()}
     if not {(0, 0.0), (0, 1.0)} <= seen:
-        found.unpersist()
         return None, {}
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(ready.where("part = 0"))
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found.where("part = 0"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, weightCol="n").fit(ready)
     trees = Trees(model)
-    held = found.where("part = 1").toPandas()
-    found.unpersist()
-    scores = trees.score(held[list(FEATURES)].to_numpy())
-    limits = {k: _threshold(scores[(held[f"is_{k}"] > 0).to_numpy()], held["label"][held[f"is_{k}"] > 0].to_numpy()) for k in KINDS}
-    return trees, limits
+
+    @F.pandas_udf("double")
+    def score(*cells: pd.Series) -> pd.Series:
+        return pd.Series(trees.score(np.column_stack(cells)))
+
+    kind = F.coalesce(*[F.when(F.col(f"is_{k}") > 0, k) for k in KINDS])
+    return trees, _thresholds(found.where("part = 1").select(kind.alias("kind"), "label", "n", score(*FEATURES).alias("score")))
 
 
 def selected(text: str, trees: Trees | None, limits: dict[str, float]) -> tuple[list[Span], list[Span]]:

@@ -96,3 +96,23 @@ def test_many_added_spans_take_near_linear_time():
     assert time.time() - start < 20 and len(spans) >= 8_000 and set(base) <= set(spans)
     ends = sorted((s, e) for _, s, e in spans[len(base):])
     assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_the_fit_reads_all_documents(spark):
+    texts = {i: f"mail user{i}@host.example.com or 10.0.{i % 250}.7" for i in range(9_000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = pii.examples(docs).where("label = 1 and spelled = 0").selectExpr("sum(n * is_email) email", "sum(n * is_ip) ip", "count(*) many").first()
+    # every base span of every document, equal ones merged
+    assert (rows.email, rows.ip) == (9_000, 9_000) and rows.many < 100
+
+
+def test_examples_of_many_spans_take_near_linear_time():
+    start = time.time()
+    part = next(pii._labelled(iter([pii.pd.DataFrame({"text": ["a@b.example 4111111111111111 " * 8_000], "part": [0]})])))
+    assert time.time() - start < 60 and part["n"].sum() >= 16_000
+
+
+def test_thresholds_weigh_examples(spark):
+    rows = [("email", 1.0, 98, 0.9), ("email", 0.0, 2, 0.9), ("email", 1.0, 49, 0.5), ("email", 0.0, 1, 0.5), ("email", 0.0, 9, 0.1), ("ip", 0.0, 5, 0.9)]
+    got = pii._thresholds(spark.createDataFrame(rows, "kind string, label double, n long, score double"))
+    assert got == {"email": 0.5, "ip": float("inf"), "card": float("inf"), "phone": float("inf")}
