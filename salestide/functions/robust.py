@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXTREME = 999.0  # score of a departure from a constant history
 
 
-def with_framed_medians(df: DataFrame, columns: dict[str, str], over: Window, least: int) -> DataFrame:
-    """Add the exact medians ``{column: name}`` over one row frame, null below ``least`` values.
+def with_framed_medians(df: DataFrame, columns: dict[str, str], over: Window, first: int, last: int, least: int) -> DataFrame:
+    """Add the exact medians ``{column: name}`` of the rows ``first`` to ``last`` from each row, null below ``least`` values.
 
-    The frame's rows are collected once for all columns; each median sorts its
-    few values.  For frames of bounded length.
+    ``over`` is ordered and has no frame.  The few values of a frame are read by
+    offset, and the frames of an Arrow batch are sorted together.  For frames of
+    bounded length.
     """
-    rows = df.withColumn("_frame", F.collect_list(F.struct(*columns)).over(over))
-
-    def median(column: str) -> Column:
-        known = F.array_sort(F.filter(F.transform("_frame", lambda r: r[column]), lambda x: x.isNotNull()))
-        n = F.size(known)
-        low, high = F.get(known, F.floor((n - 1) / 2).cast("int")), F.get(known, F.floor(n / 2).cast("int"))
-        return F.when(n >= least, low * 0.5 + high * 0.5)
-
-    return rows.withColumns({name: median(column) for column, name in columns.items()}).drop("_frame")
+    span = last - first + 1
+    near = {
+        f"_near_{i}_{k}": F.lag(c, -k).over(over) if k else F.col(c) for i, c in enumerate(columns) for k in range(first, last + 1)
+    }
+
+    @F.arrow_udf("struct<" + ",".join(f"m{i}:double" for i in range(len(columns))) + ">")
+    def medians(*values: pa.Array) -> pa.Array:
+        found = []
+        for at in range(0, len(values), span):
+            frame = values[at : at + span]
+            # absent values sort last, as NaN
+            ranked = np.sort(np.column_stack([v.to_numpy(zero_copy_only=False) for v in frame]), axis=1)
+            n = sum(np.asarray(v.is_valid()).astype(int) for v in frame)
+            pick = lambda place: np.take_along_axis(ranked, np.maximum(place, 0)[:, None], axis=1)[:, 0]  # noqa: E731, B023
+            found.append(pa.array(pick((n - 1) // 2) * 0.5 + pick(np.minimum(n // 2, span - 1)) * 0.5, mask=(n < least) | (n == 0)))
+        return pa.StructArray.from_arrays(found, names=[f"m{i}" for i in range(len(found))])
+
+    rows = df.withColumns(near).withColumn("_medians", medians(*near))
+    return rows.withColumns({name: F.col(f"_medians.m{i}") for i, name in enumerate(columns.values())}).drop(*near, "_medians")
 
 
 def with_robust_z(
@@ -39,13 +52,11 @@ def with_robust_z(
     The windows run over the periods of one key.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    past = w.rowsBetween(-window, -1)
-    recent = w.rowsBetween(-(window - 1), 0)
     v = {c: F.col(f"_v_{c}") for c in values}
     out = df.withColumns({f"_v_{c}": F.col(c).cast("double") for c in values})
-    out = with_framed_medians(out, {f"_v_{c}": f"_med_{c}" for c in values}, past, min_history)
+    out = with_framed_medians(out, {f"_v_{c}": f"_med_{c}" for c in values}, w, -window, -1, min_history)
     out = out.withColumns({f"_dev_{c}": F.abs(F.lag(v[c]).over(w) - F.col(f"_med_{c}")) for c in values})
-    out = with_framed_medians(out, {f"_dev_{c}": f"_mad_{c}" for c in values}, recent, min_history)
+    out = with_framed_medians(out, {f"_dev_{c}": f"_mad_{c}" for c in values}, w, -(window - 1), 0, min_history)
 
     def score(c: str) -> Column:
         med, mad = F.col(f"_med_{c}"), F.col(f"_mad_{c}")

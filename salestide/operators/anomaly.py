@@ -183,9 +183,9 @@ def client_forest(df: DataFrame, grain: str = "month", trees: int = 100, seed: i
     """
     window, history = history_spec(grain)
     rows = with_robust_z(client_periods(df, grain), ["price"], ["client_id"], "period_index", window, history)
-    past = Window.partitionBy("client_id").orderBy("period_index").rowsBetween(-window, -1)
+    months = Window.partitionBy("client_id").orderBy("period_index")
     names = ["revenue", "qty", "orders"]
-    rows = with_framed_medians(rows.withColumns({f"_v_{c}": F.col(c).cast("double") for c in names}), {f"_v_{c}": f"_med_{c}" for c in names}, past, history)
+    rows = with_framed_medians(rows.withColumns({f"_v_{c}": F.col(c).cast("double") for c in names}), {f"_v_{c}": f"_med_{c}" for c in names}, months, -window, -1, history)
     rows = rows.drop(*[f"_v_{c}" for c in names])
     least = max(5, history)
     # undated lines come last

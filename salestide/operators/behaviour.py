@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salestide.functions.calendar import with_period
+from salestide.functions.calendar import month_label, period_index
 from salestide.functions.numeric import banded, pct, ratio, total
 from salestide.functions.robust import with_cusum, with_robust_z
 
@@ -39,21 +39,33 @@ RADAR = ["ca", "qty", "nb_orders", "nb_families", "active_days"]
 def monthly_features(df: DataFrame, active_days: bool = True) -> DataFrame:
     """(client, month): revenue, quantity, price, orders, families, concentration, active days.
 
-    The lines are first merged per family, so the concentration comes from the
-    same shuffle-friendly partial sums.
+    The lines travel once, to their client's month.  There they are merged per
+    order, per day and per family in one pass, and all measures come from these
+    three kinds of sums.
     """
-    keys = ["client_id", "period", "period_index"]
-    d = with_period(df, "month").where("amount is not null and client_id is not null")
-    base = d.groupBy(*keys).agg(
-        total("amount").alias("ca"), total("qty").alias("qty"), F.count_distinct("order_id").alias("nb_orders"),
-        *([F.count_distinct("invoice_date").alias("active_days")] if active_days else []),
-    ).withColumn("pu", ratio("ca", F.nullif("qty", F.lit(0.0))))
-    family = d.where("family is not null").groupBy(*keys, "family").agg(F.sum("amount").cast("double").alias("v"))
-    mix = family.groupBy(*keys).agg(
-        F.count("*").alias("nb_families"),
-        (ratio(F.sum(F.col("v") * F.col("v")), F.sum("v") * F.sum("v")) * 10000).alias("hhi"),
+    keys = ["client_id", "period_index"]
+    d = df.where("invoice_date is not null and amount is not null and client_id is not null").select(
+        "client_id", period_index(F.col("invoice_date"), "month").alias("period_index"), "order_id", "invoice_date", "family", "amount", "qty"
+    ).repartition(*keys)
+    kinds = ["order_id", "invoice_date", "family"]
+    sums = d.groupingSets([[*keys, k] for k in kinds], *keys, *kinds).agg(
+        F.grouping_id().alias("_kind"), F.sum("amount").alias("_amount"), F.sum("qty").alias("_qty")
+    )
+    # the bits of the grouping id tell which kinds a row was merged over
+    order, day, family = [F.col("_kind") == 7 - (4 >> i) for i in range(3)]
+    value = F.when(family & F.col("family").isNotNull(), F.col("_amount").cast("double"))
+    known = lambda k, c: F.count_if(k & F.col(c).isNotNull())
+    out = sums.groupBy(*keys).agg(
+        total(F.when(day, F.col("_amount"))).alias("ca"), total(F.when(day, F.col("_qty"))).alias("qty"), known(order, "order_id").alias("nb_orders"),
+        *([F.count_if(day).alias("active_days")] if active_days else []),
+        F.nullif(known(family, "family"), F.lit(0)).alias("nb_families"),
+        (ratio(F.sum(value * value), F.sum(value) * F.sum(value)) * 10000).alias("hhi"),
+    )
+    index = F.col("period_index")
+    label = month_label(F.make_date(F.floor(index / 100).cast("int"), index % 100, F.lit(1)))
+    return out.withColumns({"period": label, "pu": ratio("ca", F.nullif("qty", F.lit(0.0)))}).select(
+        "client_id", "period", "period_index", "ca", "qty", "nb_orders", *(["active_days"] if active_days else []), "pu", "nb_families", "hhi"
     )
-    return base.join(mix, keys, "left")
 
 
 def with_scores(features: DataFrame, strict: bool = True) -> DataFrame:
