@@ -8,6 +8,8 @@ import numpy as np
 
 # a few MB, so that a step's arrays stay in the processor's cache
 _CELLS = 100_000
+# points of a series up to which its fits are products with square matrices
+_SHORT = 128
 
 
 @lru_cache(maxsize=256)
@@ -25,6 +27,14 @@ def _plan(n: int, span: int, first: int, last: int) -> tuple[np.ndarray, ...]:
     return idx, x, np.where(ratio <= 0.001, 1.0, near), at[:, None]
 
 
+@lru_cache(maxsize=256)
+def _low_pass(n: int, period: int, span: int) -> np.ndarray:
+    """Matrix of the moving means and the unweighted fits that take n + 2 * period points to n."""
+    means = _moving(_moving(_moving(np.eye(n + 2 * period), period), period), 3)
+    idx, factors = _plain_factors(n, span)
+    return (factors * means[:, idx]).sum(axis=2)
+
+
 @lru_cache(maxsize=256)
 def _plain_factors(n: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Neighbour indexes and factors of the fits at all n points when no row is weighed down."""
@@ -47,10 +57,47 @@ def _factors(w: np.ndarray, x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray
 def _smooth(y: np.ndarray, span: int, weights: np.ndarray, first: int, last: int) -> np.ndarray:
     """Local linear fits at the positions first..last, for every row of ``y``."""
     n = y.shape[1]
+    if n <= _SHORT:
+        return _smooth_short(y, span, weights, first, last)
     idx, x, near, at = _plan(n, span, first, last)
     return (_factors(near * weights[:, idx], x, at, n) * y[:, idx]).sum(axis=2)
 
 
+@lru_cache(maxsize=512)
+def _moments(n: int, span: int, first: int, last: int) -> tuple[np.ndarray, ...]:
+    """Matrices from n points to the distance-weighted sums at positions first..last: plain, by offset, by squared offset."""
+    idx, x, near, at = _plan(n, span, first, last)
+    made = np.zeros((3, len(at), n))
+    for i, m in enumerate((near, near * (x - at), near * (x - at) ** 2)):
+        np.put_along_axis(made[i], idx, m, axis=1)
+    return tuple(np.ascontiguousarray(m.T) for m in made)
+
+
+def _smooth_short(y: np.ndarray, span: int, weights: np.ndarray, first: int, last: int) -> np.ndarray:
+    """``_smooth`` by products with fixed matrices; offsets are taken from the position of the fit."""
+    n = y.shape[1]
+    plain, once, twice = _moments(n, span, first, last)
+    heavy = weights * y
+    total = weights @ plain
+    some = total > 0
+    safe = np.where(some, total, 1.0)
+    mid, level = (weights @ once) / safe, (heavy @ plain) / safe
+    spread = (weights @ twice) / safe - mid * mid
+    usable = some & (spread > (0.001 * max(n - 1, 1)) ** 2)
+    slope = np.where(usable, ((heavy @ once) / safe - mid * level) / np.where(usable, spread, 1.0), 0.0)
+    fitted = level - mid * slope
+    if some.all():
+        return fitted
+    # no point of the window counts: all its points count the same, on a line where they spread
+    return np.where(some, fitted, _even(y, span, first, last))
+
+
+def _even(y: np.ndarray, span: int, first: int, last: int) -> np.ndarray:
+    """Fits whose neighbours all have the same weight."""
+    idx, x, near, at = _plan(y.shape[1], span, first, last)
+    return (_factors(np.zeros((1, *near.shape)), x, at, y.shape[1]) * y[:, idx]).sum(axis=2)
+
+
 def _moving(y: np.ndarray, k: int) -> np.ndarray:
     """Mean of every ``k`` neighbours, for every row of ``y``."""
     return np.array([np.convolve(row, np.full(k, 1.0 / k), mode="valid") for row in y])
@@ -73,7 +120,9 @@ def decompose_rows(
     y: np.ndarray, period: int, seasonal: int = 7, robust: bool = True
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``decompose`` of every row of ``y``, each as if it stood alone; some ``_CELLS`` neighbours are weighed at a time."""
-    step = max(1, _CELLS // max(1, y.shape[1] * _odd(1.5 * period / (1 - 1.5 / seasonal))))
+    # products with matrices hold no row of neighbours per point
+    neighbours = 1 if y.shape[1] <= _SHORT else _odd(1.5 * period / (1 - 1.5 / seasonal))
+    step = max(1, _CELLS // max(1, y.shape[1] * neighbours))
     parts = [_decompose(y[at : at + step], period, seasonal, robust) for at in range(0, len(y), step)]
     return tuple(np.concatenate(p) for p in zip(*parts))
 
@@ -104,8 +153,11 @@ def _decompose(y: np.ndarray, period: int, seasonal: int, robust: bool) -> tuple
                 rows = spots[:, :k]
                 fitted = _smooth(rest[:, rows].reshape(-1, k), seasonal, weights[:, rows].reshape(-1, k), -1, k)
                 cycle[:, spots] = fitted.reshape(len(live), *spots.shape)
-            low = _moving(_moving(_moving(cycle, period), period), 3)
-            low = (low_factors * low[:, low_idx]).sum(axis=2)
+            if n <= _SHORT:
+                low = cycle @ _low_pass(n, period, low_span)
+            else:
+                low = _moving(_moving(_moving(cycle, period), period), 3)
+                low = (low_factors * low[:, low_idx]).sum(axis=2)
             season = cycle[:, period : period + n] - low
             trend = _smooth(own - season, trend_span, weights, 0, n - 1)
         trends[live], seasons[live] = trend, season

@@ -199,13 +199,16 @@ def stl_forecast(matrix: DataFrame, horizons: list[int] = HORIZONS) -> DataFrame
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts = []
             for n, own in batch.groupby(batch["y"].map(len)):
                 trend, season, resid = decompose_rows(np.stack(own["y"].to_numpy()).astype(float), 12)
                 slope, start = np.polyfit(np.arange(6.0), trend[:, -6:].T, 1)
                 spreads = resid.std(axis=1, ddof=1)
                 for h in horizons:
                     stl = np.fmax(0.0, start + slope * (5 + h) + season[:, n - 12 + (h - 1) % 12])
-                    yield pd.DataFrame({"client_id": own["client_id"].to_numpy(), "horizon": h, "stl": stl, "spread": spreads * math.sqrt(h)})
+                    parts.append((own["client_id"].to_numpy(), np.full(len(own), h), stl, spreads * math.sqrt(h)))
+            if parts:
+                yield pd.DataFrame(dict(zip(["client_id", "horizon", "stl", "spread"], map(np.concatenate, zip(*parts)))))
 
     dealt = spread(series.select("client_id", F.col("months.ca").alias("y")), "client_id")
     return dealt.mapInPandas(kernel, "client_id string, horizon int, stl double, spread double")

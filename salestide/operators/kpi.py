@@ -15,6 +15,7 @@ from salestide.functions.numeric import banded, mean, pct, ratio, total
 from salestide.functions.ordering import exact_percentiles, globally_ranked
 from salestide.operators.periods import october_label, with_october_periods
 from salestide.operators.profile import long_numeric
+from salestide.session import spread
 
 # Lead time buckets in days and the valid range.
 LEAD_TIME_BUCKETS = [
@@ -403,7 +404,8 @@ def qq_points(df: DataFrame, variable: str) -> DataFrame:
     )
     # equal values share one sorted run; expand to positions only at the end
     runs = ranked.select("v", "n", "cum", F.explode(F.sequence(F.col("cum") - F.col("c") + 1, F.col("cum"), F.lit(QQ_RUN))).alias("first"))
-    each = runs.select("v", "n", F.explode(F.sequence("first", F.least(F.col("first") + QQ_RUN - 1, F.col("cum")))).alias("i"))
+    # few rows by now, each of which makes up to QQ_RUN: dealt, or one task makes them all
+    each = spread(runs, "first").select("v", "n", F.explode(F.sequence("first", F.least(F.col("first") + QQ_RUN - 1, F.col("cum")))).alias("i"))
     tail = F.pow(F.lit(0.5), 1.0 / F.col("n"))
     p = (
         F.when(F.col("i") == 1, 1 - tail)
