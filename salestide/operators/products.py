@@ -300,6 +300,8 @@ def price_distribution(df: DataFrame, item: str = "recipe_code", grain: str = "m
         .withColumn("price", revenue_per_unit())
         .where("revenue >= 0 and qty > 0 and price > 0")
     )
+    # the caps read it twice, the points once more
+    per = durable(per)
     caps = exact_percentiles(per, ["item"], "revenue", {"cap": cap})
     return per.join(caps, "item").withColumn(
         "bubble", F.when(F.col("cap") > 0, F.least("revenue", "cap")).otherwise(F.col("revenue"))
