@@ -144,14 +144,22 @@ def clients_to_80(df: DataFrame, home: str = "EUR", level: float = 80) -> DataFr
 def currency_report(df: DataFrame, home: str = "EUR") -> DataFrame:
     """Clean, then the indicators as one row.
 
-    All are sums, so the lines are read once and merged by what the sums run over.
+    All are sums, so the lines are read once and merged by what the sums run
+    over: a row per (currency, country, month) and one per foreign client.
+    Clients times months are as many rows as lines and are not needed.
     """
-    clean = durable(positive_lines(df).groupBy("currency", "client_name", "country", "month").agg(F.sum("amount").alias("amount")))
+    lines = positive_lines(df).withColumn("client_name", F.when(_foreign(home), F.col("client_name")))
+    sets = [["currency", "country", "month"], ["currency", "client_name"]]
+    sums = durable(
+        lines.groupingSets(sets, "currency", "country", "month", "client_name")
+        .agg(F.sum("amount").alias("amount"), F.grouping("client_name").alias("_cell"))
+    )
+    clean, clients = sums.where("_cell = 1"), sums.where("_cell = 0")
     return currency_kpis(clean, home).withColumns(
         {
             "hhi": currency_hhi(clean).scalar(),
             "volatility": foreign_volatility(clean, home).scalar(),
-            "top5_clients_pct": top_foreign(clean, "client_name", 5, home).agg(F.max("combined_pct")).scalar(),
+            "top5_clients_pct": top_foreign(clients, "client_name", 5, home).agg(F.max("combined_pct")).scalar(),
             "top5_countries_pct": top_foreign(clean, "country", 5, home).agg(F.max("combined_pct")).scalar(),
         }
     )
