@@ -17,10 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salestide.session import durable
+
 #: rows of a part from which the starts are drawn
 SEED_ROWS = 4096
 _TOLERANCE = 1e-4
-_BLOCK = 1 << 22
+#: rows of a block, and distances held at a time
+_BLOCK = 1 << 11
+_CACHED = 1 << 16
 
 
 @dataclass
@@ -52,46 +56,105 @@ def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, rows) of the batches of a task, in blocks that bound the distances held at a time."""
+    """(part, rows) of the batches of a task, packed or not, in blocks that bound the distances held at a time."""
     for batch in batches:
         parts = batch.column("part").to_numpy()
+        if "body" in batch.schema.names:
+            for part, body in zip(parts, batch.column("body")):
+                yield int(part), np.frombuffer(body.as_buffer()).reshape(-1, width)
+            continue
         x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
         for part in np.unique(parts):
             own = x[parts == part]
-            step = max(1, _BLOCK // width)
-            for at in range(0, len(own), step):
-                yield int(part), own[at : at + step]
+            for at in range(0, len(own), _BLOCK):
+                yield int(part), own[at : at + _BLOCK]
+
 
+def _packed(narrow: DataFrame, width: int) -> DataFrame:
+    """Rows of a part side by side in one value of up to ``_BLOCK`` rows, so that a pass does not convert them again."""
 
-def _summed(narrow: DataFrame, models: list[Model], width: int) -> dict[int, tuple[np.ndarray, np.ndarray, float, float, np.ndarray]]:
-    """Per model: sizes, sums of rows, cost, and of each cluster the sum of distances and of squared norms."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _rows(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "body"])
+
+    return durable(narrow.mapInArrow(packed, "part int, body binary"))
+
+
+class _Stack:
+    """The models of a part with their centres below each other, those of one k in a run: one product gives all distances."""
+
+    def __init__(self, models: list[tuple[int, np.ndarray]], width: int):
+        models = sorted(models, key=lambda m: len(m[1]))
+        self.models = [i for i, _ in models]
+        self.counts = [len(c) for _, c in models]
+        centers = np.vstack([c for _, c in models])
+        # [x, 1, |x|²] times this is |x - c|²
+        self.far = np.column_stack([-2 * centers, (centers * centers).sum(axis=1), np.ones(len(centers))])
+        self.sums = np.zeros((len(centers), width + 2))
+        self.cost = np.zeros(len(models))
+        self.distances = np.zeros(len(centers))
+
+    def add(self, x: np.ndarray, distances: bool) -> None:
+        wide = np.column_stack([x, np.ones(len(x)), (x * x).sum(axis=1)])
+        step = max(32, _CACHED // len(self.far))
+        for at in range(0, len(wide), step):
+            rows = wide[at : at + step]
+            far = self.far @ rows.T
+            np.maximum(far, 0.0, out=far)
+            hot = np.empty(far.shape)
+            first = centre = 0
+            while first < len(self.counts):
+                k = self.counts[first]
+                same = self.counts.count(k)
+                cells = slice(centre, centre + same * k)
+                cube = far[cells].reshape(same, k, -1)
+                least = cube.min(axis=1)
+                near = cube == least[:, None, :]
+                if np.count_nonzero(near) != least.size:  # equally near centres: the first takes the row
+                    near = np.arange(k)[None, :, None] == cube.argmin(axis=1)[:, None, :]
+                hot[cells] = near.reshape(same * k, -1)
+                self.cost[first : first + same] += least.sum(axis=1)
+                if distances:
+                    self.distances[cells] += (near * np.sqrt(least)[:, None, :]).sum(axis=2).ravel()
+                first, centre = first + same, cells.stop
+            self.sums += hot @ rows
+
+    def totals(self) -> Iterator[tuple[int, bytes]]:
+        """(model, sums of rows, sizes, cost on its first centre, distances, squared norms)."""
+        centre = 0
+        for i, k, cost in zip(self.models, self.counts, self.cost):
+            cells = slice(centre, centre := centre + k)
+            costs = np.zeros(k)
+            costs[0] = cost
+            yield i, np.column_stack([self.sums[cells, :-1], costs, self.distances[cells], self.sums[cells, -1]]).tobytes()
+
+
+def _summed(
+    narrow: DataFrame, models: list[Model], width: int, distances: bool = False
+) -> dict[int, tuple[np.ndarray, np.ndarray, float, np.ndarray, np.ndarray]]:
+    """Per model: sizes, sums of rows, cost, and of each cluster the sum of distances (if asked for) and of squared norms."""
     # a few hundred centres at most
     shared = narrow.sparkSession.sparkContext.broadcast([(m.part, m.centers) for m in models])
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        totals = [np.zeros((len(c), width + 4)) for _, c in known]
+        stacks = {p: _Stack([(i, c) for i, (own, c) in enumerate(known) if own == p], width) for p in {own for own, _ in known}}
         for part, x in _rows(batches, width):
-            norms = (x * x).sum(axis=1)
-            for (own, centers), total in zip(known, totals):
-                if own != part:
-                    continue
-                far = _squares(x, centers)
-                near = far.argmin(axis=1)
-                least = far[np.arange(len(x)), near]
-                hot = np.zeros((len(x), len(centers)))
-                hot[np.arange(len(x)), near] = 1.0
-                total[:, :width] += hot.T @ x
-                total[:, width:] += hot.T @ np.column_stack([np.ones(len(x)), least, np.sqrt(least), norms])
-        yield pa.RecordBatch.from_pandas(pd.DataFrame({"model": np.arange(len(known)), "body": [t.tobytes() for t in totals]}), preserve_index=False)
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        body = sum(np.frombuffer(b) for b in pdf["body"])
-        return pd.DataFrame({"model": pdf["model"].iloc[:1], "body": [body.tobytes()]})
+            if part in stacks:
+                stacks[part].add(x, distances)
+        found = [t for stack in stacks.values() for t in stack.totals()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())], names=["model", "body"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bodies: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for model, body in zip(batch.column("model").to_pylist(), batch.column("body")):
+                bodies[model] = bodies.get(model, 0.0) + np.frombuffer(body.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array(list(bodies), pa.int64()), pa.array([b.tobytes() for b in bodies.values()], pa.binary())], names=["model", "body"])
 
     types = "model long, body binary"
     found = {}
-    for r in narrow.mapInArrow(added, types).groupBy("model").applyInPandas(whole, types).collect():
+    for r in narrow.mapInArrow(added, types).repartition("model").mapInArrow(merged, types).collect():
         t = np.frombuffer(bytes(r["body"])).reshape(-1, width + 4)
         found[r["model"]] = (t[:, width], t[:, :width], float(t[:, width + 1].sum()), t[:, width + 2], t[:, width + 3])
     return found
@@ -114,11 +177,12 @@ def fit(narrow: DataFrame, wanted: list[tuple[int, int]], starts: int, seed: int
         Model(p, k, s, _plus_plus(samples[p], k, np.random.default_rng([seed, p, k, s]))) for p, k in wanted for s in range(starts)
     ]
     spreads = {p: float(s.var(axis=0).mean()) for p, s in samples.items()}
+    packed = _packed(narrow, width)
     for _ in range(most):
         moving = [m for m in models if not m.done]
         if not moving:
             break
-        found = _summed(narrow, moving, width)
+        found = _summed(packed, moving, width)
         for i, m in enumerate(moving):
             sizes, sums, cost, *_ = found[i]
             # a centre that lost all its rows stays
@@ -141,7 +205,7 @@ def best(models: list[Model]) -> dict[tuple[int, int], Model]:
 def scores(narrow: DataFrame, models: list[Model]) -> list[dict[str, float]]:
     """Silhouette (squared distances), inertia, Davies-Bouldin and Calinski-Harabasz of every model, in two passes."""
     width = models[0].centers.shape[1]
-    told = _summed(narrow, models, width)
+    told = _summed(narrow, models, width, True)
     shared = narrow.sparkSession.sparkContext.broadcast([(m.part, m.centers, *told[i]) for i, m in enumerate(models)])
 
     def silhouettes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

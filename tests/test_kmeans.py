@@ -71,3 +71,28 @@ def test_repeated_rows_and_choice_of_k(spark):
     assert sizes == [60, 60, 60] and scores.first()["k"] == 3
     with pytest.raises(ValueError):
         cluster.search_k(vectors.limit(2))
+
+
+def test_one_pass_moves_all_models_as_plain_steps_do(spark):
+    rng = np.random.default_rng(5)
+    one, two = rng.normal(size=(5000, 3)), rng.normal(size=(700, 3))
+    both = frame(spark, one).union(frame(spark, two, 1))
+    models = []
+    for part, x in ((0, one), (1, two)):
+        for k in (4, 2, 3, 2):
+            models.append(kmeans.Model(part, k, 0, x[rng.integers(0, len(x), k)].copy()))
+    models[2].centers[1] = models[2].centers[0]  # of equally near centres the first takes the row
+    packed = kmeans._packed(both, 3)
+    assert packed.count() < 30
+    for source in (both, packed):
+        found = kmeans._summed(source, models, 3, True)
+        for i, m in enumerate(models):
+            x = one if m.part == 0 else two
+            far = ((x[:, None, :] - m.centers[None]) ** 2).sum(axis=2)
+            labels = far.argmin(axis=1)
+            sizes, sums, cost, distances, squares = found[i]
+            own = [labels == c for c in range(m.k)]
+            assert sizes.tolist() == [o.sum() for o in own] and cost == pytest.approx(far.min(axis=1).sum())
+            assert np.allclose(sums, [x[o].sum(axis=0) for o in own])
+            assert np.allclose(distances, [np.sqrt(far[o, c]).sum() for c, o in enumerate(own)], atol=1e-5)
+            assert np.allclose(squares, [(x[o] ** 2).sum() for o in own])
