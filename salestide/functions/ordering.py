@@ -109,28 +109,17 @@ def day_percentiles(
 ) -> DataFrame:
     """Exact percentiles of day counts per key, ``{name: (column, p)}``.
 
-    Day counts have few distinct values, so equal ones are counted before the
-    shuffle and the percentile state of a group stays small however many lines
-    it has.
+    Day counts have few distinct values, so the state of a percentile (equal
+    values counted) stays small however many lines a group has.  It is made
+    before the shuffle, where one row per key and task carries the states of
+    all columns.  A key without any value has no row.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     names = [f"_k{i}" for i in range(len(keys))]
     labels = [k if isinstance(k, str) else f"k{i}" for i, k in enumerate(keys)]
     source = df.select(
         *[(F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(keys, names)],
-        *[F.col(c).cast("double").alias(c) for c in columns],
-    )
-    counted = (
-        source.unpivot(names, columns, "_var", "_v").where("_v is not null")
-        .groupBy(*names, "_var", "_v").agg(F.count("*").alias("_c"))
-    )
-    return (
-        counted.groupBy(*names)
-        .agg(
-            *[
-                F.percentile(F.when(F.col("_var") == c, F.col("_v")), F.lit(p), F.col("_c")).alias(n)
-                for n, (c, p) in wanted.items()
-            ]
-        )
-        .select(*[F.col(n).alias(k) for n, k in zip(names, labels)], *wanted)
-    )
+        *[F.col(c).cast("double").alias(f"_d{i}") for i, c in enumerate(columns)],
+    ).where(F.coalesce(*[F.col(f"_d{i}") for i in range(len(columns))]).isNotNull())
+    picks = [F.percentile(f"_d{columns.index(c)}", F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
+    return source.groupBy(*names).agg(*picks).select(*[F.col(n).alias(k) for n, k in zip(names, labels)], *wanted)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from salestide.functions.calendar import with_period
 from salestide.functions.numeric import banded, minmax, pct, ratio, revenue_per_unit, total
-from salestide.functions.ordering import day_percentiles, exact_percentiles, globally_ranked
+from salestide.functions.ordering import exact_percentiles, globally_ranked
 from salestide.functions.quantiles import exact_quantiles
 from salestide.session import durable
 
@@ -23,20 +23,20 @@ def abc_class(cum_pct: Column) -> Column:
 
 
 def _measured(df: DataFrame, keys: list[str], extra: list[Column] = ()) -> DataFrame:
-    """Measures per group.  Distinct counts and day percentiles run as separate
-    aggregates, since the state of a percentile must not travel through the
-    per-value groups of a distinct count."""
+    """Measures per group; the keys are not null.
+
+    Sums and day percentiles (their states hold equal values once) are one row
+    per group and task before the shuffle.  Distinct counts are an aggregate of
+    their own: neither sums nor states travel through its per-value groups.
+    """
     late = F.coalesce((F.col("lead_time_deviation") > 0).cast("int"), F.lit(0))
-    base = df.groupBy(*keys).agg(
-        total("amount").alias("revenue"), total("qty").alias("qty"),
-        F.count_distinct("order_id").alias("orders"), F.count_distinct("client_id").alias("clients"),
-        (F.avg(late) * 100).alias("late_pct"), *extra,
-    )
-    days = day_percentiles(
-        df, keys,
-        {"median_lead_time": ("lead_time_days", 0.5), "p90_deviation": ("lead_time_deviation", 0.9)},
+    days = lambda c, p: F.percentile(F.col(c).cast("double"), F.lit(p))
+    sums = df.groupBy(*keys).agg(
+        total("amount").alias("revenue"), total("qty").alias("qty"), (F.avg(late) * 100).alias("late_pct"), *extra,
+        days("lead_time_days", 0.5).alias("median_lead_time"), days("lead_time_deviation", 0.9).alias("p90_deviation"),
     )
-    return base.join(days, keys, "left").withColumn("price", revenue_per_unit())
+    counts = df.groupBy(*keys).agg(F.count_distinct("order_id").alias("orders"), F.count_distinct("client_id").alias("clients"))
+    return sums.join(counts, keys).withColumn("price", revenue_per_unit())
 
 
 def _items(df: DataFrame, item: str) -> DataFrame:
