@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from salestide.functions.calendar import month_label, period_index
 from salestide.functions.numeric import banded, pct, ratio, total
-from salestide.functions.robust import with_cusum, with_robust_z
+from salestide.functions.robust import with_robust_z
 
 # Signal, short label, weight, whether a rise is bad.
 SIGNALS = [
@@ -39,20 +39,22 @@ RADAR = ["ca", "qty", "nb_orders", "nb_families", "active_days"]
 def monthly_features(df: DataFrame, active_days: bool = True) -> DataFrame:
     """(client, month): revenue, quantity, price, orders, families, concentration, active days.
 
-    The lines travel once, to their client's month.  There they are merged per
-    order, per day and per family in one pass, and all measures come from these
-    three kinds of sums.
+    The lines travel once, to their client's month.  There each stands once as
+    part of its order, its day and its family, is merged by these without
+    another shuffle, and all measures come from the three kinds of sums.
     """
     keys = ["client_id", "period_index"]
     d = df.where("invoice_date is not null and amount is not null and client_id is not null").select(
         "client_id", period_index(F.col("invoice_date"), "month").alias("period_index"), "order_id", "invoice_date", "family", "amount", "qty"
     ).repartition(*keys)
     kinds = ["order_id", "invoice_date", "family"]
-    sums = d.groupingSets([[*keys, k] for k in kinds], *keys, *kinds).agg(
-        F.grouping_id().alias("_kind"), F.sum("amount").alias("_amount"), F.sum("qty").alias("_qty")
-    )
-    # the bits of the grouping id tell which kinds a row was merged over
-    order, day, family = [F.col("_kind") == 7 - (4 >> i) for i in range(3)]
+    # an array keeps the rows where they are; grouping sets would deal them anew
+    parts = F.array(*[
+        F.struct(F.lit(i).alias("_kind"), *[(F.col(c) if c == kind else F.lit(None).cast(d.schema[c].dataType)).alias(c) for c in kinds])
+        for i, kind in enumerate(kinds)
+    ])
+    sums = d.select(*keys, "amount", "qty", F.inline(parts)).groupBy(*keys, "_kind", *kinds).agg(F.sum("amount").alias("_amount"), F.sum("qty").alias("_qty"))
+    order, day, family = [F.col("_kind") == i for i in range(3)]
     value = F.when(family & F.col("family").isNotNull(), F.col("_amount").cast("double"))
     known = lambda k, c: F.count_if(k & F.col(c).isNotNull())
     out = sums.groupBy(*keys).agg(
@@ -68,14 +70,14 @@ def monthly_features(df: DataFrame, active_days: bool = True) -> DataFrame:
     )
 
 
-def with_scores(features: DataFrame, strict: bool = True) -> DataFrame:
-    """Robust score of each of the seven signals."""
-    return with_robust_z(features, NAMES, ["client_id"], "period_index", BASELINE, 3, strict)
+def with_scores(features: DataFrame, strict: bool = True, cusum: str | None = None) -> DataFrame:
+    """Robust score of each of the seven signals, and the CUSUM of one of them."""
+    return with_robust_z(features, NAMES, ["client_id"], "period_index", BASELINE, 3, strict, cusum=cusum)
 
 
 def with_alerts(features: DataFrame, strict: bool = True) -> DataFrame:
     """Scores, CUSUM of the revenue score, alert score 0..100 and class, per client and month."""
-    scored = with_cusum(with_scores(features, strict), "z_ca", ["client_id"], "period_index")
+    scored = with_scores(features, strict, "ca")
     raw = F.lit(0.0)
     for name, _, weight, rise_is_bad in SIGNALS:
         z = F.col(f"z_{name}") if rise_is_bad else -F.col(f"z_{name}")
@@ -104,12 +106,14 @@ def latest_alerts(features: DataFrame, strict: bool = True) -> DataFrame:
     """The newest month of every client with at least two months, with its baselines."""
     w = Window.partitionBy("client_id")
     past = w.orderBy("period_index").rowsBetween(-BASELINE, -1)
-    rows = with_alerts(features, strict).withColumns(
+    recent = F.collect_list("ca").over(w.orderBy("period_index").rowsBetween(-5, 0))
+    rows = features.withColumns(
         {**{f"base_{n}": F.avg(F.col(n).cast("double")).over(past) for n in NAMES},
-         "_back": F.row_number().over(w.orderBy(F.desc("period_index"))), "nb_months": F.count("*").over(w),
-         "_recent": F.collect_list("ca").over(w.orderBy("period_index").rowsBetween(-5, 0))}
+         "_place": F.row_number().over(w.orderBy("period_index")), "nb_months": F.count("*").over(w), "_recent": recent}
     )
-    return rows.where("_back = 1 and nb_months >= 2").drop("_back")
+    # before the scores, so that all windows share one order; only the newest month's values are carried on
+    newest = {c: F.when(F.col("_place") == F.col("nb_months"), F.col(c)) for c in (*[f"base_{n}" for n in NAMES], "_recent")}
+    return with_alerts(rows.withColumns(newest), strict).where("_place = nb_months and nb_months >= 2").drop("_place")
 
 
 def portfolio(features: DataFrame, strict: bool = True) -> DataFrame:
@@ -168,14 +172,13 @@ def attribution(features: DataFrame, strict: bool = True) -> DataFrame:
 def client_history(features: DataFrame, strict: bool = True) -> DataFrame:
     """All months of all clients, long by signal: value, score, baseline band (mean ± 2 std), alert score."""
     past = Window.partitionBy("client_id").orderBy("period_index").rowsBetween(-BASELINE, -1)
-    rows = with_alerts(features, strict)
     bands = {}
     for n in NAMES:
         v = F.col(n).cast("double")
         enough = F.count(v).over(past) >= 2
         bands[f"_m_{n}"] = F.when(enough, F.avg(v).over(past))
         bands[f"_s_{n}"] = F.when(enough, F.stddev_samp(v).over(past))
-    out = rows.withColumns(bands)
+    out = with_alerts(features.withColumns(bands), strict)
     long = F.array(
         *[
             F.struct(F.lit(n).alias("signal"), F.col(n).cast("double").alias("value"), F.col(f"z_{n}").alias("z"),
