@@ -65,3 +65,21 @@ def test_forecast_in_buckets(spark, monkeypatch):
 def test_band_covers_held_out_clients(spark):
     for r in forecast.band_coverage(_samples(spark, 900), rounds=60).collect():
         assert abs(r.below_m10 - 0.1) < 0.08 and abs(r.below_m50 - 0.5) < 0.1 and abs(r.below_m90 - 0.9) < 0.08
+
+
+def test_every_sample_is_in_the_fit(spark, monkeypatch):
+    monkeypatch.setattr(forecast, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(forecast, "MOST_BUCKETS", 4)
+    samples = _samples(spark, 500)
+    models, _ = forecast.fit_quantiles(samples, rounds=3)
+    # 500 samples over 80: the buckets' number and their size grow by the root of 6.25
+    assert {k: len(v) for k, v in models.items()} == {(h, q): 10 for h in (3, 6) for q in forecast.QUANTILES}
+    assert all(sum(m["rows"] for m in v) == 500 for v in models.values())
+    got = forecast.model_forecast(samples, samples.drop("target"), rounds=3).collect()
+    assert len(got) == 1000 and all(0 <= r.m10 <= r.m50 <= r.m90 for r in got)
+
+
+def test_buckets_up_to_the_bound_are_of_one_size():
+    most, rows = forecast.MOST_BUCKETS, forecast.BUCKET_ROWS
+    assert forecast.buckets({3: most * rows, 6: 2 * rows + 1, 12: 20}) == {3: most, 6: 3, 12: 1}
+    assert forecast.buckets({3: 100 * most * rows, 6: rows}) == {3: 10 * most, 6: 10 * most}
